@@ -41,8 +41,8 @@ def fill(polys: DataFrame) -> DataFrame:
                         lambda i: F.struct(F.greatest(F.ceil(xs[2 * i] - 0.5), F.lit(0)).alias("a"),
                                            F.least(F.ceil(xs[2 * i + 1] - 0.5), F.col("width")).alias("b")))
     return (rows.where(F.size(xs) > 1).select("image", "r", F.explode(spans).alias("s")).where("s.a < s.b")
-            .select("image", F.col("r").cast("int").alias("r"),
-                    F.explode(F.sequence(F.col("s.a"), F.col("s.b") - 1)).cast("int").alias("c")).distinct())
+            .select("image", F.col("r").cast("int").alias("r"), F.explode(
+                F.sequence(F.col("s.a").cast("int"), (F.col("s.b") - 1).cast("int"))).alias("c")).distinct())
 
 
 def outline(polys: DataFrame) -> DataFrame:

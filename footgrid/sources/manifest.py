@@ -44,8 +44,9 @@ def relative(files: DataFrame, root: str) -> DataFrame:
 
 def copy_files(spark: SparkSession, source: str, target: str, existing: DataFrame | None = None) -> DataFrame:
     """Rows ``(rel_path, copied)`` after copying the files of ``source`` that are not in
-    ``target``. The plan decides what to copy; each task streams its own files through
-    the Hadoop file system, so nothing passes through the driver."""
+    ``target``. The plan decides what to copy and each task writes its own files, so
+    nothing passes through the driver. ``target`` must be a folder all executors see;
+    a file appears under its name only when it is whole, so a rerun task is safe."""
     src = relative(list_files(spark, source), source)
     todo = src if existing is None else copy_once(src, existing)
     contents = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(source)
