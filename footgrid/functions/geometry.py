@@ -12,6 +12,18 @@ from pyspark.sql import Column, functions as F
 RING_TYPE = "array<struct<x:double,y:double>>"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: the body sees a lambda variable, so
+    an expensive expression is not repeated however often it is used."""
+    return F.transform(F.array(value), body)[0]
+
+
+def materialize(df, name: str, value: Column):
+    """Column computed in a generator node. Filters on it are not pushed below, which
+    would copy the expression into them."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 # --- construction -----------------------------------------------------------
 
 def point(x, y) -> Column:
@@ -196,24 +208,32 @@ def is_valid(ring: Column) -> Column:
 def clip_convex(subject: Column, clip: Column) -> Column:
     """Part of ``subject`` inside the convex ring ``clip`` (half-plane clipping,
     one clip edge after the other). Returns an open point list."""
-    sign = F.signum(signed_area(clip))
+    none = F.array().cast(RING_TYPE)
+
+    def against(sign: Column, poly: Column, e: Column) -> Column:
+        def side(p):
+            return sign * _cross(e.x1, e.y1, e.x2, e.y2, p.x, p.y)
 
-    def against(poly: Column, e: Column) -> Column:
-        shifted = F.concat(F.slice(poly, F.size(poly), 1), F.slice(poly, F.lit(1), F.greatest(F.size(poly) - 1, F.lit(0))))
+        # every vertex with its signed distance, computed once
+        pts = F.transform(poly, lambda p: F.struct(p.x.alias("x"), p.y.alias("y"), side(p).alias("d")))
 
-        def step(prev: Column, cur: Column) -> Column:
-            dp = sign * _cross(e.x1, e.y1, e.x2, e.y2, prev.x, prev.y)
-            dc = sign * _cross(e.x1, e.y1, e.x2, e.y2, cur.x, cur.y)
-            t = dp / (dp - dc)
-            hit = F.struct((prev.x + (cur.x - prev.x) * t).alias("x"), (prev.y + (cur.y - prev.y) * t).alias("y"))
-            none = F.array().cast(RING_TYPE)
-            return F.concat(F.when((dp >= 0) != (dc >= 0), F.array(hit)).otherwise(none),
-                            F.when(dc >= 0, F.array(cur)).otherwise(none))
+        def step(a: Column, b: Column) -> Column:
+            def at(p, q):
+                return p + (q - p) * (a.d / (a.d - b.d))
+            crossing = F.when((a.d >= 0) != (b.d >= 0), F.array(F.struct(
+                at(a.x, b.x).alias("x"), at(a.y, b.y).alias("y")))).otherwise(none)
+            kept = F.when(b.d >= 0, F.array(F.struct(b.x.alias("x"), b.y.alias("y")))).otherwise(none)
+            return F.concat(crossing, kept)
 
-        return F.when(F.size(poly) == 0, poly).otherwise(F.flatten(F.zip_with(shifted, poly, step)))
+        def cut(q):
+            before = F.concat(F.slice(q, F.size(q), 1), F.slice(q, F.lit(1), F.size(q) - 1))
+            return F.flatten(F.zip_with(before, q, step))
+
+        return F.when(F.size(poly) == 0, poly).otherwise(let(pts, cut))
 
     start = F.slice(subject, F.lit(1), F.greatest(F.size(subject) - 1, F.lit(0))).cast(RING_TYPE)
-    return F.aggregate(edges(clip), start, against)
+    return let(clip, lambda k: let(F.signum(signed_area(k)), lambda sign: F.aggregate(
+        edges(k), start, lambda poly, e: against(sign, poly, e))))
 
 
 def close(points: Column) -> Column:
@@ -222,12 +242,11 @@ def close(points: Column) -> Column:
 
 def intersection_area_convex(a: Column, b: Column) -> Column:
     """Overlap area where ``b`` is convex."""
-    return area(close(clip_convex(a, b)))
+    return let(clip_convex(a, b), lambda p: area(close(p)))
 
 
 def iou_convex(a: Column, b: Column) -> Column:
-    i = intersection_area_convex(a, b)
-    return i / (area(a) + area(b) - i)
+    return let(intersection_area_convex(a, b), lambda i: i / (area(a) + area(b) - i))
 
 
 def box_iou(a: Column, b: Column) -> Column:
@@ -282,7 +301,7 @@ def drop_collinear(ring: Column) -> Column:
         z.prev.x, z.prev.y, z.next.x, z.next.y, z.cur.x, z.cur.y) != 0)))
 
 
-def thin_vertices(ring: Column, tolerance: float, parity: int) -> Column:
+def thin_vertices(ring: Column, tolerance: float, parity) -> Column:
     """One simplification round: drop vertices of one parity that lie within
     ``tolerance`` of the line through their neighbours. No two neighbours go in the
     same round, and a ring keeps at least four points."""
@@ -291,7 +310,13 @@ def thin_vertices(ring: Column, tolerance: float, parity: int) -> Column:
         off = F.abs(_cross(z.prev.x, z.prev.y, z.next.x, z.next.y, z.cur.x, z.cur.y))
         return ~((i % 2 == parity) & (base > 0) & (off < tolerance * base))
     thinned = close(_cur(F.filter(with_neighbours(ring), stays)))
-    return F.when(F.size(thinned) >= 5, thinned).otherwise(ring)
+    return let(thinned, lambda t: F.when(F.size(t) >= 5, t).otherwise(ring))
+
+
+def simplify(ring: Column, tolerance: float, rounds: int = 6) -> Column:
+    """Alternating thinning rounds."""
+    return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), ring,
+                       lambda acc, i: thin_vertices(acc, tolerance, i % 2))
 
 
 def start_at(ring: Column, x: Column, y: Column) -> Column:
@@ -304,48 +329,64 @@ def start_at(ring: Column, x: Column, y: Column) -> Column:
 def convex_hull(ring: Column) -> Column:
     """Convex hull by wrapping: from the lowest vertex, repeatedly take the vertex
     that leaves all others on its left. Work per polygon is vertices x hull size."""
-    pts = F.array_distinct(F.transform(ring, lambda p: F.struct((p.y + 0.0).alias("y"), (p.x + 0.0).alias("x"))))
-    first = F.array_min(pts)
-
     def turn(o, a, b):
         return (a.x - o.x) * (b.y - o.y) - (a.y - o.y) * (b.x - o.x)
 
     def dist(o, a):
         return (a.x - o.x) * (a.x - o.x) + (a.y - o.y) * (a.y - o.y)
 
-    def next_point(cur):
+    def next_point(pts, cur):
         def better(best, q):
             t = turn(cur, best, q)
             take = (best == cur) | ((q != cur) & ((t < 0) | ((t == 0) & (dist(cur, q) > dist(cur, best)))))
             return F.when(take, q).otherwise(best)
         return F.aggregate(pts, cur, better)
 
-    def wrap(hull, _):
-        done = (F.size(hull) > 1) & (F.element_at(hull, -1) == first)
-        return F.when(done, hull).otherwise(F.concat(hull, F.array(next_point(F.element_at(hull, -1)))))
+    def wrap_from(pts, first):
+        def wrap(hull, _):
+            done = (F.size(hull) > 1) & (F.element_at(hull, -1) == first)
+            step = lambda: let(F.element_at(hull, -1), lambda cur: F.concat(hull, F.array(next_point(pts, cur))))
+            return F.when(done, hull).otherwise(step())
+        return F.aggregate(F.sequence(F.lit(1), F.size(pts)), F.array(first), wrap)
 
-    hull = F.aggregate(F.sequence(F.lit(1), F.size(pts)), F.array(first), wrap)
+    points = F.array_distinct(F.transform(ring, lambda p: F.struct((p.y + 0.0).alias("y"), (p.x + 0.0).alias("x"))))
+    hull = let(points, lambda pts: let(F.array_min(pts), lambda first: wrap_from(pts, first)))
     return F.transform(hull, lambda p: F.struct(p.x.alias("x"), p.y.alias("y")))
 
 
 def min_rotated_rect(hull: Column) -> Column:
     """Smallest-area enclosing rectangle of a convex ring: one side of it lies on a
     hull edge, so the hull edge directions are the only candidates."""
-    def rect(e):
-        length = F.hypot(e.x2 - e.x1, e.y2 - e.y1)
-        ux, uy = (e.x2 - e.x1) / length, (e.y2 - e.y1) / length
-        along = F.transform(hull, lambda p: p.x * ux + p.y * uy)
-        across = F.transform(hull, lambda p: p.y * ux - p.x * uy)
-        return F.struct(
-            ((F.array_max(along) - F.array_min(along)) * (F.array_max(across) - F.array_min(across))).alias("area"),
-            ux.alias("ux"), uy.alias("uy"),
-            F.array_min(along).alias("a0"), F.array_max(along).alias("a1"),
-            F.array_min(across).alias("b0"), F.array_max(across).alias("b1"))
-
-    real = F.filter(edges(hull), lambda e: (e.x1 != e.x2) | (e.y1 != e.y2))
-    best = F.array_min(F.transform(real, rect))
-    corner = lambda r, a, b: F.struct((a * r.ux - b * r.uy).alias("x"), (a * r.uy + b * r.ux).alias("y"))
-    corners = F.transform(F.array(best), lambda r: F.array(
-        corner(r, r.a0, r.b0), corner(r, r.a1, r.b0), corner(r, r.a1, r.b1), corner(r, r.a0, r.b1),
-        corner(r, r.a0, r.b0)))
-    return corners[0]
+    def rect(h, e):
+        u = F.hypot(e.x2 - e.x1, e.y2 - e.y1)
+        along = F.transform(h, lambda p: (p.x * (e.x2 - e.x1) + p.y * (e.y2 - e.y1)) / u)
+        across = F.transform(h, lambda p: (p.y * (e.x2 - e.x1) - p.x * (e.y2 - e.y1)) / u)
+        return let(F.struct(along.alias("a"), across.alias("b")), lambda s: let(F.struct(
+            F.array_min(s.a).alias("a0"), F.array_max(s.a).alias("a1"),
+            F.array_min(s.b).alias("b0"), F.array_max(s.b).alias("b1")), lambda m: F.struct(
+            ((m.a1 - m.a0) * (m.b1 - m.b0)).alias("area"),
+            ((e.x2 - e.x1) / u).alias("ux"), ((e.y2 - e.y1) / u).alias("uy"),
+            m.a0.alias("a0"), m.a1.alias("a1"), m.b0.alias("b0"), m.b1.alias("b1"))))
+
+    def corner(r, a, b):
+        return F.struct((a * r.ux - b * r.uy).alias("x"), (a * r.uy + b * r.ux).alias("y"))
+
+    def build(h):
+        real = F.filter(edges(h), lambda e: (e.x1 != e.x2) | (e.y1 != e.y2))
+        best = F.array_min(F.transform(real, lambda e: rect(h, e)))
+        return let(best, lambda r: F.array(corner(r, r.a0, r.b0), corner(r, r.a1, r.b0), corner(r, r.a1, r.b1),
+                                           corner(r, r.a0, r.b1), corner(r, r.a0, r.b0)))
+    return let(hull, build)
+
+
+def regularized(ring: Column, tolerance: float, use_rectangle: bool = True, min_fill: float = 0.85) -> Column:
+    """Simplified ring, or its smallest rotated rectangle when it fills more than
+    ``min_fill`` of it."""
+    if not use_rectangle:
+        return simplify(ring, tolerance)
+
+    def square_up(r):
+        def choose(m):
+            return F.when(F.coalesce(F.try_divide(area(r), area(m)) > min_fill, F.lit(False)), m).otherwise(r)
+        return let(convex_hull(r), lambda h: F.when(F.size(h) > 3, let(min_rotated_rect(h), choose)).otherwise(r))
+    return let(simplify(ring, tolerance), square_up)

@@ -157,13 +157,17 @@ def remove_small(mask: DataFrame, min_size: int, block: int = BLOCK) -> DataFram
     return keep_by_size(mask, lambda n: n >= min_size, block)
 
 
+def flip(dense: DataFrame, pixels: DataFrame, value: str, to: int) -> DataFrame:
+    """Dense raster with the listed pixels set to ``to``; the list is the small side."""
+    hit = pixels.select("image", "r", "c", F.lit(True).alias("_flip"))
+    return dense.join(hit, ["image", "r", "c"], "left").withColumn(
+        value, F.when(F.col("_flip"), to).otherwise(F.col(value))).select(*dense.columns)
+
+
 def fill_holes(dense: DataFrame, value: str, max_size: int, block: int = BLOCK) -> DataFrame:
     """Dense 0/1 raster whose background components below ``max_size`` pixels become 1."""
     holes = keep_by_size(dense.where(F.col(value) == 0), lambda n: n < max_size, block)
-    filled = dense.where(F.col(value) == 0).join(
-        holes.withColumn("_fill", F.lit(1)), ["image", "r", "c"], "left")
-    ground = filled.withColumn(value, F.coalesce("_fill", F.lit(0))).select(*dense.columns)
-    return dense.where(F.col(value) != 0).unionByName(ground)
+    return flip(dense, holes, value, 1)
 
 
 # --- run-length form --------------------------------------------------------

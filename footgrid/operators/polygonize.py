@@ -178,9 +178,9 @@ def rings_of(labelled: DataFrame, parts: DataFrame, block: int = BLOCK) -> DataF
             F.min("node").alias("node"), F.sum("n_edges").alias("n_edges"), F.sum("area2").alias("area2"),
             ordered.alias("parts"))
         corner = F.floor(F.col("ring_id") / 4).cast("long")
-        joined = (joined.withColumn("ring", G.close(F.flatten(F.transform("parts", lambda s: s.p)))).drop("parts")
-                  .withColumn("ring", G.drop_collinear(F.col("ring")))
-                  .withColumn("ring", G.start_at(F.col("ring"), corner % (1 << 30), F.floor(corner / (1 << 30)))))
+        whole = G.let(G.close(F.flatten(F.transform("parts", lambda s: s.p))), G.drop_collinear)
+        turned = G.let(whole, lambda r: G.start_at(r, corner % (1 << 30), F.floor(corner / (1 << 30))))
+        joined = G.materialize(joined, "ring", turned).drop("parts")
         rings = inside.unionByName(joined)
     out = rings.select("image", "node", "ring_id", "n_edges", "area2", "ring")
     named = out.join(parts.select("image", "node", F.col("root").alias("label")), ["image", "node"])

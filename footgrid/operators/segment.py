@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..config import SegmentationParams
 from ..functions import geometry as G
 from ..functions import pixel as P
+from ..session import cut_lineage
 from . import components as C
 from . import polygonize as PG
 from . import stencil as S
@@ -23,10 +24,9 @@ def threshold(probs: DataFrame, params: SegmentationParams, has_edge: bool = Tru
 def clean(binary: DataFrame, params: SegmentationParams, block: int = S.BLOCK) -> DataFrame:
     """Remove small objects, fill small holes, open, close, and dilate once: the four
     morphology steps share one shuffle."""
-    frame = binary.select("image", "r", "c")
-    kept = C.remove_small(binary.where("v = 1"), params.min_building_size)
-    dense = (frame.withColumn("v", F.lit(0)).unionByName(kept.select("image", "r", "c").withColumn("v", F.lit(1)))
-             .groupBy("image", "r", "c").agg(F.max("v").alias("v")))
+    binary = cut_lineage(binary)  # read by the labelling and by the flip below
+    small = C.keep_by_size(binary.where("v = 1"), lambda n: n < params.min_building_size)
+    dense = cut_lineage(C.flip(binary, small, "v", 0))
     filled = C.fill_holes(dense, "v", params.max_hole_size)
     k, small = S.ellipse(params.morph_kernel_size), S.ellipse(3)
     return S.morphology(filled, "v", [("min", k), ("max", k), ("max", k), ("min", k), ("max", small)], block=block)
@@ -44,24 +44,14 @@ def smooth_outline(mask: DataFrame, distance: float, value: str = "v", block: in
 
 
 def simplify(df: DataFrame, tolerance: float, rounds: int = 6, ring: str = "ring") -> DataFrame:
-    """Thin ring vertices in alternating rounds. Each round is one projection over the
-    ring array: no shuffle."""
-    for i in range(rounds):
-        df = df.withColumn(ring, G.thin_vertices(F.col(ring), tolerance, i % 2))
-    return df
+    """Thin ring vertices in alternating rounds inside the ring array: no shuffle."""
+    return G.materialize(df, ring, G.simplify(F.col(ring), tolerance, rounds))
 
 
 def regularize(df: DataFrame, params: SegmentationParams, ring: str = "ring") -> DataFrame:
     """Simplify a ring and replace it by its smallest rotated rectangle when it fills more
     than ``mbr_threshold`` of it. Empty and flat rings stay as they are."""
-    out = simplify(df, params.simplify_tolerance, ring=ring)
-    if params.use_mbr:
-        out = out.withColumn("_hull", G.convex_hull(F.col(ring)))
-        out = out.withColumn("_mbr", F.when(F.size("_hull") > 3, G.min_rotated_rect(F.col("_hull"))))
-        fills = F.try_divide(G.area(F.col(ring)), G.area(F.col("_mbr"))) > params.mbr_threshold
-        out = out.withColumn(ring, F.when(F.coalesce(fills, F.lit(False)), F.col("_mbr")).otherwise(F.col(ring)))
-        out = out.drop("_hull", "_mbr")
-    return out
+    return G.materialize(df, ring, G.regularized(F.col(ring), params.simplify_tolerance, params.use_mbr, params.mbr_threshold))
 
 
 def area_filter(df: DataFrame, lo: float, hi: float, area: str = "area") -> DataFrame:

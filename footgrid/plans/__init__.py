@@ -1 +1,6 @@
+"""Jobs, input views and registered queries."""
 
+from . import pixel_queries, record_queries, vector_queries  # noqa: F401  (they register their queries)
+from .catalog import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
