@@ -1 +1,8 @@
 """Imagery and building-footprint analytics on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# task functions travel by value, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

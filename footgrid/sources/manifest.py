@@ -28,12 +28,13 @@ def rasters(spark: SparkSession, folder: str, recursive: bool = True) -> DataFra
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
-    """TIFF files directly in a folder; an empty result means "no content". Zero-length
-    files stay out of processing (see ``empty_files``)."""
+    """TIFF files directly in a folder; an empty result means "no content". The reader
+    leaves out zero-length files, so they are never processed."""
     return list_files(spark, folder, recursive=False).where(F.col("suffix").isin(".tif", ".tiff"))
 
 
 def empty_files(files: DataFrame) -> DataFrame:
+    """Zero-length entries of a manifest that lists them (an inventory table)."""
     return files.where(F.col("length") == 0)
 
 

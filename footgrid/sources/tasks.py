@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import geometry as G
 from ..functions import names as N
@@ -14,11 +15,20 @@ TASK_SCHEMA = """id bigint, file_upload string, annotations array<struct<result:
 
 
 def read_tasks(spark: SparkSession, path: str) -> DataFrame:
-    """Exported task files (JSON arrays) with ``json_name``; unreadable documents keep
-    their text in ``_corrupt_record``."""
-    return (spark.read.schema(TASK_SCHEMA + ", _corrupt_record string").option("multiLine", True)
-            .option("mode", "PERMISSIVE").json(path)
-            .withColumn("json_name", N.base_name(F.input_file_name())))
+    """Exported task files (JSON arrays) with ``json_name``. A document that cannot be
+    read is kept as one row with its text in ``corrupt`` and no task fields."""
+    docs = spark.read.option("wholetext", True).text(path).select(
+        N.base_name(F.input_file_name()).alias("json_name"), "value",
+        F.from_json("value", f"array<struct<{_fields(TASK_SCHEMA)}>>", {"mode": "PERMISSIVE"}).alias("tasks"))
+    bad = F.col("tasks").isNull() | F.exists("tasks", lambda t: t.isNull() | t.file_upload.isNull())
+    tasks = docs.select("json_name", F.when(bad, F.col("value")).alias("corrupt"),
+                        F.explode_outer(F.when(~bad, F.col("tasks"))).alias("t"))
+    return tasks.select("t.*", "json_name", "corrupt")
+
+
+def _fields(schema: str) -> str:
+    """Column list as struct fields."""
+    return ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in StructType.fromDDL(schema))
 
 
 def parse_tasks(df: DataFrame, column: str = "json") -> DataFrame:

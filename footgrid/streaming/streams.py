@@ -28,6 +28,13 @@ def ingest_tiles(stream: DataFrame, images: DataFrame, tile: int, out: str, chec
     return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")).start()
 
 
+def _timed(df: DataFrame, delay: str) -> DataFrame:
+    """Watermarked input. Watermarks need a time with zone; the batch form keeps its type."""
+    if df.isStreaming:
+        return df.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    return df
+
+
 def _windowed(df: DataFrame, window, by: tuple[str, ...], digits: int) -> DataFrame:
     out = pixel_metrics(df, (window.alias("w"), *by), digits)
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"),
@@ -37,22 +44,22 @@ def _windowed(df: DataFrame, window, by: tuple[str, ...], digits: int) -> DataFr
 def quality_tumbling(df: DataFrame, size: str = "1 hour", by: tuple[str, ...] = (), delay: str = "1 hour",
                      digits: int = 6) -> DataFrame:
     """Pixel metrics per fixed window; late rows count until the watermark passes."""
-    return _windowed(df.withWatermark("ts", delay), F.window("ts", size), by, digits)
+    return _windowed(_timed(df, delay), F.window("ts", size), by, digits)
 
 
 def quality_sliding(df: DataFrame, size: str = "1 hour", slide: str = "30 minutes", by: tuple[str, ...] = (),
                     delay: str = "1 hour", digits: int = 6) -> DataFrame:
-    return _windowed(df.withWatermark("ts", delay), F.window("ts", size, slide), by, digits)
+    return _windowed(_timed(df, delay), F.window("ts", size, slide), by, digits)
 
 
 def quality_sessions(df: DataFrame, gap: str = "30 minutes", by: tuple[str, ...] = ("image",), delay: str = "1 hour",
                      digits: int = 6) -> DataFrame:
     """Pixel metrics per burst of arrivals of one image."""
-    return _windowed(df.withWatermark("ts", delay), F.session_window("ts", gap), by, digits)
+    return _windowed(_timed(df, delay), F.session_window("ts", gap), by, digits)
 
 
 def dedupe_arrivals(df: DataFrame, keys: list[str], delay: str = "1 hour") -> DataFrame:
     """First announcement per key; state is bounded by the watermark."""
     if df.isStreaming:
-        return df.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
+        return _timed(df, delay).dropDuplicatesWithinWatermark(keys)
     return df.dropDuplicates(keys)
