@@ -237,7 +237,8 @@ def clip_convex(subject: Column, clip: Column) -> Column:
 
 
 def close(points: Column) -> Column:
-    return F.when(F.size(points) == 0, points).otherwise(F.concat(points, F.slice(points, 1, 1)))
+    """Repeat the first point at the end."""
+    return F.concat(points, F.slice(points, 1, 1))
 
 
 def intersection_area_convex(a: Column, b: Column) -> Column:

@@ -79,50 +79,81 @@ def _label_grid(mask: np.ndarray) -> np.ndarray:
             root = up
 
 
-def _label_block(pdf: pd.DataFrame) -> pd.DataFrame:
+PART_SCHEMA = ("image {kind}, node long, n long, rmin long, cmin long, rmax long, cmax long, "
+               "border array<long>, px array<long>")
+
+
+def _label_block(pdf: pd.DataFrame, br: int, bc: int, block: int, limit: int | None) -> pd.DataFrame:
+    """One row per component of a block: size, box, the pixel codes on the block's rim,
+    and all pixel codes when there are fewer than ``limit``."""
     r, c = pdf["r"].to_numpy(np.int64), pdf["c"].to_numpy(np.int64)
     r0, c0 = r.min(), c.min()
     mask = np.zeros((r.max() - r0 + 1, c.max() - c0 + 1), dtype=bool)
     mask[r - r0, c - c0] = True
     flat = _label_grid(mask)[r - r0, c - c0]
-    pdf = pdf.copy()
-    pdf["node"] = (flat // mask.shape[1] + r0) * ROW + flat % mask.shape[1] + c0
-    return pdf
+    order = np.argsort(flat, kind="stable")
+    r, c, flat = r[order], c[order], flat[order]
+    start = np.nonzero(np.diff(flat, prepend=-1))[0]
+    n = np.diff(np.append(start, len(flat)))
+    code = r * ROW + c
+    rim = (r == br * block) | (r == (br + 1) * block - 1) | (c == bc * block) | (c == (bc + 1) * block - 1)
+    first = flat[start]
+    listed = np.ones(len(n), bool) if limit is None else n < limit
+    ends = start + n
+    return pd.DataFrame({
+        "node": (first // mask.shape[1] + r0) * ROW + first % mask.shape[1] + c0, "n": n,
+        "rmin": np.minimum.reduceat(r, start), "cmin": np.minimum.reduceat(c, start),
+        "rmax": np.maximum.reduceat(r, start), "cmax": np.maximum.reduceat(c, start),
+        "border": [code[a:b][rim[a:b]] for a, b in zip(start, ends)],
+        "px": [code[a:b] if keep else None for a, b, keep in zip(start, ends, listed)]})
+
+
+def label_parts(mask: DataFrame, block: int = BLOCK, limit: int | None = None) -> DataFrame:
+    """In-block components of foreground pixels ``(image, r, c)``, named by their first
+    pixel. A part of ``limit`` pixels or more travels without its pixel list: callers
+    that only want small components never ship the large ones."""
+    px = mask.select("image", F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"))
+    schema = PART_SCHEMA.format(kind=dict(px.dtypes)["image"])
+    columns = [f.split()[0] for f in schema.split(", ")]
 
+    def label(key, pdf):
+        out = _label_block(pdf, int(key[1]), int(key[2]), block, limit)
+        out["image"] = key[0]
+        return out[columns]
 
-def label_blocks(mask: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Foreground pixels ``(image, r, c)`` with ``node``: the component inside the
-    pixel's block, named by its first pixel."""
-    px = mask.select("image", F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"))
-    kind = dict(px.dtypes)["image"]
     return (px.groupBy("image", F.floor(F.col("r") / block).alias("_br"), F.floor(F.col("c") / block).alias("_bc"))
-            .applyInPandas(lambda key, pdf: _label_block(pdf), f"image {kind}, r long, c long, node long"))
+            .applyInPandas(label, schema))
 
 
-def border_links(labelled: DataFrame, block: int = BLOCK) -> DataFrame:
+def border_links(parts: DataFrame, block: int = BLOCK) -> DataFrame:
     """Pairs of in-block components that touch across a block border."""
-    last, first = F.lit(block - 1), F.lit(0)
+    rim = parts.select("image", "node", F.explode("border").alias("code"))
+    rim = rim.select("image", "node", F.floor(F.col("code") / ROW).alias("r"), (F.col("code") % ROW).alias("c"))
 
     def side(axis, where, other, shift, name):
-        return (labelled.where(F.col(axis) % block == where)
+        return (rim.where(F.col(axis) % block == where)
                 .select("image", (F.col(axis) + shift).alias("_line"), F.col(other).alias("_at"),
                         F.lit(axis).alias("_axis"), F.col("node").alias(name)))
 
-    before = side("r", last, "c", 1, "u").union(side("c", last, "r", 1, "u"))
-    after = side("r", first, "c", 0, "v").union(side("c", first, "r", 0, "v"))
+    before = side("r", block - 1, "c", 1, "u").union(side("c", block - 1, "r", 1, "u"))
+    after = side("r", 0, "c", 0, "v").union(side("c", 0, "r", 0, "v"))
     return before.join(after, ["image", "_line", "_at", "_axis"]).select("image", "u", "v").distinct()
 
 
-def component_table(labelled: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``(image, node, root, n, rmin, cmin, rmax, cmax)`` per in-block component;
-    ``root`` names the whole component by its first pixel."""
-    parts = labelled.groupBy("image", "node").agg(
-        F.count(F.lit(1)).alias("n"), F.min("r").alias("rmin"), F.min("c").alias("cmin"),
-        F.max("r").alias("rmax"), F.max("c").alias("cmax"))
-    roots = connected(border_links(labelled, block), ["image"], salts=1)
+def label_mask(mask: DataFrame, block: int = BLOCK, limit: int | None = None) -> DataFrame:
+    """In-block components with ``root``, the first pixel of the whole component. The
+    parts are cut once: the border graph and the result both read them."""
+    parts = cut_lineage(label_parts(mask, block, limit))
+    roots = connected(border_links(parts, block), ["image"], salts=1)
     return parts.join(roots, ["image", "node"], "left").withColumn("root", F.coalesce("root", "node"))
 
 
+def part_pixels(parts: DataFrame, *carry) -> DataFrame:
+    """Pixels ``(image, r, c, …)`` of the parts that list them."""
+    px = parts.where(F.col("px").isNotNull()).select("image", *carry, F.explode("px").alias("_code"))
+    return px.withColumn("r", F.floor(F.col("_code") / ROW)).withColumn("c", F.col("_code") % ROW).drop("_code")
+
+
 def component_sizes(parts: DataFrame) -> DataFrame:
     """Area and bounding box per whole component. A component that covers a huge
     image is many parts: they combine before the shuffle."""
@@ -131,30 +162,22 @@ def component_sizes(parts: DataFrame) -> DataFrame:
         F.max("rmax").alias("rmax"), F.max("cmax").alias("cmax"))
 
 
-def label_mask(mask: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """``(pixels with node, component table)`` of a foreground pixel table. The labelled
-    pixels are cut once, as the table and the caller both read them."""
-    labelled = cut_lineage(label_blocks(mask, block))
-    return labelled, component_table(labelled, block)
-
-
 def components(mask: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``(image, r, c, label)``: every foreground pixel with its component's first pixel code."""
-    labelled, parts = label_mask(mask, block)
-    return labelled.join(parts.select("image", "node", F.col("root").alias("label")), ["image", "node"]).drop("node")
+    """``(image, r, c, label)``: every foreground pixel with its component's first pixel
+    code. Parts meet their root before they unfold to pixels."""
+    return part_pixels(label_mask(mask, block), F.col("root").alias("label"))
 
 
-def keep_by_size(mask: DataFrame, keep, block: int = BLOCK) -> DataFrame:
-    """Foreground pixels of the components whose pixel count passes ``keep(n)``."""
-    labelled, parts = label_mask(mask, block)
-    sizes = component_sizes(parts).select("image", "root", F.col("n").alias("_n"))
-    nodes = attach(parts.select("image", "node", "root"), sizes, ["image", "root"], ["node"]).where(keep(F.col("_n")))
-    return labelled.join(nodes.select("image", "node"), ["image", "node"], "left_semi").drop("node")
+def small_components(mask: DataFrame, size: int, block: int = BLOCK) -> DataFrame:
+    """Pixels ``(image, r, c)`` of the components with fewer than ``size`` pixels."""
+    parts = label_mask(mask, block, size)
+    sizes = component_sizes(parts).select("image", "root", F.col("n").alias("_n")).where(F.col("_n") < size)
+    return part_pixels(attach(parts.where(F.col("n") < size), sizes, ["image", "root"], ["node"]))
 
 
 def remove_small(mask: DataFrame, min_size: int, block: int = BLOCK) -> DataFrame:
-    """Drop components with fewer than ``min_size`` pixels."""
-    return keep_by_size(mask, lambda n: n >= min_size, block)
+    """Drop components with fewer than ``min_size`` pixels from a foreground pixel table."""
+    return mask.join(small_components(mask, min_size, block), ["image", "r", "c"], "left_anti")
 
 
 def flip(dense: DataFrame, pixels: DataFrame, value: str, to: int) -> DataFrame:
@@ -166,8 +189,7 @@ def flip(dense: DataFrame, pixels: DataFrame, value: str, to: int) -> DataFrame:
 
 def fill_holes(dense: DataFrame, value: str, max_size: int, block: int = BLOCK) -> DataFrame:
     """Dense 0/1 raster whose background components below ``max_size`` pixels become 1."""
-    holes = keep_by_size(dense.where(F.col(value) == 0), lambda n: n < max_size, block)
-    return flip(dense, holes, value, 1)
+    return flip(dense, small_components(dense.where(F.col(value) == 0), max_size, block), value, 1)
 
 
 # --- run-length form --------------------------------------------------------

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import geometry as G
 from ..session import cut_lineage
-from .components import ROW, component_table, label_mask, BLOCK
+from .components import BLOCK, label_mask, part_pixels
 from .stencil import halo_blocks
 
 # start corner and direction of the four sides of pixel (r, c): east, south, west, north
@@ -158,13 +158,12 @@ def polygonize(mask: DataFrame, block: int = BLOCK) -> DataFrame:
     Returns ``(image, label, ring_id, ring, area, perimeter, is_hole)``: corner points
     in pixel coordinates (x = column, y = row), starting at the first edge; ``label``
     is the component's first pixel code and ``area`` is signed (negative for holes)."""
-    labelled, parts = label_mask(mask, block)
-    return rings_of(labelled, parts, block)
+    return rings_of(cut_lineage(label_mask(mask, block)), block)
 
 
-def rings_of(labelled: DataFrame, parts: DataFrame, block: int = BLOCK) -> DataFrame:
-    kind = dict(labelled.dtypes)["image"]
-    ch = cut_lineage(chains(labelled, block))
+def rings_of(parts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Rings of labelled parts."""
+    ch = cut_lineage(chains(part_pixels(parts, "node"), block))
     inside = ch.where("closed").select(
         "image", "node", F.col("head").alias("ring_id"), "n_edges", "area2",
         G.close(_points("xs", "ys")).alias("ring"))
@@ -178,13 +177,13 @@ def rings_of(labelled: DataFrame, parts: DataFrame, block: int = BLOCK) -> DataF
             F.min("node").alias("node"), F.sum("n_edges").alias("n_edges"), F.sum("area2").alias("area2"),
             ordered.alias("parts"))
         corner = F.floor(F.col("ring_id") / 4).cast("long")
-        whole = G.let(G.close(F.flatten(F.transform("parts", lambda s: s.p))), G.drop_collinear)
-        turned = G.let(whole, lambda r: G.start_at(r, corner % (1 << 30), F.floor(corner / (1 << 30))))
-        joined = G.materialize(joined, "ring", turned).drop("parts")
+        joined = G.materialize(joined, "ring", G.close(F.flatten(F.transform("parts", lambda s: s.p)))).drop("parts")
+        joined = G.materialize(joined, "ring", G.drop_collinear(F.col("ring")))
+        joined = G.materialize(joined, "ring", G.start_at(F.col("ring"), corner % (1 << 30), F.floor(corner / (1 << 30))))
         rings = inside.unionByName(joined)
     out = rings.select("image", "node", "ring_id", "n_edges", "area2", "ring")
     named = out.join(parts.select("image", "node", F.col("root").alias("label")), ["image", "node"])
-    return named.withColumn("image", F.col("image").cast(kind)).select(
+    return named.select(
         "image", "label", "ring_id", "ring", (F.col("area2") / 2).alias("area"),
         F.col("n_edges").cast("double").alias("perimeter"), (F.col("area2") < 0).alias("is_hole"))
 
@@ -192,8 +191,8 @@ def rings_of(labelled: DataFrame, parts: DataFrame, block: int = BLOCK) -> DataF
 def shape_stats(mask: DataFrame, block: int = BLOCK) -> DataFrame:
     """Per component: net area, boundary length and number of rings, without vertices.
     Order-free sums over chains, so no linking rounds are needed."""
-    labelled, parts = label_mask(mask, block)
-    ch = chains(labelled, block).groupBy("image", "node").agg(
+    parts = cut_lineage(label_mask(mask, block))
+    ch = chains(part_pixels(parts, "node"), block).groupBy("image", "node").agg(
         F.sum("area2").alias("area2"), F.sum("n_edges").alias("n_edges"))
     return (ch.join(parts.select("image", "node", F.col("root").alias("label")), ["image", "node"])
             .groupBy("image", "label")

@@ -17,23 +17,25 @@ def threshold(probs: DataFrame, params: SegmentationParams, has_edge: bool = Tru
     """Edge suppression, 3 x 3 median and threshold: ``(image, r, c, v)`` in 0/1 from
     ``(image, r, c, building_prob[, edge_prob])``."""
     p = P.suppress_edges(F.col("building_prob"), F.col("edge_prob") if has_edge else None, params.edge_threshold)
-    smooth = S.median3(probs.select("image", "r", "c", p.alias("v")), "v", block=block)
-    return smooth.withColumn("v", (F.col("v") > params.building_threshold).cast("int"))
+    return S.array_chain(probs.select("image", "r", "c", p.alias("v")), "v",
+                         [("median",), ("above", params.building_threshold)], block=block, out_type="int")
 
 
-def clean(binary: DataFrame, params: SegmentationParams, block: int = S.BLOCK) -> DataFrame:
-    """Remove small objects, fill small holes, open, close, and dilate once: the four
-    morphology steps share one shuffle."""
+def clean(binary: DataFrame, params: SegmentationParams, block: int = S.BLOCK, vote: bool = False) -> DataFrame:
+    """Remove small objects, fill small holes, open, close, and dilate once. The five
+    morphology steps share one shuffle; ``vote`` adds the median vote that polygons are
+    made from to the same pass and then keeps foreground pixels only."""
     binary = cut_lineage(binary)  # read by the labelling and by the flip below
-    small = C.keep_by_size(binary.where("v = 1"), lambda n: n < params.min_building_size)
+    small = C.small_components(binary.where("v = 1"), params.min_building_size)
     dense = cut_lineage(C.flip(binary, small, "v", 0))
     filled = C.fill_holes(dense, "v", params.max_hole_size)
-    k, small = S.ellipse(params.morph_kernel_size), S.ellipse(3)
-    return S.morphology(filled, "v", [("min", k), ("max", k), ("max", k), ("min", k), ("max", small)], block=block)
+    k, dot = S.ellipse(params.morph_kernel_size), S.ellipse(3)
+    steps = [("min", k), ("max", k), ("max", k), ("min", k), ("max", dot)] + ([("vote",)] if vote else [])
+    return S.array_chain(filled, "v", steps, block=block, nonzero_only=vote)
 
 
-def edge_guided(probs: DataFrame, params: SegmentationParams, has_edge: bool = True) -> DataFrame:
-    return clean(threshold(probs, params, has_edge), params)
+def edge_guided(probs: DataFrame, params: SegmentationParams, has_edge: bool = True, vote: bool = False) -> DataFrame:
+    return clean(threshold(probs, params, has_edge), params, vote=vote)
 
 
 def smooth_outline(mask: DataFrame, distance: float, value: str = "v", block: int = S.BLOCK) -> DataFrame:
@@ -72,12 +74,12 @@ def drop_largest(df: DataFrame, keys: list[str], area: str = "area", id_: str =
 
 def vectorize(mask: DataFrame, params: SegmentationParams, images: DataFrame | None = None,
               smooth: bool = True, block: int = C.BLOCK) -> DataFrame:
-    """Dense mask ``(image, r, c, v)`` to building polygons: median vote, outer rings,
-    regularisation, area bounds. With ``images (image, t, crs)`` rings and areas are in
+    """Dense mask ``(image, r, c, v)`` to building polygons: median vote (unless the mask
+    already had it), outer rings, regularisation, area bounds. With ``images (image, t, crs)`` rings and areas are in
     world units (equal-area for longitude/latitude)."""
     from ..skew import attach
-    voted = S.majority3(mask, "v") if smooth else mask
-    rings = PG.polygonize(voted.where("v <> 0").select("image", "r", "c"), block)
+    voted = S.array_chain(mask, "v", [("vote",)], nonzero_only=True) if smooth else mask.where("v <> 0")
+    rings = PG.polygonize(voted.select("image", "r", "c"), block)
     rings = rings.where(~F.col("is_hole")).drop("is_hole", "perimeter", "area")
     if images is not None:
         rings = attach(rings, images.select("image", "t", "crs"), ["image"], ["ring_id"])

@@ -76,7 +76,7 @@ def map_from_images(tiles: DataFrame, load_model, tile: int, params: Segmentatio
                     images: DataFrame | None = None, has_edge: bool = True, stored: DataFrame | None = None) -> DataFrame:
     """Tiles to building polygons without settlements."""
     probs = score.probabilities(predict(tiles, load_model, tile, stored=stored), tile)
-    return segment.vectorize(segment.edge_guided(probs, params, has_edge), params, images)
+    return segment.vectorize(segment.edge_guided(probs, params, has_edge, vote=True), params, images, smooth=False)
 
 
 def map_settlements(tiles: DataFrame, load_model, tile: int, params: SegmentationParams, settlements: DataFrame,

@@ -365,7 +365,7 @@ def _plane_probs(spark, sf):
 def building_map(spark, sf):
     """Probabilities to regularised footprints, whole planes."""
     params = SegmentationParams(min_building_size=12, max_hole_size=6, morph_kernel_size=3)
-    polys = segment.vectorize(segment.edge_guided(_plane_probs(spark, sf), params, has_edge=False), params)
+    polys = segment.vectorize(segment.edge_guided(_plane_probs(spark, sf), params, has_edge=False, vote=True), params, smooth=False)
     return polys.select("image", "label", F.round("area", 3).alias("area"), "angle", (F.size("ring") - 1).alias("n_points"))
 
 

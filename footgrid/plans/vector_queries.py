@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import crs as K, geometry as G
 from ..operators import burn, components as C, polygonize as PG, segment, settlements as ST, spatial_join as SJ
 from ..operators.pairing import concat_frames, tiles_of_names
+from ..session import cut_lineage
 from ..sources.labels import polygons_of_wkt
 from . import inputs as I
 from .catalog import query
@@ -477,14 +478,13 @@ def components(spark, sf):
 @query("component_sizes", f"""with {_COMP} select image, label, count(*) as n, min(r)::bigint as rmin, min(c)::bigint as cmin,
  max(r)::bigint as rmax, max(c)::bigint as cmax from cp group by image, label""")
 def component_sizes(spark, sf):
-    _, parts = C.label_mask(burnt(spark, sf))
-    return C.component_sizes(parts).withColumnRenamed("root", "label")
+    return C.component_sizes(C.label_mask(burnt(spark, sf), limit=0)).withColumnRenamed("root", "label")
 
 
 @query("remove_small", f"""with {_COMP}, s as (select image, label from cp group by all having count(*) >= 30)
 select image, r::bigint as r, c::bigint as c from cp join s using (image, label)""")
 def remove_small(spark, sf):
-    return C.remove_small(burnt(spark, sf), 30).select("image", "r", "c")
+    return C.remove_small(cut_lineage(burnt(spark, sf)), 30).select("image", F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"))
 
 
 @query("pixel_runs", f"""with {MASK}, g as (select image, r, c, c - row_number() over (partition by image, r order by c) as g from mask)

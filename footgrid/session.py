@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,7 +22,6 @@ def build_session(app: str = "footgrid", master: str | None = None, shuffle_part
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
-        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     if shuffle_partitions:
@@ -31,18 +31,25 @@ def build_session(app: str = "footgrid", master: str | None = None, shuffle_part
     return b.getOrCreate()
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; only where it is unset
+    and everything runs on one machine (tests) a temporary one, remembered in the session."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.footgrid.scratch", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("Set spark.checkpoint.dir to a folder all executors share.")
+        folder = tempfile.mkdtemp(prefix="footgrid-", dir=os.environ.get("TMPDIR"))
+        spark.conf.set("spark.footgrid.scratch", folder)
+    return folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise an iteration step with a reliable checkpoint.
+    """Write an iteration step as a table in the shared folder and go on from it.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only when
-    it is unset (tests on one machine) a temporary folder is used."""
+    Unlike a checkpointed plan, whose size estimate multiplies with every self-join
+    until planning takes longer than the work, the table has its real size: join
+    choices stay right and plans stay short. It also survives lost executors."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("Set spark.checkpoint.dir to a folder all executors share.")
-            folder = tempfile.mkdtemp(prefix="footgrid-checkpoint-", dir=os.environ.get("TMPDIR"))
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{_shared_folder(spark).rstrip('/')}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

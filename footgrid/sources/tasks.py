@@ -32,7 +32,8 @@ def _fields(schema: str) -> str:
 
 
 def parse_tasks(df: DataFrame, column: str = "json") -> DataFrame:
-    return df.select(F.from_json(column, TASK_SCHEMA).alias("t")).select("t.*")
+    """Tasks from a JSON text column, parsed once per row."""
+    return G.materialize(df.select(column), "t", F.from_json(column, TASK_SCHEMA)).select("t.*")
 
 
 def task_polygons(tasks: DataFrame) -> DataFrame:

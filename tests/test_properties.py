@@ -72,6 +72,18 @@ def test_scatter_is_window_form(spark):
         assert (to_grid(S.scatter(df, "v", S.ellipse(5), op), a.shape) == to_grid(f(df, element=S.ellipse(5)), a.shape)).all()
 
 
+def test_array_chain_is_window_form(spark):
+    a = random_blobs()
+    df, k = pixel_rows(spark, a), S.ellipse(5)
+    chain = [("min", k), ("max", k), ("max", S.square(3))]
+    one, two = (to_grid(S.morphology(df, "v", chain, block=16, method=m), a.shape) for m in ("window", "array"))
+    assert (one == two).all()
+    three = RNG.integers(0, 3, (21, 17))
+    df = pixel_rows(spark, three)
+    for step, f in ((("vote",), S.majority3), (("median",), S.median3)):
+        assert (to_grid(S.array_chain(df, "v", [step], block=8), three.shape) == to_grid(f(df), three.shape)).all()
+
+
 def test_morphology_order_and_idempotence(spark):
     a = random_blobs()
     df = pixel_rows(spark, a)
