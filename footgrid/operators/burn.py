@@ -75,29 +75,23 @@ def training_mask(frame: DataFrame, polys: DataFrame, shrink: float = 1.0, edge:
     """``(image, r, c, building[, edge][, weight])`` for training.
 
     Polygons may shrink about their centroid; erosion thins the building mask and
-    widens the edge mask (only when there is one); an edge pixel is no building pixel.
+    widens the edge mask (only when there is one), both on the burnt pixels before they
+    meet the raster; an edge pixel is no building pixel.
     Weights are the blurred boundary, scaled so that each image peaks at 1."""
     if shrink != 1.0:
         polys = polys.withColumn("ring", G.scale(F.col("ring"), shrink))
-    layers = [("building", fill(polys))]
+    building = fill(polys)
     lines = outline(polys) if edge or weights else None
-    if edge:
-        layers.append(("edge", lines))
-    if weights:
-        layers.append(("weight", lines))
+    border = lines
+    if erosion:
+        sizes = polys.groupBy("image").agg(F.max("width").alias("width"), F.max("height").alias("height"))
+        building = S.shrink(building, S.square(3), sizes)
+        border = S.spread(lines, S.square(3), sizes) if edge else None
+    layers = [("building", building)] + ([("edge", border)] if edge else []) + ([("weight", lines)] if weights else [])
     m = on_raster(frame, *layers)
-    radius = (1 if erosion else 0) + (4 if weights else 0)
-    if radius:
-        if weights:
-            m = m.withColumn("weight", (F.col("weight") / 255).cast("double"))
-        b = S.halo_blocks(m, radius, block=block)
-        if erosion:
-            b = S.morph_pass(b, "building", S.square(3), "min")
-            if edge:
-                b = S.morph_pass(b, "edge", S.square(3), "max")
-        if weights:
-            b = S.gauss_pass(b, "weight")
-        m = S.core(b, block)
+    if weights:
+        m = m.withColumn("weight", (F.col("weight") / 255).cast("double"))
+        m = S.core(S.gauss_pass(S.halo_blocks(m, 4, block=block), "weight"), block)
     if edge:
         m = m.withColumn("building", P.carve_edges(F.col("building"), F.col("edge")))
     if weights:

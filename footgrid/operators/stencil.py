@@ -20,6 +20,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..skew import attach
+
 BLOCK = 128
 B_KEYS = ("_br", "_bc")
 
@@ -277,3 +279,37 @@ def scatter(df: DataFrame, value: str, element: dict[int, int], op: str,
     here = F.max((F.col("o.dr") == 0) & (F.col("o.dc") == 0))
     return (sent.groupBy(*keys, (F.col("r") + F.col("o.dr")).alias("r"), (F.col("c") + F.col("o.dc")).alias("c"))
             .agg(agg(value).alias(value), here.alias("_here")).where("_here").drop("_here"))
+
+
+# --- sparse masks ---------------------------------------------------------------
+
+def _sent(mask: DataFrame, element: dict[int, int]) -> DataFrame:
+    offsets = F.array(*[F.struct(F.lit(dy).alias("dr"), F.lit(dx).alias("dc"))
+                        for dy, w in element.items() for dx in range(-w, w + 1)])
+    sent = mask.select("image", "r", "c", F.explode(offsets).alias("o"))
+    return sent.select("image", (F.col("r") + F.col("o.dr")).alias("r"), (F.col("c") + F.col("o.dc")).alias("c"))
+
+
+def spread(mask: DataFrame, element: dict[int, int], sizes: DataFrame) -> DataFrame:
+    """Dilation of foreground pixels ``(image, r, c)`` alone; work grows with the
+    foreground, not the image. ``sizes`` holds ``(image, width, height)``."""
+    grown = attach(_sent(mask, element).distinct(), sizes.select("image", "width", "height"), ["image"], ["r", "c"])
+    return grown.where((F.col("r") >= 0) & (F.col("c") >= 0) & (F.col("r") < F.col("height")) & (F.col("c") < F.col("width"))) \
+        .select("image", "r", "c")
+
+
+def shrink(mask: DataFrame, element: dict[int, int], sizes: DataFrame) -> DataFrame:
+    """Erosion of foreground pixels alone: a pixel stays when every neighbour inside the
+    image is foreground."""
+    got = _sent(mask, element).groupBy("image", "r", "c").agg(F.count(F.lit(1)).alias("_n"))
+    full = sum(2 * w + 1 for w in element.values())
+    h = radius_of(element)
+    out = attach(got, sizes.select("image", "width", "height"), ["image"], ["r", "c"])
+    r, c = F.col("r"), F.col("c")
+    inside = (r >= 0) & (c >= 0) & (r < F.col("height")) & (c < F.col("width"))
+    deep = (r >= h) & (c >= h) & (r < F.col("height") - h) & (c < F.col("width") - h)
+    near = reduce(lambda a, b: a + b, [
+        F.when((r + dy >= 0) & (r + dy < F.col("height")) & (c + dx >= 0) & (c + dx < F.col("width")), 1).otherwise(0)
+        for dy, w in element.items() for dx in range(-w, w + 1)])
+    want = F.when(deep, F.lit(full)).otherwise(near)
+    return out.where(inside & (F.col("_n") == want)).select("image", "r", "c")

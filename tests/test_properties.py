@@ -84,6 +84,17 @@ def test_array_chain_is_window_form(spark):
         assert (to_grid(S.array_chain(df, "v", [step], block=8), three.shape) == to_grid(f(df), three.shape)).all()
 
 
+def test_sparse_morphology_is_dense_morphology(spark):
+    a = random_blobs()
+    df = pixel_rows(spark, a)
+    fg = df.where("v = 1").select("image", "r", "c")
+    sizes = spark.createDataFrame([(0, a.shape[1], a.shape[0])], "image long, width int, height int")
+    for e in (S.square(3), S.ellipse(5)):
+        for sparse, op in ((S.shrink, min), (S.spread, max)):
+            got = {(r.r, r.c) for r in sparse(fg, e, sizes).collect()}
+            assert got == set(zip(*map(lambda x: x.tolist(), np.nonzero(morph(a, e, op)))))
+
+
 def test_morphology_order_and_idempotence(spark):
     a = random_blobs()
     df = pixel_rows(spark, a)
