@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..config import MissingKey, SegmentationParams, TilingParams, TrainParams, require_column
+from ..config import SegmentationParams, TilingParams, TrainParams, require_column
 from ..functions import geometry as G, names as N, pixel as P
 from ..operators import (burn, metrics as M, pairing, polygonize as PG, resample, sampling, score, segment,
                          settlements as ST, spatial_join as SJ, stencil as S, tiling as T)
-from ..sources import sinks, tasks as TK
+from ..sources import tasks as TK
 
 
 def prepare_tiles(bands: DataFrame, images: DataFrame, labels: DataFrame | None, params: TilingParams,
@@ -165,5 +165,3 @@ def import_open_dataset(features: DataFrame, files: DataFrame, existing: DataFra
     polys = features.join(images.select("code", "image"), "code").select("image", "pid", "ring")
     return todo, burn.fill(burn.to_pixel_rings(polys, images))
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["sinks", "MissingKey"]
