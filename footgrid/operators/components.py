@@ -32,7 +32,8 @@ def connected(edges: DataFrame, keys: list[str], salts: int = 16, max_rounds: in
     across an edge, then follows root pointers once more; distances shrink by half,
     so the rounds grow with the logarithm of the component diameter. Minima combine
     before the shuffle and pointer look-ups are salted, so a root that owns a third
-    of all nodes is no single task."""
+    of all nodes is no single task. ``salts`` is for the edge look-ups: 1 will do where
+    the degree of a node is bounded."""
     e = cut_lineage(edges.select(*keys, "u", "v").where(F.col("u") != F.col("v")).distinct())
     nodes = e.select(*keys, F.col("u").alias("node")).union(e.select(*keys, F.col("v").alias("node"))).distinct()
     state = cut_lineage(nodes.withColumn("root", F.col("node")))
@@ -52,7 +53,8 @@ def connected(edges: DataFrame, keys: list[str], salts: int = 16, max_rounds: in
         used = hooked.select(*keys, F.col("root").alias("node")).distinct()
         up = hooked.join(used, [*keys, "node"], "left_semi").select(
             *keys, F.col("node").alias("root"), F.col("root").alias("up"))
-        state = cut_lineage(attach(hooked.drop("moved"), up, [*keys, "root"], ["node"], salts=salts)
+        # a root may own a third of the nodes whatever the degree of the edges, so this is always salted
+        state = cut_lineage(attach(hooked.drop("moved"), up, [*keys, "root"], ["node"])
                             .select(*keys, "node", F.col("up").alias("root")))
     raise RuntimeError(f"Components did not settle in {max_rounds} rounds.")
 

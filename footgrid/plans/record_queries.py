@@ -13,8 +13,8 @@ from ..streaming import streams as ST
 from . import inputs as I, jobs
 from .catalog import query
 from .pixel_queries import TILE, image_sizes
-from .vector_queries import CELL, _TILES, _boxes, _tile_boxes, burnt, plane_frame
-from .views_sql import AOIS, ARRIVALS, BUILDINGS, METRIC_SUMS, PIXELS, PROBS, SCENES, TASKS, metric_ratios
+from .vector_queries import CELL, _TILES, _components_sql, _boxes, _tile_boxes, burnt, plane_frame
+from .views_sql import AOIS, ARRIVALS, BUILDINGS, METRIC_SUMS, PIXELS, PROBS, SCENES, TASKS, TRUTH_PRED, metric_ratios
 
 # --- class scores and losses ------------------------------------------------
 
@@ -382,7 +382,14 @@ def settlement_map(spark, sf):
     return b.join(hit, ["scene", "bid"]).select("scene", "aoi", F.col("bid").alias("label"), F.round("area", 3).alias("area"))
 
 
-@query("evaluation_report", None)
+@query("evaluation_report", f"""with recursive {TRUTH_PRED}, gm as (select image, r, c from tp where g = 1), pm as (select image, r, c from tp where p = 1),
+{_components_sql("pm", "p")}, {_components_sql("gm", "t")},
+o as (select p.image, p.label as pl, t.label as tl, count(*) as n from cpp p join cpt t using (image, r, c) group by all),
+np as (select image, label, count(*) as n from cpp group by all), nt as (select image, label, count(*) as n from cpt group by all),
+m as (select count(*) as k from o join np on np.image = o.image and np.label = pl join nt on nt.image = o.image and nt.label = tl
+ where o.n / (np.n + nt.n - o.n) >= 0.5),
+s as (select {METRIC_SUMS} from tp), b as (select (select k from m) as n_matched, (select count(*) from np) as n_pred_buildings, (select count(*) from nt) as n_truth_buildings)
+select s.*, {metric_ratios(3)}, b.*, round(n_matched / n_pred_buildings, 3) as building_precision, round(n_matched / n_truth_buildings, 3) as building_recall from s, b""")
 def evaluation_report(spark, sf):
     tp = I.truth_pred(spark, sf)
     return jobs.evaluate(tp.select("image", "r", "c", (F.col("g") * 255).alias("truth")),
