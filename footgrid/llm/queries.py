@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe
+from . import bpe, chat, exact, html
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
 def query(fn):
+    """Register `fn(spark, sf_dir)` by its name; its comparison SQL, if any, goes into ORACLES beside it."""
     QUERIES[fn.__name__] = fn
     return fn
 
@@ -35,3 +36,46 @@ def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 @query
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.groups(table(spark, sf_dir, "documents")) \
+        .select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
+
+
+ORACLES["op5_exact_dedup"] = r"""
+with d as (select doc_id, length(coalesce(text, '')) as n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) as sha from documents),
+g as (select doc_id, sha, first_value(doc_id) over w as keep_id, count(*) over (partition by sha) as group_size
+      from d window w as (partition by sha order by n desc, doc_id))
+select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha as text_sha256 from g"""
+
+
+@query
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.sql("select * from values (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') "
+                      "as t(conv_id, turn, role, text)")
+    back = chat.read_back(chat.examples(given.unionByName(probe)))
+    said = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(said, ""), 256).alias("turns_sha256"),
+                       F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
+ORACLES["op7_chat_format"] = r"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+           union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+p as (select *, sum(20 + length(regexp_replace(role, '([<\[])(\\*/?(?:s>|INST\]))', '\1\\\2', 'g'))
+                  + length(regexp_replace(text, '([<\[])(\\*/?(?:s>|INST\]))', '\1\\\2', 'g'))) over (partition by conv_id order by turn, role, text
+                  rows unbounded preceding) as stop from c)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+       (coalesce(sum(stop) filter (role = 'assistant'), 0) + case when coalesce(max(stop) filter (role = 'assistant'), 0) < max(stop)
+        then max(stop) else 0 end)::bigint as formatted_chars
+from p group by conv_id"""
+
+
+@query
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
