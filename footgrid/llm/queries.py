@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, exact, html
+from . import bpe, chat, decontaminate, exact, html
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -79,3 +79,9 @@ from p group by conv_id"""
 @query
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("row").alias("doc_id"), F.col("item").alias("item_id"), F.col("share").alias("containment"))
