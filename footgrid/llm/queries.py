@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, decontaminate, exact, html
+from . import bpe, chat, decontaminate, exact, html, near
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +85,8 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(F.col("row").alias("doc_id"), F.col("item").alias("item_id"), F.col("share").alias("containment"))
+
+
+@query
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.groups(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
