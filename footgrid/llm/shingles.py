@@ -63,13 +63,13 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, at - at[0]
 
 
-def runs(body: np.ndarray, at: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of runs of the bytes marked in `kind`, none across texts; offsets of each text's first run."""
-    inside = np.concatenate([[False], kind[body], [False]])
+def runs(marked: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of runs of marked bytes, none across texts; offsets of each text's first run."""
+    inside = np.concatenate([[False], marked, [False]])
     change = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = change[0::2], change[1::2]
     cut = at[1:-1]
-    cut = np.unique(cut[(cut > 0) & (cut < len(body))])
+    cut = np.unique(cut[(cut > 0) & (cut < len(marked))])
     cut = cut[inside[cut] & inside[cut + 1]]         # a run goes on across a border of texts
     if len(cut):
         starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
@@ -89,7 +89,7 @@ def run_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words and the offset of each text's first one."""
     body, at = flat(pc.utf8_lower(texts.cast(pa.large_string())))
-    starts, ends, first = runs(body, at, _WORD)
+    starts, ends, first = runs(_WORD[body], at)
     return run_hashes(body, starts, ends), first
 
 
