@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, decontaminate, exact, html, near
+from . import bpe, chat, decontaminate, exact, html, near, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -90,3 +90,11 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.groups(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    machine = toxicity.fit(docs, table(spark, sf_dir, "labels"), use=~toxicity.held_out("id"))
+    return toxicity.scores(docs, machine).select(F.col("id").alias("doc_id"), toxicity.held_out("id").alias("held_out"), "score",
+                                                 (F.col("score") >= 0.5).cast("int").alias("predicted"))
