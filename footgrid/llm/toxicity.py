@@ -39,9 +39,9 @@ LANDMARKS = 96
 SAMPLE = 20_000
 ROUNDS = 4
 WORST = 3
-#: First-round words stand in LIFT times as many toxic texts as chance has it, SURPRISE standard deviations above that, and that also in
-#: different surroundings, so that copies of one text don't count.
-LIFT, SURPRISE, CANDIDATES = 3.0, 2.0, 5_000
+#: First-round words stand after at least three different words in toxic texts (so copies of one text don't count), LIFT times as often as
+#: chance has it and SURPRISE standard deviations above that; looked for among the CANDIDATES most frequent words of toxic texts.
+LIFT, SURPRISE, CANDIDATES = 3.0, 3.0, 50_000
 GAPS = [(a, b) for a in range(1, SPAN - 1) for b in range(1, SPAN - a)]
 
 # letters to 64 classes: a-z, one for digits, one for the start of a word, 32 for the last byte of other characters; what is put between
@@ -244,54 +244,48 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def spotted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, part in S.chunks(batch.column(1)):
-                label = batch.column(0).slice(first, len(part)).to_numpy(zero_copy_only=False)
                 body, starts, ends, at = words(part)
                 hashes = S.run_hashes(body, starts, ends)
-                owner = np.repeat(np.arange(len(part)), np.diff(at))
-                order = np.lexsort((owner, hashes))
-                hashes, owner, starts, ends = hashes[order], owner[order], starts[order], ends[order]
-                new = np.ones(len(hashes), bool)
-                new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-                head = np.ones(len(hashes), bool)
-                head[1:] = hashes[1:] != hashes[:-1]
-                where = np.flatnonzero(head)
-                if not len(where):
-                    continue
-                counts = [np.add.reduceat((new & (label[owner] == k)).astype(np.int64), where) for k in (1, 0)]
-                names = [body[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts[where], ends[where])]
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *map(pa.array, counts)], ["word", "toxic", "clean"])
-
-    counts = rows.mapInArrow(spotted, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    expected = (F.col("toxic") + F.col("clean")) * (toxic / (toxic + clean))
-    often = F.col("toxic") > LIFT * expected
-    surprise = (F.col("toxic") - expected) / F.sqrt(expected + 1)
-    top = counts.where(F.char_length("word").between(3, 40) & often).select("word", surprise.alias("z")) \
-        .where(f"z > {SURPRISE}").orderBy(F.desc("z"), "word").limit(CANDIDATES).collect()
-    told_apart = rows.sparkSession.sparkContext.broadcast(sorted(S.run_hashes(*_laid_out([r["word"] for r in top])).tolist()))
-
-    def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.array(told_apart.value, np.uint64)
+                before = np.concatenate([[np.uint64(0)], hashes[:-1]])[: len(hashes)]
+                before[at[:-1][np.diff(at) > 0]] = 0
+                _, some = np.unique(np.stack([hashes, before], 1), axis=0, return_index=True)
+                names = [body[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts[some], ends[some])]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(before[some].view(np.int64))], ["word", "before"])
+
+    often = rows.where("label = 1").mapInArrow(spotted, "word string, before long").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("n")) \
+        .where(F.char_length("word").between(3, 40) & (F.col("n") >= 3)).orderBy(F.desc("n"), "word").limit(CANDIDATES).collect()
+    if not often:
+        return None
+    hashes = S.run_hashes(*_laid_out([r["word"] for r in often]))
+    listed = rows.sparkSession.sparkContext.broadcast(np.sort(hashes))
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, count = listed.value, np.zeros(len(listed.value), np.int64)
         for batch in batches:
             for first, part in S.chunks(batch.column(1)):
-                label = batch.column(0).slice(first, len(part)).to_numpy(zero_copy_only=False)
                 body, starts, ends, at = words(part)
-                hashes = S.run_hashes(body, starts, ends)
-                owner = np.repeat(np.arange(len(part)), np.diff(at))
-                hit = np.flatnonzero(np.isin(hashes, wanted))
-                before = np.where(np.isin(hit, at[:-1]), np.uint64(0), hashes[np.maximum(hit - 1, 0)])
-                names = [body[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts[hit], ends[hit])]
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(before.view(np.int64)), pa.array(label[owner[hit]].astype(np.int32))],
-                                                 ["word", "before", "label"])
-
-    kinds = rows.mapInArrow(surroundings, "word string, before long, label int").distinct().groupBy("word") \
-        .agg(F.count_if(F.col("label") == 1).alias("toxic"), F.count_if(F.col("label") == 0).alias("clean"))
-    top = kinds.where("toxic > 2 * clean and toxic >= 3").select("word", "toxic", surprise.alias("z")).orderBy(F.desc("z"), "word").limit(600).collect()
-    if not top:
+                own = S.run_hashes(body, starts, ends)
+                place = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
+                hit = np.flatnonzero(wanted[place] == own)
+                owner = np.searchsorted(at, hit, side="right") - 1
+                count += np.bincount(np.unique(owner * len(wanted) + place[hit]) % len(wanted), minlength=len(wanted))
+        yield pa.RecordBatch.from_arrays([pa.array(wanted.view(np.int64)), pa.array(count)], ["hash", "n"])
+
+    in_clean = {r["hash"]: r["n"] for r in rows.where("label = 0").mapInArrow(met, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).collect()}
+    seen, worth_of = {}, {}
+    for r, h in zip(often, hashes.view(np.int64).tolist()):
+        there, expected = in_clean.get(h, 0), (r["n"] + in_clean.get(h, 0)) * toxic / (toxic + clean)
+        z = (r["n"] - expected) / np.sqrt(expected + 1)
+        if r["n"] > 2 * there and r["n"] > LIFT * expected and z > SURPRISE:
+            seen[r["word"], 1], worth_of[r["word"]] = r["n"], z
+    if not seen:
         return None
-    names, worth = [r["word"] for r in top], np.array([r["z"] for r in top])
+    names = sorted(worth_of, key=lambda w: (-worth_of[w], w))[:600]
+    worth = np.array([worth_of[w] for w in names])
+    seen = {(w, 1): seen[w, 1] for w in names}
     body, starts, ends = _laid_out(names)
     machine = Machine(None, 0.0, dict(zip(S.run_hashes(body, starts, ends).tolist(), worth.tolist())))
-    marks, seen = choose(names, worth, LANDMARKS), {(r["word"], 1): r["toxic"] for r in top}
+    marks = choose(names, worth, LANDMARKS)
     for turn in range(ROUNDS):
         shared = rows.sparkSession.sparkContext.broadcast(machine)
 
