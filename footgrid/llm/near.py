@@ -116,7 +116,8 @@ def linked_classes(members: DataFrame, docs: DataFrame, id_col: str, text_col: s
     shards = max(1, -(-total // SHARD))
     placed = members.join(sizes, "root").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     texts = docs.select(F.col(id_col).alias("own_id"), F.xxhash64(text_col).alias("own_hash"), F.col(text_col).alias("text"))
-    found = placed.join(texts, placed["id"].eqNullSafe(texts["own_id"]) & (placed["text_hash"] == texts["own_hash"])) \
+    # the members are a fixed share of all texts, so this is a shuffle of both sides at every size
+    found = placed.hint("merge").join(texts, placed["id"].eqNullSafe(texts["own_id"]) & (placed["text_hash"] == texts["own_hash"])) \
         .select("node", "root", "blocks", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
