@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, decontaminate, exact, html, near, toxicity
+from . import bpe, chat, decontaminate, exact, html, markov, near, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -98,3 +98,9 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     machine = toxicity.fit(docs, table(spark, sf_dir, "labels"), use=~toxicity.held_out("id"))
     return toxicity.scores(docs, machine).select(F.col("id").alias("doc_id"), toxicity.held_out("id").alias("held_out"), "score",
                                                  (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = markov.score(table(spark, sf_dir, "documents"), toxicity.held_out("doc_id", 1))
+    return found.withColumnsRenamed({"id": "doc_id", "held": "held_out"})
