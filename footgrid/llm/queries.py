@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, decontaminate, exact, html, markov, near, toxicity
+from . import bpe, chat, decontaminate, exact, html, licenses, markov, near, pii, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -104,3 +104,19 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = markov.score(table(spark, sf_dir, "documents"), toxicity.held_out("doc_id", 1))
     return found.withColumnsRenamed({"id": "doc_id", "held": "held_out"})
+
+
+@query
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"), "score")
+
+
+@query
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    named = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    listed = lambda kinds: F.array_join(F.transform(F.concat(*(pii.tagged(k, k) for k in kinds)), named), ",")
+    return found.select(F.col("id").alias("doc_id"), *(F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS),
+                        F.sha2(listed(pii.KINDS), 256).alias("base_sha256"), listed([*pii.KINDS, "context"]).alias("spans"))
