@@ -302,22 +302,30 @@ def drop_collinear(ring: Column) -> Column:
         z.prev.x, z.prev.y, z.next.x, z.next.y, z.cur.x, z.cur.y) != 0)))
 
 
-def thin_vertices(ring: Column, tolerance: float, parity) -> Column:
-    """One simplification round: drop vertices of one parity that lie within
-    ``tolerance`` of the line through their neighbours. No two neighbours go in the
-    same round, and a ring keeps at least four points."""
-    def stays(z, i):
-        base = F.hypot(z.next.x - z.prev.x, z.next.y - z.prev.y)
-        off = F.abs(_cross(z.prev.x, z.prev.y, z.next.x, z.next.y, z.cur.x, z.cur.y))
-        return ~((i % 2 == parity) & (base > 0) & (off < tolerance * base))
-    thinned = close(_cur(F.filter(with_neighbours(ring), stays)))
-    return let(thinned, lambda t: F.when(F.size(t) >= 5, t).otherwise(ring))
-
-
-def simplify(ring: Column, tolerance: float, rounds: int = 6) -> Column:
-    """Alternating thinning rounds."""
-    return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), ring,
-                       lambda acc, i: thin_vertices(acc, tolerance, i % 2))
+def simplify(ring: Column, tolerance: float) -> Column:
+    """Vertices thinned in one walk along the ring: from each kept vertex on, vertices are passed over as long as all of
+    them lie closer than ``tolerance`` to the chord from it to the next one. Every dropped vertex was tested against
+    the very edge that replaces it, so no part moves by more. The start stays; a ring keeps at least four points."""
+    none = F.array().cast(RING_TYPE)
+
+    def near(a, b, p):
+        base = F.hypot(b.x - a.x, b.y - a.y)
+        return F.when(base > 0, F.abs(_cross(a.x, a.y, b.x, b.y, p.x, p.y)) < tolerance * base) \
+            .otherwise(F.hypot(p.x - a.x, p.y - a.y) < tolerance)
+
+    def walk(state, v):
+        spans = F.forall(state.passed, lambda p: near(state.last, v, p))
+        on = F.struct(state.kept.alias("kept"), state.last.alias("last"), F.concat(state.passed, F.array(v)).alias("passed"))
+        turn = F.element_at(state.passed, -1)
+        return F.when(spans, on).otherwise(F.struct(F.concat(state.kept, F.array(turn)).alias("kept"), turn.alias("last"), F.array(v).alias("passed")))
+
+    def whole(r):
+        first = F.struct(r[0].x.alias("x"), r[0].y.alias("y"))
+        start = F.struct(F.array(first).cast(RING_TYPE).alias("kept"), first.cast("struct<x:double,y:double>").alias("last"), none.alias("passed"))
+        walked = F.aggregate(F.slice(r, F.lit(2), F.size(r)), start, walk, lambda s: F.concat(s.kept, F.slice(s.passed, F.size(s.passed), F.lit(1))))
+        return let(walked, lambda t: F.when(F.size(t) >= 5, t).otherwise(r))
+
+    return let(ring, lambda r: F.when(F.size(r) > 5, whole(r)).otherwise(r))
 
 
 def start_at(ring: Column, x: Column, y: Column) -> Column:

@@ -60,8 +60,12 @@ def share_histogram(shares: DataFrame, bins: int = 20) -> DataFrame:
 
 
 def class_index(df: DataFrame, value: str) -> DataFrame:
-    """``(idx, value)`` of the distinct byte values in ascending order (at most 256)."""
-    classes = df.agg(F.array_sort(F.collect_set(P.to_byte(F.col(value)))).alias("vs"))
+    """``(idx, value)`` of the distinct class codes in ascending order; a code that is no byte (at most 256 are) is an error,
+    as it would merge with another one."""
+    byte = P.to_byte(F.col(value))
+    code = F.when(F.col(value).isNull() | (F.col(value) == byte), byte).otherwise(F.raise_error(F.concat(
+        F.lit(f"Class codes in {value} have to be whole numbers from 0 to 255; found "), F.col(value).cast("string"))).cast(df.select(byte.alias("b")).schema["b"].dataType))
+    classes = df.agg(F.array_sort(F.collect_set(code)).alias("vs"))
     return classes.select(F.posexplode("vs").alias("idx", "value"))
 
 

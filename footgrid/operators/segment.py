@@ -45,9 +45,9 @@ def smooth_outline(mask: DataFrame, distance: float, value: str = "v", block: in
     return S.opening(mask, value, S.square(2 * reach + 1), block=block) if reach > 0 else mask
 
 
-def simplify(df: DataFrame, tolerance: float, rounds: int = 6, ring: str = "ring") -> DataFrame:
-    """Thin ring vertices in alternating rounds inside the ring array: no shuffle."""
-    return G.materialize(df, ring, G.simplify(F.col(ring), tolerance, rounds))
+def simplify(df: DataFrame, tolerance: float, ring: str = "ring") -> DataFrame:
+    """Thin ring vertices inside the ring array: no shuffle."""
+    return G.materialize(df, ring, G.simplify(F.col(ring), tolerance))
 
 
 def regularize(df: DataFrame, params: SegmentationParams, ring: str = "ring") -> DataFrame:

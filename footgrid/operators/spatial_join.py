@@ -51,18 +51,25 @@ def ring_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, c
 # --- operators --------------------------------------------------------------
 
 def tiles_touched(polys: DataFrame, tile: float, *carry: str | Column) -> DataFrame:
-    """``(tile_r, tile_c)`` of every square tile a box shares a point with. The tile grid
-    is the join grid, so no join is needed."""
+    """``(tile_r, tile_c)`` of every square tile a polygon shares a point with: its box picks tiles, and where there is a ``ring``
+    it decides. The tile grid is the join grid, so no join is needed."""
     lo = lambda n: F.ceil(F.col(n) / tile) - 1  # noqa: E731  (a box on a tile line touches both tiles)
     hi = lambda n: F.floor(F.col(n) / tile)
-    out = polys.select(*carry, "xmin", "ymin", "xmax", "ymax")
-    return (out.withColumn("tile_r", F.explode(F.sequence(F.greatest(lo("ymin"), F.lit(0)), hi("ymax"))))
-            .withColumn("tile_c", F.explode(F.sequence(F.greatest(lo("xmin"), F.lit(0)), hi("xmax"))))
-            .drop("xmin", "ymin", "xmax", "ymax"))
+    exact = "ring" in polys.columns
+    out = polys.select(*carry, "xmin", "ymin", "xmax", "ymax", *([F.col("ring").alias("_ring")] if exact else []))
+    out = (out.withColumn("tile_r", F.explode(F.sequence(F.greatest(lo("ymin"), F.lit(0)), hi("ymax"))))
+            .withColumn("tile_c", F.explode(F.sequence(F.greatest(lo("xmin"), F.lit(0)), hi("xmax")))))
+    if exact:
+        # a polygon within one tile, or equal to its box, needs no test
+        one = (lo("ymin") == hi("ymax")) & (lo("xmin") == hi("xmax"))
+        box = F.abs(G.area(F.col("_ring")) - (F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin"))) == 0
+        square = G.box_ring(F.col("tile_c") * tile, F.col("tile_r") * tile, (F.col("tile_c") + 1) * tile, (F.col("tile_r") + 1) * tile)
+        out = out.where(one | box | G.intersects(F.col("_ring"), square)).drop("_ring")
+    return out.drop("xmin", "ymin", "xmax", "ymax")
 
 
 def tiles_in_settlements(tiles: DataFrame, aois: DataFrame, tile: float, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Tiles that share a point with any settlement box (semi-join). Without any
+    """Tiles that share a point with any settlement (semi-join). Without any
     settlement there is no filter."""
     hit = tiles_touched(aois, tile, *keys).distinct()
     return tiles.join(hit, [*keys, "tile_r", "tile_c"], "left_semi")
@@ -75,8 +82,11 @@ def per_tile(buildings: DataFrame, tile: float, keys: tuple[str, ...] = ()) -> D
 
 
 def labels_in_images(images: DataFrame, labels: DataFrame, cell: float, keys: tuple[str, ...] = ()) -> DataFrame:
-    """``(image, bid)``: labels that share a point with an image's bounding box."""
-    return box_pairs(labels, images, "bid", "image", cell, keys)
+    """``(image, bid)``: labels that share a point with an image's bounding box; where labels have a ``ring``, it decides."""
+    if "ring" not in labels.columns:
+        return box_pairs(labels, images, "bid", "image", cell, keys)
+    framed = images.withColumn("ring", G.box_ring("xmin", "ymin", "xmax", "ymax"))
+    return ring_pairs(labels, framed, "bid", "image", cell, G.intersects, keys).select(*keys, "bid", "image")
 
 
 def buildings_in_settlements(buildings: DataFrame, aois: DataFrame, cell: float,

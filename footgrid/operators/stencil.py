@@ -90,23 +90,28 @@ def morph_pass(df: DataFrame, value: str, element: dict[int, int], op: str,
     return df.withColumn(value, result).drop(*[f"_h{w}" for w in widths])
 
 
+def _beside(value: Column, w: Window, k: int) -> Column:
+    """The value exactly ``k`` pixels along the line, null where that pixel is absent."""
+    return F.first(value).over(w.rangeBetween(k, k))
+
+
 def _median3(a: Column, b: Column, c: Column) -> Column:
     return F.greatest(F.least(a, b), F.least(F.greatest(a, b), c))
 
 
 def median_pass(df: DataFrame, value: str, keys: tuple[str, ...] = ("image",)) -> DataFrame:
-    """3 x 3 median of a dense raster with reflected border. Sorting each row of three
+    """3 x 3 median; an absent neighbour (border or gap) is stood in for by the pixel next to it on this side. Sorting each row of three
     first leaves the median as median(max of lows, median of mids, min of highs)."""
     a, d = _across(keys), _down(keys)
     v = F.col(value)
-    df = df.withColumn("_l", F.coalesce(F.lag(v).over(a), v)).withColumn("_r", F.coalesce(F.lead(v).over(a), v))
+    df = df.withColumn("_l", F.coalesce(_beside(v, a, -1), v)).withColumn("_r", F.coalesce(_beside(v, a, 1), v))
     df = df.select(*[c for c in df.columns if c not in ("_l", "_r")],
                    F.least("_l", v, "_r").alias("_lo"), _median3(F.col("_l"), v, F.col("_r")).alias("_mid"),
                    F.greatest("_l", v, "_r").alias("_hi"))
 
     def three(name: str) -> tuple[Column, Column, Column]:
         x = F.col(name)
-        return F.coalesce(F.lag(x).over(d), x), x, F.coalesce(F.lead(x).over(d), x)
+        return F.coalesce(_beside(x, d, -1), x), x, F.coalesce(_beside(x, d, 1), x)
 
     return df.withColumn(value, _median3(F.greatest(*three("_lo")), _median3(*three("_mid")),
                                          F.least(*three("_hi")))).drop("_lo", "_mid", "_hi")
@@ -116,10 +121,10 @@ def vote_pass(df: DataFrame, value: str, keys: tuple[str, ...] = ("image",)) ->
     """Per-label 3 x 3 median: the label with at least five of nine votes, else 0."""
     a, d = _across(keys), _down(keys)
     v = F.col(value)
-    df = df.withColumn("_row", F.array(F.coalesce(F.lag(v).over(a), v), v, F.coalesce(F.lead(v).over(a), v)))
+    df = df.withColumn("_row", F.array(F.coalesce(_beside(v, a, -1), v), v, F.coalesce(_beside(v, a, 1), v)))
     row = F.col("_row")
     df = df.withColumn("_nine", F.array_sort(F.concat(
-        F.coalesce(F.lag(row).over(d), row), row, F.coalesce(F.lead(row).over(d), row))))
+        F.coalesce(_beside(row, d, -1), row), row, F.coalesce(_beside(row, d, 1), row))))
     mid = F.col("_nine")[4]
     won = F.size(F.filter("_nine", lambda x: x == mid)) >= 5
     return df.withColumn(value, F.when(won, mid).otherwise(F.lit(0))).drop("_row", "_nine")
@@ -134,20 +139,19 @@ def gauss_kernel(sigma: float, truncate: float = 4.0) -> list[float]:
 
 
 def _reflected(value: str, w: Window, k: int) -> Column:
-    """Neighbour at offset ``k`` of a dense line, mirrored about the pixel edge where
-    the line ends: the last present neighbour tells how far away the end is."""
+    """Neighbour at offset ``k``, mirrored about the pixel edge where it is absent (the line ends or has a gap):
+    the farthest present one of the nearer neighbours tells how far away that edge is."""
     v, sign, k = F.col(value), (1 if k > 0 else -1), abs(k)
 
     def at(off: int) -> Column:
-        off *= sign
-        return v if off == 0 else (F.lead(v, off).over(w) if off > 0 else F.lag(v, -off).over(w))
+        return v if off == 0 else _beside(v, w, off * sign)
 
     mirrored = [F.when(at(d).isNotNull(), at(2 * d - k + 1)) for d in range(k - 1, -1, -1)]
     return F.coalesce(at(k), *mirrored)
 
 
 def gauss_pass(df: DataFrame, value: str, sigma: float = 0.5, keys: tuple[str, ...] = ("image",)) -> DataFrame:
-    """Separable Gaussian blur of a dense raster with reflected border."""
+    """Separable Gaussian blur, reflected at borders and gaps."""
     kernel = gauss_kernel(sigma)
     for w in (_across(keys), _down(keys)):
         total = F.col(value) * kernel[0]
@@ -166,23 +170,32 @@ def gauss_pass(df: DataFrame, value: str, sigma: float = 0.5, keys: tuple[str, .
 
 def _neighbours(a: np.ndarray, offsets, fill) -> list[np.ndarray]:
     h = max(max(abs(dy), abs(dx)) for dy, dx in offsets)
-    p = np.pad(a, h, mode="symmetric") if fill is None else np.pad(a, h, constant_values=fill)
+    p = np.pad(a, h, constant_values=fill)
     rows, cols = a.shape
     return [p[h + dy:h + dy + rows, h + dx:h + dx + cols] for dy, dx in offsets]
 
 
-_NINE = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+def _nine(a: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """The 3 x 3 neighbours with the stand-ins of the window form: within each row first, then whole rows of three."""
+    beside = [np.where(p, n, a) for n, p in zip(_neighbours(a, [(0, -1), (0, 1)], 0), _neighbours(there, [(0, -1), (0, 1)], False))]
+    row = [beside[0], a, beside[1]]
+    out = list(row)
+    for dy in (-1, 1):
+        here = _neighbours(there, [(dy, 0)], False)[0]
+        out += [np.where(here, _neighbours(x, [(dy, 0)], 0)[0], x) for x in row]
+    return np.sort(np.stack(out), axis=0)
 
 
-def _apply_step(a: np.ndarray, step: tuple) -> np.ndarray:
+def _apply_step(a: np.ndarray, step: tuple, there: np.ndarray) -> np.ndarray:
+    """One step on a block; ``there`` marks the pixels that exist, all others are ignored as in the window form."""
     kind = step[0]
     if kind in ("min", "max"):
         offsets = [(dy, dx) for dy, w in step[1].items() for dx in range(-w, w + 1)]
         fold, fill = (np.minimum, np.inf) if kind == "min" else (np.maximum, -np.inf)
-        return reduce(fold, _neighbours(a, offsets, fill))
+        return reduce(fold, _neighbours(np.where(there, a, fill), offsets, fill))
     if kind == "above":
         return (a > step[1]).astype(float)
-    nine = np.sort(np.stack(_neighbours(a, _NINE, None)), axis=0)
+    nine = _nine(a, there)
     return nine[4] if kind == "median" else np.where((nine == nine[4]).sum(axis=0) >= 5, nine[4], 0.0)
 
 
@@ -192,7 +205,7 @@ def _step_radius(step: tuple) -> int:
 
 def array_chain(df: DataFrame, value: str, steps: list[tuple], keys: tuple[str, ...] = ("image",), block: int = BLOCK,
                 out_type: str | None = None, nonzero_only: bool = False) -> DataFrame:
-    """Run a chain of steps on dense pixels ``(*keys, r, c, value)`` block by block."""
+    """Run a chain of steps on pixels ``(*keys, r, c, value)`` block by block; absent pixels stay absent."""
     types = dict(df.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in (*keys, "r", "c")) + f", {value} {out_type or types[value]}"
     columns = [*keys, "r", "c", value]
@@ -203,8 +216,10 @@ def array_chain(df: DataFrame, value: str, steps: list[tuple], keys: tuple[str,
         r, c = pdf["r"].to_numpy(), pdf["c"].to_numpy()
         r0, c0 = r.min(), c.min()
         a = np.zeros((r.max() - r0 + 1, c.max() - c0 + 1))
+        there = np.zeros(a.shape, bool)
         a[r - r0, c - c0] = pdf[value].to_numpy()
-        a = reduce(_apply_step, steps, a)
+        there[r - r0, c - c0] = True
+        a = reduce(lambda x, step: _apply_step(x, step, there), steps, a)
         keep = (r // block == key[nk]) & (c // block == key[nk + 1])
         v = a[r - r0, c - c0]
         if nonzero_only:
@@ -228,9 +243,10 @@ def _run(df, steps, radius, keys, block):
 
 def morphology(df: DataFrame, value: str, chain: list[tuple[str, dict[int, int]]],
                keys: tuple[str, ...] = ("image",), block: int = BLOCK, method: str | None = None) -> DataFrame:
-    """A chain of ``("min"|"max", element)`` steps in one shuffle. ``method`` is "window"
-    (default for up to two steps) or "array" (default for longer chains)."""
-    if (method or ("array" if len(chain) > 2 else "window")) == "array":
+    """A chain of ``("min"|"max", element)`` steps in one shuffle; absent pixels are ignored wherever they are. ``method`` is
+    "array" (default), or "window" for rasters without gaps: across a row, a window starts from a pixel that is there, so
+    next to a gap it would miss the neighbours beyond it."""
+    if (method or "array") == "array":
         return array_chain(df, value, chain, keys, block)
     radius = sum(radius_of(e) for _, e in chain)
     return _run(df, [lambda b, op=op, e=e: morph_pass(b, value, e, op, keys) for op, e in chain], radius, keys, block)

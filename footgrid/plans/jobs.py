@@ -8,6 +8,7 @@ from ..config import SegmentationParams, TilingParams, TrainParams, require_colu
 from ..functions import geometry as G, names as N, pixel as P
 from ..operators import (burn, metrics as M, pairing, polygonize as PG, resample, sampling, score, segment,
                          settlements as ST, spatial_join as SJ, stencil as S, tiling as T)
+from ..session import cut_lineage
 from ..sources import tasks as TK
 
 
@@ -83,25 +84,50 @@ def map_settlements(tiles: DataFrame, load_model, tile: int, params: Segmentatio
                     primary_key: str, images: DataFrame | None = None, has_edge: bool = True) -> DataFrame:
     """Tiles to building polygons, each assigned to a settlement.
 
-    ``settlements`` carries its key column and bounds on the tiles' plane. Only touched
-    tiles are scored; buildings keep the lowest settlement key they touch, one row per
-    distinct geometry."""
+    ``settlements`` carries its key column, bounds and, for exact tests, a ``ring``: on the tiles' plane without ``images`` (and then
+    may carry ``image`` to belong to one image), in world units with them. Only touched tiles are scored;
+    buildings keep the lowest settlement key they touch, one row per distinct geometry."""
     require_column(settlements, primary_key)
     if settlements.isEmpty():
         raise ValueError("The boundaries table is empty.")
     aois = settlements.withColumnRenamed(primary_key, "aoi")
-    touched = SJ.tiles_in_settlements(tiles, aois, tile)
+    if images is None:
+        touched = SJ.tiles_in_settlements(tiles, aois, tile, ("image",) if "image" in aois.columns else ())
+    else:
+        touched = _tiles_under(tiles, aois, images, tile)
     if touched.isEmpty():
         raise FileNotFoundError("Couldn't find any tiles overlapping the target area. Update the tiles or the boundaries.")
     polys = map_from_images(touched, load_model, tile, params, images, has_edge)
-    return assign_settlements(polys, aois, float(tile)).withColumnRenamed("aoi", primary_key)
-
-
-def assign_settlements(polys: DataFrame, aois: DataFrame, cell: float) -> DataFrame:
-    """Building polygons joined to settlements, without geometric duplicates."""
-    b = SJ.with_bounds(polys.withColumn("_gk", G.ring_key(F.col("ring"))).dropDuplicates(["_gk"])).withColumnRenamed("_gk", "bid")
-    hit = ST.assign(b, aois, cell)
-    return b.join(hit, "bid").withColumnRenamed("bid", "geom_key").drop("xmin", "ymin", "xmax", "ymax")
+    plane = ("image",) if images is None else ()
+    return assign_settlements(polys, aois, float(tile), plane).withColumnRenamed("aoi", primary_key)
+
+
+def _tiles_under(tiles: DataFrame, aois: DataFrame, images: DataFrame, tile: int) -> DataFrame:
+    """Tiles of any image whose world box shares a point with a settlement."""
+    place = T.georeference(tiles.select("image", "tile_r", "tile_c"), images, tile).withColumn(
+        "tile_id", F.struct("image", "tile_r", "tile_c")).withColumn("ring", G.box_ring("xmin", "ymin", "xmax", "ymax"))
+    cell = _cell_of(place)
+    pairs = (SJ.ring_pairs(place, aois, "tile_id", "aoi", cell) if "ring" in aois.columns
+             else SJ.box_pairs(place, aois, "tile_id", "aoi", cell))
+    return tiles.join(pairs.select("tile_id.*").distinct(), ["image", "tile_r", "tile_c"], "left_semi")
+
+
+def assign_settlements(polys: DataFrame, aois: DataFrame, cell: float, plane: tuple[str, ...] = ("image",)) -> DataFrame:
+    """Building polygons joined to settlements, without geometric duplicates.
+
+    ``plane`` names the columns that tell planes of coordinates apart: rings in pixels are equal only within one
+    image, rings in world units wherever they are. Of equal geometries the one of the lowest image, label and
+    ring number stays. Settlements with a ``ring`` are met exactly, others by their box; where they carry the plane's
+    columns, only settlements of a building's own plane are met."""
+    geometry = [*plane, "geom_key"]
+    keyed = polys.withColumn("geom_key", G.ring_key(F.col("ring")))
+    order = [c for c in ("image", "label", "ring_id") if c in polys.columns and c not in plane]
+    first = keyed.groupBy(*geometry).agg(F.min_by(F.struct(*[c for c in polys.columns if c not in plane]), F.struct(*order) if order else F.lit(0)).alias("_one"))
+    b = SJ.with_bounds(cut_lineage(first.select(*geometry, "_one.*").select(*polys.columns, "geom_key")))
+    shared = tuple(c for c in plane if c in aois.columns)
+    b = b.withColumn("bid", F.struct(*[c for c in geometry if c not in shared]))
+    hit = ST.assign(b, aois, cell, G.intersects if "ring" in aois.columns else None, shared)
+    return b.join(hit, [*shared, "bid"]).select(*polys.columns, "geom_key", "aoi")
 
 
 def settlement_directions(polys: DataFrame, membership: DataFrame) -> DataFrame:

@@ -194,6 +194,21 @@ def tile_pack(spark, sf):
     return tiles.select("image", "tile_r", "tile_c", F.size("data").cast("long").alias("n_values"), F.md5(text).alias("digest"))
 
 
+@query("ingested_tiles", f"""with {PIXELS} select image, (r // 32)::int as tile_r, (c // 32)::int as tile_c, count(*) as n_values,
+ md5(string_agg(v::varchar, ',' order by r, c)) as digest from px group by all""")
+def ingested_tiles(spark, sf):
+    """Tiles stored from three batches whose borders cut through images and tiles; the first one ran twice."""
+    from ..session import new_folder
+    from ..sources import sinks
+    out = new_folder(spark, "tiles")
+    tiled = T.cut(I.pixels(spark, sf), image_sizes(spark, sf), TILE)
+    part = F.pmod(F.xxhash64("image", "r", "c"), F.lit(3))
+    for k in (0, 1, 2, 0):
+        sinks.write_tile_parts(tiled.where(part == k), out, TILE, k)
+    text = F.concat_ws(",", F.transform("data", lambda v: v.cast("string")))
+    return sinks.stored_tiles(spark, out, TILE).select("image", "tile_r", "tile_c", F.size("data").cast("long").alias("n_values"), F.md5(text).alias("digest"))
+
+
 @query("tile_roundtrip", f"with {PIXELS} select image, r, c, v from px")
 def tile_roundtrip(spark, sf):
     tiles = T.pack(T.cut(I.pixels(spark, sf), image_sizes(spark, sf), TILE), TILE)

@@ -43,6 +43,11 @@ def _shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """Path of a folder of its own in the shared folder."""
+    return f"{_shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write an iteration step as a table in the shared folder and go on from it.
 
@@ -50,6 +55,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     until planning takes longer than the work, the table has its real size: join
     choices stay right and plans stay short. It also survives lost executors."""
     spark = df.sparkSession
-    path = f"{_shared_folder(spark).rstrip('/')}/step-{uuid.uuid4().hex}"
+    path = new_folder(spark, "step")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -15,20 +15,24 @@ TASK_SCHEMA = """id bigint, file_upload string, annotations array<struct<result:
 
 
 def read_tasks(spark: SparkSession, path: str) -> DataFrame:
-    """Exported task files (JSON arrays) with ``json_name``. A document that cannot be
-    read is kept as one row with its text in ``corrupt`` and no task fields."""
-    docs = spark.read.option("wholetext", True).text(path).select(
-        N.base_name(F.input_file_name()).alias("json_name"), "value",
-        F.from_json("value", f"array<struct<{_fields(TASK_SCHEMA)}>>", {"mode": "PERMISSIVE"}).alias("tasks"))
-    bad = F.col("tasks").isNull() | F.exists("tasks", lambda t: t.isNull() | t.file_upload.isNull())
-    tasks = docs.select("json_name", F.when(bad, F.col("value")).alias("corrupt"),
-                        F.explode_outer(F.when(~bad, F.col("tasks"))).alias("t"))
-    return tasks.select("t.*", "json_name", "corrupt")
-
-
-def _fields(schema: str) -> str:
-    """Column list as struct fields."""
-    return ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in StructType.fromDDL(schema))
+    """Exported task files (JSON arrays) with ``json_name``. Each task is read on its own: one that cannot be read or names
+    no upload is kept with its text in ``corrupt`` and no task fields, and the others of its file are unaffected.
+    A document that is no array is one such row."""
+    docs = spark.read.option("wholetext", True).text(path).select(N.base_name(F.input_file_name()).alias("json_name"), "value")
+    return tasks_of(docs, "value")
+
+
+def tasks_of(docs: DataFrame, column: str) -> DataFrame:
+    """Tasks of export documents (a JSON array of tasks per row), see ``read_tasks``."""
+    others = [F.col(c) for c in docs.columns if c != column]
+    # elements as their own text first: a damaged one then spoils nothing but itself
+    split = F.from_json(column, "array<string>", {"mode": "PERMISSIVE"})
+    whole = F.when(F.trim(column).startswith("[") & F.trim(column).endswith("]"), split)
+    each = docs.select(*others, F.col(column).alias("_doc"), F.explode_outer(F.coalesce(whole, F.array(F.lit(None).cast("string")))).alias("_text"))
+    each = G.materialize(each, "_t", F.from_json("_text", TASK_SCHEMA, {"mode": "PERMISSIVE"}))
+    good = F.coalesce(F.col("_t.file_upload").isNotNull(), F.lit(False))
+    fields = [F.when(good, F.col(f"_t.{f}")).alias(f) for f in StructType.fromDDL(TASK_SCHEMA).names]
+    return each.select(*fields, *others, F.when(~good, F.coalesce("_text", "_doc")).alias("corrupt"))
 
 
 def parse_tasks(df: DataFrame, column: str = "json") -> DataFrame:

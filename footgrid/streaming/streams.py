@@ -16,13 +16,14 @@ def read_pixels(spark: SparkSession, folder: str, schema: str, max_files: int =
 
 def ingest_tiles(stream: DataFrame, images: DataFrame, tile: int, out: str, checkpoint: str,
                  available_now: bool = True) -> StreamingQuery:
-    """Cut and store newly arrived images once. A batch that runs again after a failure
-    overwrites exactly the image partitions it wrote before."""
-    from ..operators.tiling import cut, pack
-    from ..sources.sinks import write_tiles
-
-    def one_batch(batch: DataFrame, _: int) -> None:
-        write_tiles(pack(cut(batch, images, tile), tile), out)
+    """Cut newly arrived pixels and store them once. A batch writes the parts of tiles that it holds to a folder of
+    its own and overwrites only that folder when it runs again after a failure, so where batches
+    end makes no difference; ``sources.sinks.stored_tiles`` puts the tiles together."""
+    from ..operators.tiling import cut
+    from ..sources.sinks import write_tile_parts
+
+    def one_batch(batch: DataFrame, number: int) -> None:
+        write_tile_parts(cut(batch, images, tile), out, tile, number)
 
     w = stream.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")).start()

@@ -302,3 +302,98 @@ def test_crs_round_trips_and_refusals(spark):
             assert abs(r.lon - r.lo) < 1e-6 and abs(r.lat - r.la) < 1e-6, name
     with pytest.raises(K.UnknownCrs):
         K.transform_xy(F.col("lon"), F.col("lat"), "EPSG:4326", "EPSG:2154")
+
+
+def _walk(points, tolerance):
+    """Plain form of the simplification."""
+    def near(a, b, p):
+        base = np.hypot(*(b - a))
+        off = abs((b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])) / base if base else np.hypot(*(p - a))
+        return off < tolerance
+    kept, passed = [points[0]], []
+    for v in points[1:]:
+        if all(near(kept[-1], v, p) for p in passed):
+            passed.append(v)
+        else:
+            kept.append(passed[-1])
+            passed = [v]
+    return [*kept, passed[-1]]
+
+
+def test_simplify_is_complete_and_bounded(spark):
+    side = [(float(i), float(i % 2)) for i in range(300)]
+    stairs = [*side, (299.0, 100.0), (0.0, 100.0), side[0]]
+    wave = [*[(float(i), 3 * np.sin(i / 4)) for i in range(200)], (199.0, 60.0), (0.0, 60.0), (0.0, 0.0)]
+    for points in (stairs, wave):
+        ring = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in points])
+        got = [(p.x, p.y) for p in spark.range(1).select(G.simplify(ring, 1.5).alias("s")).first().s]
+        want = _walk([np.array(p) for p in points], 1.5)
+        assert np.allclose(got, want) and len(got) < len(points) / 2
+    ring = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in stairs])
+    assert len(spark.range(1).select(G.simplify(ring, 1.5).alias("s")).first().s) <= 8
+
+
+def _gappy(spark):
+    rng = np.random.default_rng(11)
+    rows = [(0, r, c, int(rng.integers(0, 4))) for r in range(40) for c in range(40) if not (12 <= c < 16 or 20 <= r < 28 and c < 8) and rng.random() < 0.95]
+    return rows, spark.createDataFrame(rows, "image long, r int, c int, v int")
+
+
+def test_stencils_agree_on_rasters_with_gaps(spark):
+    rows, df = _gappy(spark)
+    at = {(r, c): v for _, r, c, v in rows}
+    k = S.ellipse(3)
+    chain = [("min", k), ("max", S.square(3)), ("max", k), ("min", k)]
+    want = dict(at)
+    for op, element in chain:
+        fold = min if op == "min" else max
+        want = {(r, c): fold(want[r + dy, c + dx] for dy, w in element.items() for dx in range(-w, w + 1) if (r + dy, c + dx) in want) for r, c in want}
+    got = S.morphology(df, "v", chain, block=16)
+    assert {(x.r, x.c): x.v for x in got.collect()} == want
+    one = S.erode(df, block=16)
+    assert {(x.r, x.c): x.v for x in one.collect()} == {(r, c): min(at[p] for p in at if abs(p[0] - r) < 2 and abs(p[1] - c) < 2) for r, c in at}
+
+    def row(r, c, own):
+        return [at.get((r, c + d), at[r, c]) for d in (-1, 0, 1)] if (r, c) in at else own
+    nine = {(r, c): sorted(sum((row(r + d, c, row(r, c, None)) for d in (-1, 0, 1)), [])) for r, c in at}
+    median = {p: n[4] for p, n in nine.items()}
+    vote = {p: n[4] if n.count(n[4]) >= 5 else 0 for p, n in nine.items()}
+    for step, passed, expected in ((("median",), S.median_pass, median), (("vote",), S.vote_pass, vote)):
+        array = S.array_chain(df, "v", [step], block=16)
+        assert {(x.r, x.c): x.v for x in array.collect()} == expected, step
+        window = S.core(passed(S.halo_blocks(df, 1, block=16), "v"), 16)
+        assert {(x.r, x.c): x.v for x in window.collect()} == expected, step
+
+
+def _ring(points):
+    return F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in [*points, points[0]]])
+
+
+def test_slanted_settlement_touches_only_its_tiles(spark):
+    aoi = SJ.with_bounds(spark.range(1).select(F.col("id").alias("aoi"), _ring([(1, 1), (19, 1), (1, 19)]).alias("ring")))
+    tiles = spark.createDataFrame([(r, c) for r in range(3) for c in range(3)], "tile_r int, tile_c int")
+    hit = lambda a: sorted((r.tile_r, r.tile_c) for r in SJ.tiles_in_settlements(tiles, a, 10.0).collect())
+    assert hit(aoi.drop("ring")) == [(0, 0), (0, 1), (1, 0), (1, 1)]
+    assert hit(aoi) == [(0, 0), (0, 1), (1, 0), (1, 1)]          # the long side meets the corner at (10, 10)
+    small = SJ.with_bounds(spark.range(1).select(F.col("id").alias("aoi"), _ring([(1, 1), (17, 1), (1, 17)]).alias("ring")))
+    assert hit(small) == [(0, 0), (0, 1), (1, 0)]
+
+
+def test_equal_buildings_of_two_images_stay(spark):
+    from footgrid.plans import jobs
+    square = _ring([(1, 1), (3, 1), (3, 3), (1, 3)])
+    polys = spark.range(2).select(F.col("id").alias("image"), F.lit(1).cast("long").alias("label"), F.lit(0).cast("long").alias("ring_id"), square.alias("ring"))
+    polys = polys.union(polys.withColumn("label", F.lit(5).cast("long")))
+    aois = SJ.with_bounds(spark.range(2).select((F.col("id") + 7).alias("aoi"), _ring([(0, 0), (4, 0), (0, 4)]).alias("ring")))
+    got = jobs.assign_settlements(polys, aois, 8.0).collect()
+    assert sorted((r.image, r.label, r.aoi) for r in got) == [(0, 1, 7), (1, 1, 7)]
+    world = jobs.assign_settlements(polys, aois, 8.0, plane=()).collect()
+    assert [(r.image, r.label, r.aoi) for r in world] == [(0, 1, 7)]
+    own = aois.withColumn("image", F.col("aoi") - 7)
+    assert sorted((r.image, r.aoi) for r in jobs.assign_settlements(polys, own, 8.0).collect()) == [(0, 7), (1, 8)]
+
+
+def test_class_codes_outside_bytes_are_refused(spark):
+    from footgrid.operators import metrics as M
+    with pytest.raises(Exception, match="0 to 255"):
+        M.class_index(spark.createDataFrame([(1,), (300,)], "v int"), "v").collect()

@@ -113,3 +113,13 @@ def test_missing_part_is_an_error(spark):
     im, parts = spark.createDataFrame([("a",), ("b",)], "name string"), spark.createDataFrame([("a", 1)], "name string, m int")
     with pytest.raises(PySparkException, match="corresponding mask"):
         required(im, parts, ["name"], "mask").collect()
+
+
+def test_bad_tasks_do_not_spoil_their_file(spark, tmp_path):
+    result = {"original_width": 200, "value": {"points": [[0, 0], [50, 0], [50, 50]], "polygonlabels": ["roof"]}}
+    good = lambda i: {"id": i, "file_upload": f"ab12-tile-{i}.TIF", "annotations": [{"result": [result]}]}
+    (tmp_path / "mixed.json").write_text(json.dumps([good(1), {"id": 2, "annotations": []}, good(3), "nothing", None, {"id": "x", "file_upload": 5, "annotations": 7}]))
+    (tmp_path / "empty.json").write_text("[]")
+    rows = TK.read_tasks(spark, str(tmp_path)).collect()
+    assert sorted(r.id for r in rows if r.corrupt is None) == [1, 3]
+    assert sum(r.json_name == "mixed.json" and r.corrupt is not None for r in rows) >= 3

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from footgrid.operators import tiling as T
 from footgrid.plans import inputs as I
+from footgrid.sources import sinks
 from footgrid.streaming import streams as ST
 
 
@@ -66,5 +67,29 @@ def test_ingest_is_exactly_once(spark, sf, tmp_path):
     out = spark.read.parquet(str(tmp_path / "out"))
     n = px.select("image").distinct().count()
     assert out.count() == 2 * n * 16 == out.select("image", "tile_r", "tile_c").distinct().count()
+    assert sinks.stored_tiles(spark, str(tmp_path / "out"), 32).count() == 2 * n * 16
     back = T.unpack(out.where("image < 100").withColumn("image", F.col("image").cast("long")), 32)
     assert back.exceptAll(px.select(back.columns)).isEmpty()
+
+
+def test_ingest_does_not_depend_on_where_batches_end(spark, sf, tmp_path):
+    px = I.pixels(spark, sf).where("image < 2")
+    images = px.select("image").distinct().select("image", F.lit(128).alias("width"), F.lit(128).alias("height"))
+    part = F.pmod(F.xxhash64("r", "c"), F.lit(3))
+    out, cp = str(tmp_path / "out"), str(tmp_path / "cp")
+    for k in (2, 0, 1):
+        if k == 1:
+            assert sinks.stored_tiles(spark, out, 32).isEmpty()
+        px.where(part == k).repartition(2).write.parquet(str(tmp_path / f"in/{k}"))
+        stream = spark.readStream.schema(px.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        ST.ingest_tiles(stream, images, 32, out, cp).awaitTermination()
+    back = T.unpack(sinks.stored_tiles(spark, out, 32), 32)
+    assert back.count() == px.count() and back.select(px.columns).exceptAll(px).isEmpty()
+
+
+def test_newest_batch_wins(spark, tmp_path):
+    out = str(tmp_path / "out")
+    for batch, value in ((3, 5), (7, 9), (4, 6)):
+        rows = [(0, r, c, value, 0, 0) for r in range(2) for c in range(2) if batch != 7 or r == 0]
+        sinks.write_tile_parts(spark.createDataFrame(rows, "image long, r int, c int, v int, tile_r int, tile_c int"), out, 2, batch)
+    assert sinks.stored_tiles(spark, out, 2).first().data == [9, 9, 6, 6]
