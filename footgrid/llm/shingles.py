@@ -7,6 +7,7 @@ A word is a maximal run of ASCII letters, ASCII digits and non-ASCII characters
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,6 @@ _BASE = 0x9E3779B97F4A7C15                       # odd, so it has an inverse mod
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
-_powers: dict[str, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,13 +30,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@lru_cache(maxsize=4)
+def _powers(base: int, bits: int) -> np.ndarray:
+    """The first 2^bits powers. The cache stays where it is: functions that are sent to executors name it, they don't carry it."""
+    steps = np.full(1 << bits, base, np.uint64)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
+
+
 def _power(base: int, n: int) -> np.ndarray:
-    have = _powers.get(str(base))
-    if have is None or len(have) < n:
-        steps = np.full(max(n, CHUNK_BYTES), base, np.uint64)
-        steps[0] = 1
-        have = _powers[str(base)] = np.multiply.accumulate(steps)
-    return have
+    return _powers(base, max(n - 1, CHUNK_BYTES - 1).bit_length())
 
 
 def chunks(texts: pa.Array, limit: int = CHUNK_BYTES, rows: int = 1 << 20) -> Iterator[tuple[int, pa.Array]]:
