@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, spent
 from ..skew import attach
 
 BLOCK = 256
@@ -48,7 +48,9 @@ def connected(edges: DataFrame, keys: list[str], salts: int = 16, max_rounds: in
         hooked = cut_lineage(state.join(hooks, [*keys, "node"], "left")
                              .select(*keys, "node", F.least("root", "low").alias("root"),
                                      F.col("low").isNotNull().alias("moved")))
+        spent(state)
         if hooked.where("moved").isEmpty():
+            spent(e)
             return hooked.select(*keys, "node", "root")
         used = hooked.select(*keys, F.col("root").alias("node")).distinct()
         up = hooked.join(used, [*keys, "node"], "left_semi").select(
@@ -56,6 +58,7 @@ def connected(edges: DataFrame, keys: list[str], salts: int = 16, max_rounds: in
         # a root may own a third of the nodes whatever the degree of the edges, so this is always salted
         state = cut_lineage(attach(hooked.drop("moved"), up, [*keys, "root"], ["node"])
                             .select(*keys, "node", F.col("up").alias("root")))
+        spent(hooked)
     raise RuntimeError(f"Components did not settle in {max_rounds} rounds.")
 
 

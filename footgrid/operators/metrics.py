@@ -53,7 +53,8 @@ def value_share(df: DataFrame, value: str, target: int, by: list) -> DataFrame:
 
 def share_histogram(shares: DataFrame, bins: int = 20) -> DataFrame:
     """Equal-width histogram over the observed range; the top edge belongs to the last bin."""
-    lo, hi = shares.agg(F.min("share")).scalar(), shares.agg(F.max("share")).scalar()
+    span = shares.agg(F.struct(F.min("share").alias("lo"), F.max("share").alias("hi"))).scalar()
+    lo, hi = span["lo"], span["hi"]
     width = (hi - lo) / bins
     bin_ = F.when(width == 0, 0).otherwise(F.least(F.floor((F.col("share") - lo) / width), F.lit(bins - 1)))
     return shares.groupBy(bin_.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import geometry as G
-from ..session import cut_lineage
+from ..session import cut_lineage, spent
 from .components import BLOCK, label_mask, part_pixels
 from .stencil import halo_blocks
 
@@ -131,8 +131,9 @@ def _link(open_chains: DataFrame, max_rounds: int = 64) -> DataFrame:
         far = s.select("image", F.col("head").alias("ptr"), F.col("ptr").alias("p2"), F.col("low").alias("l2"))
         step = cut_lineage(s.join(far, ["image", "ptr"]).select(
             "image", "head", F.col("p2").alias("ptr"), F.least("low", "l2").alias("low"),
-            (F.col("l2") < F.col("low")).alias("moved")))
-        s = step.drop("moved")
+            (F.col("l2") < F.col("low")).alias("moved")))      # the next round leaves `moved` behind
+        spent(s)
+        s = step
         if step.where("moved").isEmpty():
             break
     rings = s.select("image", "head", F.col("low").alias("ring"))
@@ -146,9 +147,12 @@ def _link(open_chains: DataFrame, max_rounds: int = 64) -> DataFrame:
         if d.where(F.col("ptr").isNotNull()).isEmpty():
             return d.select("image", "head", "ring", "back")
         far = d.select("image", F.col("head").alias("ptr"), F.col("ptr").alias("p2"), F.col("back").alias("b2"))
-        d = cut_lineage(d.join(far, ["image", "ptr"], "left").select(
+        # chains that have reached the cut only pass on; joined by their null pointer they would be one task per image
+        on = d.where(F.col("ptr").isNotNull()).join(far, ["image", "ptr"], "left").select(
             "image", "head", "ring", F.col("p2").alias("ptr"),
-            (F.col("back") + F.coalesce("b2", F.lit(0))).alias("back")))
+            (F.col("back") + F.coalesce("b2", F.lit(0))).alias("back"))
+        last, d = d, cut_lineage(on.unionByName(d.where(F.col("ptr").isNull())))
+        spent(last)
     raise RuntimeError("Ring linking did not settle.")
 
 

@@ -52,8 +52,9 @@ def simplify(df: DataFrame, tolerance: float, ring: str = "ring") -> DataFrame:
 
 def regularize(df: DataFrame, params: SegmentationParams, ring: str = "ring") -> DataFrame:
     """Simplify a ring and replace it by its smallest rotated rectangle when it fills more
-    than ``mbr_threshold`` of it. Empty and flat rings stay as they are."""
-    return G.materialize(df, ring, G.regularized(F.col(ring), params.simplify_tolerance, params.use_mbr, params.mbr_threshold))
+    than ``mbr_threshold`` of it. Empty and flat rings stay as they are, and so does one whose simplified form is not valid."""
+    new = G.regularized(F.col(ring), params.simplify_tolerance, params.use_mbr, params.mbr_threshold)
+    return G.materialize(df, ring, G.let(new, lambda r: F.when(G.is_valid(r), r).otherwise(F.col(ring))))
 
 
 def area_filter(df: DataFrame, lo: float, hi: float, area: str = "area") -> DataFrame:
@@ -76,8 +77,14 @@ def vectorize(mask: DataFrame, params: SegmentationParams, images: DataFrame | N
               smooth: bool = True, block: int = C.BLOCK) -> DataFrame:
     """Dense mask ``(image, r, c, v)`` to building polygons: median vote (unless the mask
     already had it), outer rings, regularisation, area bounds. With ``images (image, t, crs)`` rings and areas are in
-    world units (equal-area for longitude/latitude)."""
+    world units; longitude/latitude rings are regularised and measured on an equal-area plane in metres."""
+    from ..functions.crs import transform_xy
     from ..skew import attach
+
+    def moved(a: str, b: str):
+        return G.map_points(F.col("ring"), lambda x, y: transform_xy(x, y, a, b)[0], lambda x, y: transform_xy(x, y, a, b)[1])
+
+    degrees = F.col("crs") == "EPSG:4326"
     voted = S.array_chain(mask, "v", [("vote",)], nonzero_only=True) if smooth else mask.where("v <> 0")
     rings = PG.polygonize(voted.select("image", "r", "c"), block)
     rings = rings.where(~F.col("is_hole")).drop("is_hole", "perimeter", "area")
@@ -85,14 +92,11 @@ def vectorize(mask: DataFrame, params: SegmentationParams, images: DataFrame | N
         rings = attach(rings, images.select("image", "t", "crs"), ["image"], ["ring_id"])
         rings = rings.withColumn("ring", G.map_points(
             F.col("ring"), lambda x, y: P.to_world(x, y, F.col("t"))[0], lambda x, y: P.to_world(x, y, F.col("t"))[1]))
+        rings = G.materialize(rings, "ring", F.when(degrees, moved("EPSG:4326", "CEA")).otherwise(F.col("ring")))
     rings = rings.withColumn("angle", G.dominant_angle(F.col("ring")))
-    out = regularize(rings, params)
-    if images is None:
-        out = out.withColumn("area", G.area(F.col("ring")))
-    else:
-        from ..functions.crs import true_area
-        out = out.withColumn("area", F.when(F.col("crs") == "EPSG:4326", true_area(F.col("ring"), "EPSG:4326"))
-                             .otherwise(G.area(F.col("ring")))).drop("t", "crs")
+    out = regularize(rings, params).withColumn("area", G.area(F.col("ring")))
+    if images is not None:
+        out = G.materialize(out, "ring", F.when(degrees, moved("CEA", "EPSG:4326")).otherwise(F.col("ring"))).drop("t", "crs")
     if params.drop_largest:
         out = drop_largest(out, ["image"])
     return area_filter(out, params.min_building_area, params.max_building_area)

@@ -354,13 +354,14 @@ def affine_resample(spark, sf):
     return resample.resample(px, source, I.frame(im, I.SIDE, I.SIDE), target, source_crs="plane", target_crs="plane")
 
 
-@query("brovey", f"""with {BANDS}, ms as (select image, band, r, c, v from bands where band <= 4 and r < 32 and c < 32),
+@query("brovey", f"""with {BANDS}, ms as (select image, band, r // 4 as r, c // 4 as c, sum(v) as v from bands where band <= 4 group by all),
 av as (select image, r, c, avg(v) as m from ms group by 1, 2, 3)
 select p.image, ms.band, p.r, p.c, round(case when m = 0 then null else ms.v * p.v / m end, 6) as v
 from px p join ms on ms.image = p.image and ms.r = p.r // 4 and ms.c = p.c // 4
 join av on av.image = p.image and av.r = ms.r and av.c = ms.c""")
 def brovey(spark, sf):
-    ms = I.bands(spark, sf, 4).where("r < 32 and c < 32")
+    quarter = lambda n: F.floor(F.col(n) / 4).cast("int").alias(n)
+    ms = I.bands(spark, sf, 4).groupBy("image", "band", quarter("r"), quarter("c")).agg(F.sum("v").alias("v"))
     return resample.brovey(ms, I.pixels(spark, sf), 4, 4).withColumn("v", F.round("v", 6))
 
 
@@ -389,15 +390,33 @@ def random_erase(spark, sf):
         "image", "tile_r", "tile_c", "r", "c", F.col("v").cast("double").alias("v"))
 
 
-@query("rotate_zoom")
+def _unit_sql(salt: str) -> str:
+    return f"('0x' || substr(md5('7:{salt}:' || image || ':' || tr || ':' || tc), 1, 12))::bigint / 281474976710656.0::double"
+
+
+_TILED = f"""{PIXELS}, tl as (select image, (r // 32)::int as tr, (c // 32)::int as tc, (r % 32)::int as r, (c % 32)::int as c, v from px)"""
+
+
+@query("rotate_zoom", f"""with {_TILED}, k as (select distinct image, tr, tc, radians({_unit_sql('rot')} * 80 - 40) as a, {_unit_sql('zoom')} * (1.6 - 0.9) + 0.9 as z,
+ {_unit_sql('warp')} * 0.2 - 0.1 as s from tl),
+d as (select tl.image, tl.tr, tl.tc, r, c, (c - 15.5) / z as dx, (r - 15.5) / z as dy, a, s from tl join k using (image, tr, tc)),
+t as (select image, tr, tc, r, c, round(-sin(a) * dx + cos(a) * dy + 15.5)::int as sr, round(cos(a) * dx + sin(a) * dy + s * dy + 15.5)::int as sc from d)
+select t.image, t.tr as tile_r, t.tc as tile_c, t.r, t.c, tl.v from t left join tl on tl.image = t.image and tl.tr = t.tr and tl.tc = t.tc and tl.r = t.sr and tl.c = t.sc""")
 def rotate_zoom(spark, sf):
     t = _tile_cols(I.pixels(spark, sf)).withColumn("r", (F.col("r") % TILE).cast("int")).withColumn("c", (F.col("c") % TILE).cast("int"))
     return augment.rotate_zoom(t, TILE, 7, ("image", "tile_r", "tile_c"))
 
 
-@query("colour_jitter")
+@query("colour_jitter", f"""with {_TILED.replace('(r % 32)::int as r, (c % 32)::int as c', 'r, c')}, k as (select distinct image, tr, tc, 1 + ({_unit_sql('b')} * 2 - 1) * 0.2 as bright,
+ 1 + ({_unit_sql('c')} * 2 - 1) * 0.2 as contrast, 1 + ({_unit_sql('s')} * 2 - 1) * 0.2 as sat, ({_unit_sql('hue')} * 2 - 1) * 0.2 as hue from tl),
+x as (select *, v / 255 as x, v / 255 * 0.8::double as y, 1 - v / 255 as w from tl join k using (image, tr, tc)),
+m as (select *, (x + y + w) / 3 as g, x + hue * (y - w) as mr, y + hue * (w - x) as mg, w + hue * (x - y) as mb from x)
+select image, tr as tile_r, tc as tile_c, r, c, round(least(greatest((g + (mr - g) * sat - 0.5) * contrast + 0.5 + bright - 1, 0), 1), 6) as red,
+ round(least(greatest((g + (mg - g) * sat - 0.5) * contrast + 0.5 + bright - 1, 0), 1), 6) as green,
+ round(least(greatest((g + (mb - g) * sat - 0.5) * contrast + 0.5 + bright - 1, 0), 1), 6) as blue from m""")
 def colour_jitter(spark, sf):
     px = _tile_cols(I.pixels(spark, sf))
     v = F.col("v") / 255
     rgb = px.select("image", "tile_r", "tile_c", "r", "c", v.alias("red"), (v * 0.8).alias("green"), (1 - v).alias("blue"))
-    return augment.jitter(rgb, 7, ("image", "tile_r", "tile_c"))
+    out = augment.jitter(rgb, 7, ("image", "tile_r", "tile_c"))
+    return out.select("image", "tile_r", "tile_c", "r", "c", *(F.round(n, 6).alias(n) for n in ("red", "green", "blue")))

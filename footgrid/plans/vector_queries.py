@@ -152,13 +152,13 @@ def min_rotated_rect(spark, sf):
     return r.select("bid", F.round(G.area(F.col("mbr")), 5).alias("area"))
 
 
-@query("regularized_shapes", f"""with {BUILDINGS} select bid, round(case when bid % 2 = 0 then ((x1 - x0) * (y1 - y0))::double
- else ((x1 - x0) * (y1 - y0))::double * 0.75 end, 5) as area from bld where x1 - x0 >= 4 and y1 - y0 >= 4""")
+@query("regularized_shapes", f"""with {BUILDINGS} select bid, round(case when bid % 2 = 0 then ((x1 - x0) * (y1 - y0))::double * 100
+ else ((x1 - x0) * (y1 - y0))::double * 75 end, 5) as area from bld""")
 def regularized_shapes(spark, sf):
-    """Even ids: a box with a shallow dent is squared up. Odd ids: an L keeps its shape."""
+    """In tenths of a unit. Even ids: a box with a shallow dent is squared up. Odd ids: an L keeps its shape."""
     from ..config import SegmentationParams
-    b = I.buildings(spark, sf).where("x1 - x0 >= 4 and y1 - y0 >= 4")
-    x0, y0, x1, y1 = (F.col(n).cast("double") for n in ("x0", "y0", "x1", "y1"))
+    b = I.buildings(spark, sf)
+    x0, y0, x1, y1 = (F.col(n).cast("double") * 10 for n in ("x0", "y0", "x1", "y1"))
     mx, my = (x0 + x1) / 2, (y0 + y1) / 2
     pt = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     dent = F.array(pt(x0, y0), pt(mx, y0 + 0.2), pt(x1, y0), pt(x1, y1), pt(x0, y1), pt(x0, y0))
@@ -201,11 +201,11 @@ def dedupe_labels(spark, sf):
 
 
 @query("concat_labels", f"""with {BUILDINGS} select x0, y0, x1, y1, confidence, null as source from bld where bid % 2 = 0
- union select x0, y0, x1, y1, null, 'survey' from bld where bid % 3 = 0""")
+ union select x0, y0, x1, y1, null, 'survey' from bld where bid % 2 = 1 or bid % 3 = 0""")
 def concat_labels(spark, sf):
     b = I.buildings(spark, sf)
     one = b.where("bid % 2 = 0").select("x0", "y0", "x1", "y1", "confidence")
-    two = b.where("bid % 3 = 0").select("x0", "y0", "x1", "y1", F.lit("survey").alias("source"))
+    two = b.where("bid % 2 = 1 or bid % 3 = 0").select("x0", "y0", "x1", "y1", F.lit("survey").alias("source"))
     return concat_frames(one, two)
 
 
@@ -518,7 +518,7 @@ def polygonize_rings(spark, sf):
         F.max("b.xmax").alias("xmax"), F.max("b.ymax").alias("ymax"))
 
 
-@query("mask_iou", f"""with recursive {MASK}, prd as (select scene, bid as pid, x0 + bid % 3 as x0, y0, x1 + bid % 3 as x1, y1 from bld where bid % 2 = 0),
+@query("mask_iou", f"""with recursive {MASK}, prd as (select scene, bid as pid, x0 + bid % 3 as x0, y0, x1 + bid % 3 as x1, y1 from bld),
 prow as (select scene as image, x0, x1, unnest(range(y0, least(y1, 1000))) as r from prd),
 pmask as (select distinct image, r::int as r, c::int as c from (select image, r, unnest(range(x0, least(x1, 1000))) as c from prow)),
 {_components_sql()}, {_components_sql("pmask", "p")},

@@ -31,7 +31,7 @@ BUILDINGS = """b0 as (select p_partkey // 2000 as scene, p_partkey as bid, (p_pa
 bld as (select scene, bid, x0, y0, x0 + w as x1, y0 + h as y1, confidence from b0)"""
 
 PREDICTED = BUILDINGS + """,
-prd as (select scene, bid as pid, x0 + bid % 3 as x0, y0, x1 + bid % 3 as x1, y1 from bld where bid % 2 = 0)"""
+prd as (select scene, bid as pid, x0 + bid % 3 as x0, y0, x1 + bid % 3 as x1, y1 from bld)"""
 
 AOIS = """aoi as (select s_suppkey // 100 as scene, s_suppkey as aoi, (s_suppkey * 613) % 960 as x0,
        (s_suppkey * 389) % 960 as y0, (s_suppkey * 613) % 960 + 40 as x1, (s_suppkey * 389) % 960 + 40 as y1

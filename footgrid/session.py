@@ -57,4 +57,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, "step")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._step = path
+    return out
+
+
+def spent(*steps: DataFrame) -> None:
+    """Delete the tables of steps that no later plan reads; frames that are no steps are left alone."""
+    for df in steps:
+        path = getattr(df, "_step", None)
+        if path:
+            spark = df.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -27,15 +27,20 @@ def attach(df: DataFrame, table: DataFrame, on: list[str], spread_by: list[str |
 
 def hot_key_join(left: DataFrame, right: DataFrame, on: list[str], spread_by: list[str | Column],
                  hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Inner many-to-many equi-join whose hot keys are split by measured size.
-
-    Keys with more than ``hot_rows`` rows in ``left`` get ceil(rows / hot_rows)
-    shares: left rows go to one share each, right rows to all shares of the key."""
-    hot = (left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-           .select(*on, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_k")))
-    spread = F.xxhash64(*spread_by)
-    l = attach(left, hot, on, spread_by, "left") \
-        .withColumn("_share", F.pmod(spread, F.coalesce("_k", F.lit(1))).cast("int")).drop("_k")
-    r = attach(right, hot, on, right.columns, "left") \
-        .withColumn("_share", F.explode(F.sequence(F.lit(0), F.coalesce("_k", F.lit(1)) - 1))).drop("_k")
-    return l.join(r, [*on, "_share"]).drop("_share")
+    """Inner many-to-many equi-join whose hot keys are split by measured size, on both sides.
+
+    A key with more than ``hot_rows`` rows on a side is cut into ceil(rows / hot_rows) shares there; each pair of a left and a
+    right share is a key of its own, so left rows are repeated once per right share and the other way round. Keys of one side
+    only can't join and are not measured."""
+    count = lambda df, name: df.groupBy(*on).agg(F.count(F.lit(1)).alias(name))
+    share = lambda n: F.ceil(F.col(n) / hot_rows).cast("int")
+    hot = (count(left, "_nl").join(count(right, "_nr"), on).where((F.col("_nl") > hot_rows) | (F.col("_nr") > hot_rows))
+           .select(*on, share("_nl").alias("_a"), share("_nr").alias("_b")))
+
+    def dealt(df: DataFrame, key: Column, own: str, shares: str, other: str, others: str) -> DataFrame:
+        return df.withColumn(own, F.pmod(key, F.coalesce(shares, F.lit(1))).cast("int")) \
+            .withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(others, F.lit(1)) - 1))).drop(shares, others)
+
+    l = dealt(attach(left, hot, on, spread_by, "left"), F.xxhash64(*spread_by), "_i", "_a", "_j", "_b")
+    r = dealt(attach(right, hot, on, right.columns, "left"), F.xxhash64(*right.columns), "_j", "_b", "_i", "_a")
+    return l.join(r, [*on, "_i", "_j"]).drop("_i", "_j")
