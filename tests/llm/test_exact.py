@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from footgrid.llm import exact
 
@@ -22,7 +23,7 @@ def test_groups(spark, parts):
     rows = [(rng.choice([None, *range(80)]), rng.choice(texts)) for _ in range(400)]
     docs = spark.createDataFrame([(n, i, t, "q") for n, (i, t) in enumerate(rows)], "row long, doc_id long, text string, sha string").repartition(parts)
     # with a row number of our own, runs are its upper bits; here every row is in run 0 unless spread
-    spread = docs.selectExpr("(row % %d) * (1L << 33) + row as row" % parts, "doc_id", "text", "sha", "row as n")
+    spread = docs.withColumn("row", (F.col("row") % parts) * F.lit(1 << 33) + F.col("row"))
     got = {r.row & ((1 << 33) - 1): (r.keep_id, r.group_size, r.kept) for r in exact.groups(spread, row="row").collect()}
     want = brute([(i, t) for i, t in rows])
     assert {n: v[1:2] for n, v in got.items()} == {n: v[1:2] for n, v in want.items()}
