@@ -4,7 +4,7 @@ Base spans (email, ip, card, phone) seed a bipartite graph. Its instances are id
 the seeds themselves; its patterns are lexical contexts, the word before and the word after. Rounds of sums over the graph score both sides:
 a pattern by the scores of its distinct instances over all that it extracts, which counts each text where its word stands
 at all, so that words that are everywhere score near zero however many seeds they meet; an instance by the chance that
-one of its patterns is right (noisy or). Patterns that MIN_SEEDS distinct seeds induced and that score high enough discover
+one of its patterns is right (noisy or), if MIN_PATTERNS of them are trusted at all. Patterns that MIN_SEEDS distinct seeds induced and that score high enough discover
 instances, whose places become spans of the kind `context`.
 
 Base patterns are written so that each one is tried once per run of its characters: no backtracking or rescanning, and equal to leftmost
@@ -37,6 +37,7 @@ ROUNDS = 3
 MIN_SEEDS = 5
 MIN_PATTERN = 0.5
 MIN_INSTANCE = 0.85
+MIN_PATTERNS = 2                               # patterns that have to speak for an instance, so that one common word can't drift
 NEAR = 40                                      # code points on either side in which the word next to a span is looked for
 
 
@@ -127,7 +128,7 @@ def scored(found: DataFrame, docs: DataFrame, text_col: str, rounds: int = ROUND
     for _ in range(rounds):
         trust = known.groupBy("pattern").agg((F.sum("score") / (F.first("extracts") + 1)).alias("trust"))
         values = attach(graph.select("pattern", "value", "seed"), trust, ["pattern"], ["value"]).groupBy("value").agg(
-            F.when(F.max("seed"), 1.0).otherwise(1 - F.exp(F.sum(F.log(1 - F.when(F.col("trust") >= MIN_PATTERN, F.col("trust")).otherwise(0.0))))).alias("score"),
+            F.when(F.max("seed"), 1.0).when(F.count_if(F.col("trust") >= MIN_PATTERN) < MIN_PATTERNS, 0.0).otherwise(1 - F.exp(F.sum(F.log(1 - F.when(F.col("trust") >= MIN_PATTERN, F.col("trust")).otherwise(0.0))))).alias("score"),
             F.max("seed").alias("seed"))
         values = cut_lineage(values)
         known = graph.join(values.select("value", "score"), "value")
