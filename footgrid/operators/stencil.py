@@ -244,9 +244,13 @@ def _run(df, steps, radius, keys, block):
 def morphology(df: DataFrame, value: str, chain: list[tuple[str, dict[int, int]]],
                keys: tuple[str, ...] = ("image",), block: int = BLOCK, method: str | None = None) -> DataFrame:
     """A chain of ``("min"|"max", element)`` steps in one shuffle; absent pixels are ignored wherever they are. ``method`` is
-    "array" (default), or "window" for rasters without gaps: across a row, a window starts from a pixel that is there, so
-    next to a gap it would miss the neighbours beyond it."""
-    if (method or "array") == "array":
+    "scatter" (default for one step, no Python), "array" (default for more), both with the same rows, or "window" for
+    rasters without gaps: across a row, a window starts from a pixel that is there, so next to a gap it would miss
+    the neighbours beyond it."""
+    method = method or ("scatter" if len(chain) == 1 else "array")
+    if method == "scatter":
+        return reduce(lambda d, step: scatter(d, value, step[1], step[0], keys), chain, df)
+    if method == "array":
         return array_chain(df, value, chain, keys, block)
     radius = sum(radius_of(e) for _, e in chain)
     return _run(df, [lambda b, op=op, e=e: morph_pass(b, value, e, op, keys) for op, e in chain], radius, keys, block)

@@ -15,8 +15,8 @@ TASK_SCHEMA = """id bigint, file_upload string, annotations array<struct<result:
 
 
 def read_tasks(spark: SparkSession, path: str) -> DataFrame:
-    """Exported task files (JSON arrays) with ``json_name``. Each task is read on its own: one that cannot be read or names
-    no upload is kept with its text in ``corrupt`` and no task fields, and the others of its file are unaffected.
+    """Exported task files (JSON arrays) with ``json_name``. Each task is read on its own: one that cannot be read or has
+    no id or upload is kept with its text in ``corrupt`` and no task fields, and the others of its file are unaffected.
     A document that is no array is one such row."""
     docs = spark.read.option("wholetext", True).text(path).select(N.base_name(F.input_file_name()).alias("json_name"), "value")
     return tasks_of(docs, "value")
@@ -30,7 +30,7 @@ def tasks_of(docs: DataFrame, column: str) -> DataFrame:
     whole = F.when(F.trim(column).startswith("[") & F.trim(column).endswith("]"), split)
     each = docs.select(*others, F.col(column).alias("_doc"), F.explode_outer(F.coalesce(whole, F.array(F.lit(None).cast("string")))).alias("_text"))
     each = G.materialize(each, "_t", F.from_json("_text", TASK_SCHEMA, {"mode": "PERMISSIVE"}))
-    good = F.coalesce(F.col("_t.file_upload").isNotNull(), F.lit(False))
+    good = F.coalesce(F.col("_t.file_upload").isNotNull() & F.col("_t.id").isNotNull(), F.lit(False))
     fields = [F.when(good, F.col(f"_t.{f}")).alias(f) for f in StructType.fromDDL(TASK_SCHEMA).names]
     return each.select(*fields, *others, F.when(~good, F.coalesce("_text", "_doc")).alias("corrupt"))
 

@@ -348,8 +348,9 @@ def test_stencils_agree_on_rasters_with_gaps(spark):
     for op, element in chain:
         fold = min if op == "min" else max
         want = {(r, c): fold(want[r + dy, c + dx] for dy, w in element.items() for dx in range(-w, w + 1) if (r + dy, c + dx) in want) for r, c in want}
-    got = S.morphology(df, "v", chain, block=16)
-    assert {(x.r, x.c): x.v for x in got.collect()} == want
+    for method in ("array", "scatter"):
+        got = S.morphology(df, "v", chain, block=16, method=method)
+        assert {(x.r, x.c): x.v for x in got.collect()} == want, method
     one = S.erode(df, block=16)
     assert {(x.r, x.c): x.v for x in one.collect()} == {(r, c): min(at[p] for p in at if abs(p[0] - r) < 2 and abs(p[1] - c) < 2) for r, c in at}
 
