@@ -26,9 +26,9 @@ from .shingles import chunks
 
 #: The split of text into words that this family of vocabularies was made with.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_WORDS = 400_000
-RUN_BYTES = 12 << 20
-RUN_ROWS = 8_000
+CACHE_WORDS = 250_000
+RUN_BYTES = 8 << 20
+RUN_ROWS = 5_000
 
 
 def _ascending(x: np.ndarray) -> np.ndarray:
