@@ -411,9 +411,9 @@ def rotate_zoom(spark, sf):
  1 + ({_unit_sql('c')} * 2 - 1) * 0.2 as contrast, 1 + ({_unit_sql('s')} * 2 - 1) * 0.2 as sat, ({_unit_sql('hue')} * 2 - 1) * 0.2 as hue from tl),
 x as (select *, v / 255 as x, v / 255 * 0.8::double as y, 1 - v / 255 as w from tl join k using (image, tr, tc)),
 m as (select *, (x + y + w) / 3 as g, x + hue * (y - w) as mr, y + hue * (w - x) as mg, w + hue * (x - y) as mb from x)
-select image, tr as tile_r, tc as tile_c, r, c, round(least(greatest((g + (mr - g) * sat - 0.5) * contrast + 0.5 + bright - 1, 0), 1), 6) as red,
- round(least(greatest((g + (mg - g) * sat - 0.5) * contrast + 0.5 + bright - 1, 0), 1), 6) as green,
- round(least(greatest((g + (mb - g) * sat - 0.5) * contrast + 0.5 + bright - 1, 0), 1), 6) as blue from m""")
+select image, tr as tile_r, tc as tile_c, r, c, round(least(greatest((g + (mr - g) * sat - 0.5) * contrast + 0.5 + (bright - 1), 0), 1), 6) as red,
+ round(least(greatest((g + (mg - g) * sat - 0.5) * contrast + 0.5 + (bright - 1), 0), 1), 6) as green,
+ round(least(greatest((g + (mb - g) * sat - 0.5) * contrast + 0.5 + (bright - 1), 0), 1), 6) as blue from m""")
 def colour_jitter(spark, sf):
     px = _tile_cols(I.pixels(spark, sf))
     v = F.col("v") / 255
