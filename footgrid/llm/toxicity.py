@@ -15,8 +15,9 @@ norm is only computed where a bound on it says the word can score above the floo
 At most `sample` labelled rows are used for fitting, the first by a hash of the id; all texts are scored whole.
 
 Results: null and wordless texts get the floor's score; repeated rows are scored alike; labels that are null, held out or without a
-text are not used; where the labels of one class are missing, every score is 0. An empty table gives an empty table. Other columns
-are returned untouched by `clean` and not read elsewhere.
+text are not used; where the labels of one class are missing, every score is 0; where both are there but no word tells them apart, fitting
+raises ValueError, as no score would mean anything. An empty table gives an empty table. Other columns are returned untouched by `clean`
+and not read elsewhere.
 """
 
 from __future__ import annotations
@@ -39,8 +40,9 @@ LANDMARKS = 96
 SAMPLE = 20_000
 ROUNDS = 4
 WORST = 3
-#: First-round words stand after at least three different words in toxic texts (so copies of one text don't count), LIFT times as often as
-#: chance has it and SURPRISE standard deviations above that; looked for among the CANDIDATES most frequent words of toxic texts.
+#: First-round words stand after at least three different words in toxic texts (so copies of one text don't count), in a share of the toxic
+#: texts LIFT times their share of the clean ones, mostly in toxic texts, and SURPRISE standard deviations more often than if labels were
+#: dealt at random; looked for among the CANDIDATES most frequent words of toxic texts.
 LIFT, SURPRISE, CANDIDATES = 3.0, 3.0, 50_000
 GAPS = [(a, b) for a in range(1, SPAN - 1) for b in range(1, SPAN - a)]
 
@@ -231,7 +233,8 @@ def solve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 2e-4)
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
         sample: int = SAMPLE, use: Column | None = None) -> Machine | None:
-    """A machine from at most `sample` labelled rows, or None if a class has no rows. `use` says which labels may be used."""
+    """A machine from at most `sample` labelled rows, or None if a class has no rows. `use` says which labels may be used.
+    ValueError if both classes have rows but no word tells them apart."""
     told = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     told = (told if use is None else told.where(use)).groupBy("id").agg(F.max("label").alias("label"))
     told = F.broadcast(told.orderBy(F.xxhash64("id"), "id").limit(sample))      # `sample` pairs of numbers
@@ -255,31 +258,36 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     often = rows.where("label = 1").mapInArrow(spotted, "word string, before long").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("n")) \
         .where(F.char_length("word").between(3, 40) & (F.col("n") >= 3)).orderBy(F.desc("n"), "word").limit(CANDIDATES).collect()
     if not often:
-        return None
+        raise ValueError(f"no word stands after three different words in the {toxic} toxic texts")
     hashes = S.run_hashes(*_laid_out([r["word"] for r in often]))
     listed = rows.sparkSession.sparkContext.broadcast(np.sort(hashes))
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, count = listed.value, np.zeros(len(listed.value), np.int64)
+        wanted, count = listed.value, np.zeros((2, len(listed.value)), np.int64)
         for batch in batches:
+            label = batch.column(0).to_numpy()
             for first, part in S.chunks(batch.column(1)):
                 body, starts, ends, at = words(part)
                 own = S.run_hashes(body, starts, ends)
                 place = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
                 hit = np.flatnonzero(wanted[place] == own)
                 owner = np.searchsorted(at, hit, side="right") - 1
-                count += np.bincount(np.unique(owner * len(wanted) + place[hit]) % len(wanted), minlength=len(wanted))
-        yield pa.RecordBatch.from_arrays([pa.array(wanted.view(np.int64)), pa.array(count)], ["hash", "n"])
-
-    in_clean = {r["hash"]: r["n"] for r in rows.where("label = 0").mapInArrow(met, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).collect()}
-    seen, worth_of = {}, {}
+                text, place = np.divmod(np.unique(owner * len(wanted) + place[hit]), len(wanted))
+                np.add.at(count, (label[first + text], place), 1)
+        some = np.flatnonzero(count.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(wanted[some].view(np.int64)), pa.array(count[0, some]), pa.array(count[1, some])], ["hash", "clean", "toxic"])
+
+    texts = {r["hash"]: (r["toxic"], r["clean"]) for r in rows.mapInArrow(met, "hash long, clean long, toxic long").groupBy("hash")
+             .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).collect()}
+    seen, worth_of, share = {}, {}, toxic / (toxic + clean)
     for r, h in zip(often, hashes.view(np.int64).tolist()):
-        there, expected = in_clean.get(h, 0), (r["n"] + in_clean.get(h, 0)) * toxic / (toxic + clean)
-        z = (r["n"] - expected) / np.sqrt(expected + 1)
-        if r["n"] > 2 * there and r["n"] > LIFT * expected and z > SURPRISE:
+        held, there = texts.get(h, (0, 0))
+        z = (r["n"] - (r["n"] + there) * share) / np.sqrt((r["n"] + there) * share * (1 - share) + 1)
+        # rates are compared over texts of both classes, as a common word stands after many words of one text
+        if r["n"] > 2 * there and min(held, r["n"]) * clean > LIFT * there * toxic and z > SURPRISE:
             seen[r["word"], 1], worth_of[r["word"]] = r["n"], z
     if not seen:
-        return None
+        raise ValueError(f"no word tells the {toxic} toxic from the {clean} clean texts")
     names = sorted(worth_of, key=lambda w: (-worth_of[w], w))[:600]
     worth = np.array([worth_of[w] for w in names])
     seen = {(w, 1): seen[w, 1] for w in names}
@@ -303,7 +311,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 seen[r["word"], r["label"]] = max(r["n"], seen.get((r["word"], r["label"]), 0))
         hard = sorted((-r["score"], r["word"]) for r in found if r["label"] == 0 and r["word"] not in marks)[:LANDMARKS // 2]
         marks += [w for _, w in hard]
-        cases = sorted((w, k) for w, k in seen if not (k == 1 and seen.get((w, 0), 0) * toxic > seen[w, 1] * clean))
+        # a word counts for one class: few clean texts that name a first-round word don't speak against it
+        cases = sorted((w, k) for w, k in seen if not (k == 1 and seen.get((w, 0), 0) * toxic > seen[w, 1] * clean)
+                       and not (k == 0 and w in worth_of and seen[w, 0] * LIFT * toxic < seen.get((w, 1), 0) * clean))
         y = np.array([1.0 if k else -1.0 for _, k in cases])
         n = np.sqrt(np.array([float(seen[c]) for c in cases]))
         share = np.where(y > 0, 0.5 / max(n[y > 0].sum(), 1), 0.25 / max(n[y < 0].sum(), 1)) * n

@@ -32,14 +32,14 @@ def test_kernel_is_exact():
     assert np.allclose(got, [[brute_kernel(a, b) for b in words] for a in words], atol=1e-5)
 
 
-def corpus(n=900):
+def corpus(n=900, part=0.2):
     rng = random.Random(6)
     plain = ["".join(rng.choice(["ta", "ren", "lo", "is", "mu", "on", "ve"]) for _ in range(rng.randint(1, 4))) for _ in range(400)]
     bad = ["idiot", "moron", "worthless", "scum"]
     rows, labels = [], []
     for i in range(n):
         ws = [rng.choice(plain) for _ in range(rng.randint(5, 80))]
-        toxic = rng.random() < 0.2
+        toxic = rng.random() < part
         for _ in range(2 if toxic else 0):
             ws.insert(rng.randrange(len(ws)), rng.choice(bad))
         rows.append((i, " ".join(ws)))
@@ -92,3 +92,24 @@ def test_clean_keeps_columns(spark, fitted):
 def test_held_out_is_crc32(spark):
     got = spark.range(2000).select("id", T.held_out("id").alias("h"), T.held_out("id", 1).alias("g")).collect()
     assert all(r.h == (crc32(str(r.id).encode()) % 5 == 0) and r.g == (crc32(str(r.id).encode()) % 5 == 1) for r in got)
+
+
+@pytest.mark.parametrize("part", [0.3, 0.5, 0.9])
+def test_any_share_of_toxic_labels(spark, part):
+    rows, labels = corpus(1500, part)
+    # every fortieth clean text names an insult once
+    plain = [i for i, toxic in labels if not toxic][::40]
+    rows = [(i, f"{text} moron" if i in plain else text) for i, text in rows]
+    docs, told, truth = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), dict(labels)
+    machine = T.fit(docs, told, use=~T.held_out("id"))
+    unseen = [r for r in T.scores(docs.where(T.held_out("doc_id")), machine).collect() if r.id not in plain]
+    assert np.mean([r.score >= 0.5 for r in unseen if truth[r.id]]) > 0.95
+    assert np.mean([r.score < 0.5 for r in unseen if not truth[r.id]]) > 0.95
+    left = {r.doc_id for r in T.clean(docs, told).collect()}
+    assert len(left & {i for i in truth if truth[i]}) < 0.05 * sum(truth.values())
+
+
+def test_no_telling_word_is_an_error(spark):
+    docs = spark.createDataFrame([(i, f"same {i} words") for i in range(60)], "doc_id long, text string")
+    with pytest.raises(ValueError, match="tells"):
+        T.fit(docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")))
