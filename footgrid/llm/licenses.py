@@ -1,6 +1,8 @@
 """License scans: phrases and an exact set-similarity join of text blocks with license templates, with DataFrame operations only.
 
-Text blocks are lines. Template tokens are put in one global order, the rarest in the corpus first (document counts over all texts), and
+Text blocks are lines; with `wrapped`, also runs of words across line breaks, as a notice wrapped at 70 columns reaches the threshold on no
+line. Such a run is contained in a window of a template's own words over the threshold, so that inserted words don't hide it. Windows are
+looked for in overlapping pieces of text that hold a line break, each twice as long as the longest window. Template tokens are put in one global order, the rarest in the corpus first (document counts over all texts), and
 a block keeps its template tokens in that order. A template of k tokens is contained in a block at threshold t if at least
 m = ceil(t k) of them stand in it, so one of its first k - m + 1 tokens must (prefix filter, the join key); the block must have m
 template tokens (length filter); and at the first common token enough tokens must be left on both sides (positional filter). What is left
@@ -21,6 +23,7 @@ from ..session import cut_lineage
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands between words, before and after lower-casing A-Z.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 # Phrases with the labels they stand for, and wordings of well-known licenses.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 TEMPLATES = {
@@ -60,11 +63,11 @@ def place_columns(words: Column) -> list[Column]:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] = TEMPLATES,
-         threshold: float = THRESHOLD) -> DataFrame:
+         threshold: float = THRESHOLD, wrapped: bool = False) -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score) of every row; labels are sorted arrays."""
     spark = docs.sparkSession
-    wanted = [(label, sorted(set(t.split()))) for label, many in templates.items() for t in many]
-    vocabulary = sorted({w for _, ts in wanted for w in ts})
+    wanted = [(label, sorted(set(t.split())), math.ceil(len(t.split()) / threshold - 1e-9)) for label, many in templates.items() for t in many]
+    vocabulary = sorted({w for _, ts, _ in wanted for w in ts})
     text = F.coalesce(text_col, F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
     # document count of each template token over all texts: one row per template token comes back
@@ -73,31 +76,42 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     order = sorted(vocabulary, key=lambda w: (common.get(w, 0), w))
     rank = {w: k for k, w in enumerate(order)}
     prefixes, listed = [], []
-    for t, (label, ts) in enumerate(wanted):
+    for t, (label, ts, window) in enumerate(wanted):
         ts = sorted(ts, key=rank.get)
         least = math.ceil(threshold * len(ts) - 1e-9)
-        listed.append((t, label, ts, len(ts), least))
+        listed.append((t, label, ts, len(ts), least, window))
         prefixes += [(w, t, k) for k, w in enumerate(ts[: len(ts) - least + 1])]
     keys = sorted({w for w, _, _ in prefixes} | {p.split()[0] for p in PHRASES})
     # whole words, any case of A-Z: the lookarounds are the words' borders
-    inside = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-    worth = F.col("text").rlike(f"(?i)(?<!{inside})(?:{'|'.join(keys)})(?!{inside})")
+    worth = F.col("text").rlike(f"(?i)(?<!{WORD})(?:{'|'.join(keys)})(?!{WORD})")
     lower = F.translate("text", UPPER, LOWER)
     told = rows.select(F.monotonically_increasing_id().alias("row"), "id", F.size(split_words(F.col("text"))).cast("long").alias("n_words"),
                        F.when(worth, lower).alias("text"))
     told = told.withColumn("words", F.when(F.col("text").isNotNull(), split_words(F.col("text"))))
     told = cut_lineage(told.select("row", "id", "n_words", "text", *place_columns(F.coalesce("words", F.array().cast("array<string>")))))
     ordered = F.array(*map(F.lit, order))
-    blocks = told.where("text is not null").select("row", F.posexplode(F.split("text", "\n")).alias("line", "block")) \
-        .select("row", "line", F.array_intersect(ordered, F.split("block", BETWEEN)).alias("held")).where("size(held) > 0")
-    small = spark.createDataFrame(listed, "template int, label string, tokens array<string>, size int, least int")
+    cut = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("block"), F.lit(False).alias("across")))
+    if wrapped:
+        longest = max(window for *_, window in wanted)
+        runs = F.regexp_extract_all("text", F.lit(rf"(?=((?:{WORD}++{BETWEEN[:-1]}*+){{1,{2 * longest}}}+))(?:{WORD}++{BETWEEN[:-1]}*+){{1,{longest}}}+"), F.lit(1))
+        # a window within one line is told by the line
+        cut = F.concat(cut, F.transform(F.filter(runs, lambda x: x.contains("\n")), lambda x: F.struct(x.alias("block"), F.lit(True).alias("across"))))
+    blocks = told.where("text is not null").select("row", F.posexplode(cut).alias("line", "one")).select("row", "line", "one.*") \
+        .select("row", "line", F.array_intersect(ordered, F.split("block", BETWEEN)).alias("held"), F.when(F.col("across"), split_words(F.col("block"))).alias("run")) \
+        .where("size(held) > 0")
+    small = spark.createDataFrame(listed, "template int, label string, tokens array<string>, size int, least int, window int")
     first = spark.createDataFrame(prefixes, "token string, template int, place int")
     # both sides of the join are cut down to prefix tokens; the template side has as many rows as the templates have prefix tokens
-    probe = blocks.select("row", "line", "held", F.posexplode("held").alias("at", "token"))
-    met = probe.join(first, "token").groupBy("row", "line", "template").agg(F.min(F.struct("place", "at")).alias("met"), F.any_value("held").alias("held"))
+    probe = blocks.select("row", "line", "held", "run", F.posexplode("held").alias("at", "token"))
+    met = probe.join(first, "token").groupBy("row", "line", "template").agg(F.min(F.struct("place", "at")).alias("met"), F.any_value("held").alias("held"),
+                                                                              F.any_value("run").alias("run"))
     left = F.least(F.col("size") - F.col("met.place"), F.size("held") - F.col("met.at"))
     candidates = met.join(small, "template").where((F.size("held") >= F.col("least")) & (left >= F.col("least")))
-    overlap = F.size(F.array_intersect("held", "tokens"))
+    whole = F.size(F.array_intersect("held", "tokens"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("run") - F.col("window") + 1, F.lit(1)))
+    densest = F.array_max(F.transform(starts, lambda a: F.size(F.array_intersect(F.slice("run", a, F.col("window")), "tokens"))))
+    candidates = candidates.where(whole >= F.col("least")).withColumn("overlap", F.when(F.col("run").isNull(), whole).otherwise(densest))
+    overlap = F.col("overlap")
     verified = candidates.where(overlap >= F.col("least")).groupBy("row").agg(F.collect_set("label").alias("more"), F.max(overlap / F.col("size")).alias("contained"))
     joined = told.select("row", "id", "n_words", "n_base", "first_word", "last_word", "base_labels").join(verified, "row", "left")
     none = F.array().cast("array<string>")

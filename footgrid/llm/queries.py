@@ -108,7 +108,7 @@ def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents")).select(
+    return licenses.scan(table(spark, sf_dir, "documents"), wrapped=True).select(
         F.col("id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"),
         F.array_join("labels", ",").alias("labels"), "score")
 

@@ -1,6 +1,7 @@
 """License scan against brute force."""
 
 import math
+import random
 import re
 
 from footgrid.llm import licenses as L
@@ -52,3 +53,51 @@ def test_given_documents(spark, sf):
 
 def test_empty_table(spark):
     assert L.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def brute_wrapped(text, threshold=L.THRESHOLD):
+    """Lines, and every window of words of the whole text."""
+    *told, base, labels, best = brute(text, threshold)
+    words = re.findall(WORD, "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    for label, many in L.TEMPLATES.items():
+        for t in many:
+            tokens, window = set(t.split()), math.ceil(len(t.split()) / threshold - 1e-9)
+            n = max(len(tokens & set(words[i:i + window])) for i in range(len(words) or 1))
+            if n >= math.ceil(threshold * len(tokens) - 1e-9):
+                labels = sorted({*labels, label})
+                best = max(best, n / len(tokens))
+    return (*told, base, labels, 1.0 if base else best)
+
+
+MIT = ["Permission is hereby granted, free of charge, to any person obtaining a copy", "of this software and associated documentation files (the \"Software\"), to deal"]
+BSD = ["Redistribution and use in source and binary forms, with or without", "modification, are permitted provided that the following conditions are met:"]
+MPL = ["This Source Code Form is subject to the terms of the Mozilla Public", "License, v. 2.0. If a copy of the MPL was not distributed with this"]
+LGPL = ["modify it under the terms of the GNU Lesser General Public", "License as published by the Free Software Foundation; either"]
+
+
+def test_wrapped_notices(spark):
+    rng = random.Random(4)
+    texts, labels = [], []
+    for label, lines in (("mit", MIT), ("bsd", BSD), ("mpl", MPL), ("lgpl", LGPL)):
+        for mark in ("", " * ", "# ", "// "):
+            texts.append("int x;\n" * rng.randint(0, 60) + "\n".join(mark + line for line in lines) + "\r\n" + "return y;\n" * 30)
+            labels.append(label)
+    words = [w for _, many in L.TEMPLATES.items() for t in many for w in t.split()]
+    for _ in range(60):             # pieces of notices, broken anywhere, with words in between
+        text = ""
+        for _ in range(rng.randint(1, 12)):
+            t = rng.choice([t for many in L.TEMPLATES.values() for t in many]).split()
+            t = [w for w in t if rng.random() < 0.93] + rng.choices(words, k=rng.randint(0, 20))
+            text += "".join(w + (" " if rng.random() < 0.85 else rng.choice(["\n", "\n\n * ", ".\n# "])) + ("filler " if rng.random() < 0.1 else "") for w in t)
+        texts.append(text)
+    docs = spark.createDataFrame(list(enumerate([*texts, None, "", "\n"])), "doc_id long, text string")
+    got = {r["id"]: tuple(r)[1:] for r in L.scan(docs, wrapped=True).collect()}
+    assert all(label in got[i][5] and got[i][6] == 1.0 for i, label in enumerate(labels))
+    assert got == {i: brute_wrapped(t) for i, t in enumerate([*texts, None, "", "\n"])}
+    assert not any(r["labels"] and r["id"] < len(labels) and "bsd" in r["labels"] for r in L.scan(docs).collect())
+
+
+def test_given_documents_wrapped(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(300).localCheckpoint()
+    got = {r["id"]: tuple(r)[1:] for r in L.scan(docs, wrapped=True).collect()}
+    assert got == {r.doc_id: brute_wrapped(r.text) for r in docs.collect()}
