@@ -2,7 +2,9 @@
 
 A page is cut into flat blocks at block-level tags. A block is described by its word count and link density, those of its neighbours,
 and what the nearest telling container around it says (article or content: 1; menu, footer, advert, comments and the like: -1;
-nothing: 0). A decision tree fitted on the labelled table below keeps or drops each block.
+nothing: 0). Class names that say what a page or part has or lacks (has-sidebar, comments-open) say nothing of the element itself; html, body
+and main are never unwanted by their names, article only by a name like comment without one like post beside it; main, and an article
+not within another one, end what the names of containers around them said. A decision tree fitted on the labelled table below keeps or drops each block.
 
 Results: a null page, one without text and one whose blocks are all dropped give the empty string; every row gives one row, repeated
 rows too; an empty table gives an empty table; columns other than id, url and html are not read. Unclosed and stray tags are
@@ -32,6 +34,7 @@ INSIDE = set("article main".split())
 BAD_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|cookies?|notice|consent|gdpr|alert|popup|modal|sidebar|side|"
                        r"widget|nav\w*|menu|breadcrumbs?|footer|header|masthead|comments?|disqus|respond|replies|share|sharing|social|related|"
                        r"recommend\w*|newsletter|subscribe|login|signup|pagination|pager|toolbar|copyright|disclaimer)(?:$|[\s_-])", re.I)
+STATE = re.compile(r"\S*(?<![^\s_-])(?:has|with|without|no|open|closed|enabled|disabled)(?![^\s_-])\S*", re.I)
 GOOD_NAMES = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|main|body|text)(?:$|[\s_-])", re.I)
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
@@ -85,7 +88,7 @@ def keep(tree: tuple | int, row: tuple) -> bool:
 
 def blocks(page: str) -> Iterator[tuple[int, str, int, int]]:
     """(zone, text, words, words within links) of each flat block, in page order."""
-    stack: list[tuple[str, int, bool]] = []          # open elements: name, zone, skipped
+    stack: list[tuple[str, int, bool, bool]] = []    # open elements: name, zone, skipped, within an element of OUTSIDE
     zone, skipped, link = 0, False, 0
     parts: list[str] = []
     linked: list[str] = []
@@ -136,13 +139,20 @@ def blocks(page: str) -> Iterator[tuple[int, str, int, int]]:
         if name in BLOCK or name in SKIPPED:
             if name == "p" and stack and stack[-1][0] == "p":
                 stack.pop()
-            own = stack[-1][1] if stack else 0
+            own, outside = (stack[-1][1], stack[-1][3]) if stack else (0, False)
             if name in OUTSIDE or name == "header" and own == 0:
-                own = -1
-            elif own >= 0:
+                own, outside = -1, True
+            elif own >= 0 or name in INSIDE and not outside:
                 said = " ".join(a or b or c for a, b, c in NAMES.findall(tag[3])) if "=" in tag[3] else ""
-                own = -1 if said and BAD_NAMES.search(said) else 1 if name in INSIDE or said and GOOD_NAMES.search(said) else own
-            stack.append((name, own, name in SKIPPED or bool(stack and stack[-1][2])))
+                told = STATE.sub("", said)
+                good, bad = said and GOOD_NAMES.search(told), said and BAD_NAMES.search(told)
+                if name == "article":
+                    own = -1 if bad and not any(GOOD_NAMES.fullmatch(x) for x in told.split()) or own < 0 and any(e[0] == name for e in stack) else 1
+                elif name in ("html", "body"):
+                    own = 1 if good else own
+                else:
+                    own = 1 if name in INSIDE else -1 if bad else 1 if good else own
+            stack.append((name, own, name in SKIPPED or bool(stack and stack[-1][2]), outside))
             zone, skipped = own, stack[-1][2]
     if (done := end()):
         yield done

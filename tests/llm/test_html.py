@@ -48,3 +48,21 @@ def test_given_pages_and_rows(spark, sf):
     odd = spark.createDataFrame([(1, None, None, "t"), (1, None, None, "t"), (None, "u", "<article>x y</article>", "t")], "page_id long, url string, html string, text string")
     assert sorted((r.text for r in html.extract(odd).collect())) == ["", "", "x y"]
     assert html.extract(odd.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<html class='no-js has-nav'><body class='single has-sidebar'><p>{LONG}</p><p>{LONG}</p></body></html>", f"{LONG} {LONG}"),
+    (f"<body class='home sidebar'><p>{LONG}</p><p>{LONG}</p><aside>{LONG}</aside></body>", f"{LONG} {LONG}"),
+    (f"<main class='content with-sidebar'><p>{LONG}</p><p>Yes.</p></main><div class=sidebar>{LONG}</div>", f"{LONG} Yes."),
+    (f"<main class=sidebar-right><p>{LONG}</p></main>", LONG),
+    (f"<article class='post comments-open'><p>{LONG}</p><p>Yes.</p></article>", f"{LONG} Yes."),
+    (f"<article class='post related-posts'><p>{LONG}</p></article>", LONG),
+    (f"<div class='sidebar-layout'><p>{LONG}</p><article><p>{LONG} Yes.</p></article></div>", f"{LONG} Yes."),
+    (f"<div class='content with-sidebar'><p>{LONG}</p><p>Yes.</p></div>", f"{LONG} Yes."),
+    (f"<article><p>{LONG}</p><div class=comments><article><p>{LONG}</p></article></div></article>", LONG),
+    (f"<main><p>{LONG}</p></main><div id=comments><article class=comment-body><p>{LONG}</p></article></div>", LONG),
+    (f"<main><p>{LONG}</p></main><aside><article><p>{LONG}</p></article></aside>", LONG),
+    (f"<article class=comment><p>{LONG}</p></article><div class=side-bar>{LONG}</div><div class=ad-box>{LONG}</div>", ""),
+])
+def test_names_of_templates(page, want):
+    assert text(page) == want
