@@ -2,9 +2,10 @@
 
 Base spans (email, ip, card, phone) seed a bipartite graph. Its instances are identifier-like tokens (with a digit or an at sign) and
 the seeds themselves; its patterns are lexical contexts, the word before and the word after. Rounds of sums over the graph score both sides:
-a pattern by the scores of its distinct instances over all that it extracts, which counts each text where its word stands
-at all, so that words that are everywhere score near zero however many seeds they meet; an instance by the chance that
-one of its patterns is right (noisy or), if MIN_PATTERNS of them are trusted at all. Patterns that MIN_SEEDS distinct seeds induced and that score high enough discover
+a pattern by the scores of its distinct instances over all that it extracts, which counts each different text where its word stands
+at all (copies once, as the values they hold), so that words that are everywhere score near zero however many seeds they meet; an
+instance by the chance that one of its patterns is right (noisy or), if MIN_PATTERNS of them are trusted at all or seeds alone make
+one SURE, as at the start or end of a text there is no second one. Patterns that MIN_SEEDS distinct seeds induced and that score high enough discover
 instances, whose places become spans of the kind `context`.
 
 Base patterns are written so that each one is tried once per run of its characters: no backtracking or rescanning, and equal to leftmost
@@ -37,6 +38,7 @@ ROUNDS = 3
 MIN_SEEDS = 5
 MIN_PATTERN = 0.5
 MIN_INSTANCE = 0.85
+SURE = 0.9                                     # trust by seeds alone from which one pattern is enough
 MIN_PATTERNS = 2                               # patterns that have to speak for an instance, so that one common word can't drift
 NEAR = 40                                      # code points on either side in which the word next to a span is looked for
 
@@ -119,16 +121,18 @@ def scored(found: DataFrame, docs: DataFrame, text_col: str, rounds: int = ROUND
     induced = cut_lineage(induced.withColumn("word", F.substring("pattern", 2, 1 << 20)))
     if induced.isEmpty():
         return links.select("value", F.lit(0.0).alias("score")).limit(0)
-    # in how many texts each word stands: what a pattern extracts besides identifiers counts against it
+    # in how many different texts each word stands: what a pattern extracts besides identifiers counts against it
     plain = F.split(F.lower(F.regexp_replace(F.coalesce(text_col, F.lit("")), r"[^\p{L}\p{N}\s]", "")), r"\s+")
-    texts = docs.select(F.explode(F.array_distinct(plain)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("texts"))
-    patterns = cut_lineage(induced.join(texts, "word").select("pattern", F.greatest("instances", "texts").alias("extracts")))
+    met = docs.select(F.xxhash64(text_col).alias("digest"), F.explode(F.array_distinct(plain)).alias("word"))
+    texts = met.join(induced.select("word").distinct(), "word").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("texts"))
+    patterns = induced.join(texts, "word").select("pattern", "seeds", F.greatest("instances", "texts").alias("extracts"))
+    patterns = cut_lineage(patterns.select("pattern", "extracts", (F.col("seeds") / (F.col("extracts") + 1) >= SURE).alias("sure")))
     graph = cut_lineage(attach(links, patterns, ["pattern"], ["value"]))
     known = graph.withColumn("score", F.col("seed").cast("double"))
     for _ in range(rounds):
-        trust = known.groupBy("pattern").agg((F.sum("score") / (F.first("extracts") + 1)).alias("trust"))
+        trust = known.groupBy("pattern").agg((F.sum("score") / (F.first("extracts") + 1)).alias("trust"), F.first("sure").alias("sure"))
         values = attach(graph.select("pattern", "value", "seed"), trust, ["pattern"], ["value"]).groupBy("value").agg(
-            F.when(F.max("seed"), 1.0).when(F.count_if(F.col("trust") >= MIN_PATTERN) < MIN_PATTERNS, 0.0).otherwise(1 - F.exp(F.sum(F.log(1 - F.when(F.col("trust") >= MIN_PATTERN, F.col("trust")).otherwise(0.0))))).alias("score"),
+            F.when(F.max("seed"), 1.0).when((F.count_if(F.col("trust") >= MIN_PATTERN) < MIN_PATTERNS) & ~F.max("sure"), 0.0).otherwise(1 - F.exp(F.sum(F.log(1 - F.when(F.col("trust") >= MIN_PATTERN, F.col("trust")).otherwise(0.0))))).alias("score"),
             F.max("seed").alias("seed"))
         values = cut_lineage(values)
         known = graph.join(values.select("value", "score"), "value")

@@ -61,3 +61,20 @@ def test_repeated_rows_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "a@b.de"), (1, "a@b.de"), (None, "a@b.de")], "doc_id long, text string")
     assert [spans(r)[0] for r in pii.find(docs).collect()] == [[(0, 6)]] * 3
     assert pii.find(docs.where(F.lit(False))).count() == 0
+
+
+def contexts(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [[texts[r["id"]][s["start"]:s["end"]] for s in r["context"]] for r in sorted(pii.find(docs).collect(), key=lambda r: r["id"])]
+
+
+def test_copies_do_not_lower_trust(spark):
+    texts = [f"the talk went on, mailbox: user{i}@host{i}.org was told of the word {i}" for i in range(20)]
+    texts += [f"then mailbox: member#{i}77 was told so" for i in range(4)]
+    found = contexts(spark, texts + texts[:1] * 3000)
+    assert found[20:24] == [[f"member#{i}77"] for i in range(4)] and not any(found[:20] + found[24:])
+
+
+def test_one_sure_pattern_at_the_end(spark):
+    texts = [f"the talk went on, mailbox: user{i}@host{i}.org" for i in range(60)] + ["and then mailbox: member#177", "room 12", "mailing 12"]
+    assert contexts(spark, texts) == [[]] * 60 + [["member#177"], [], []]
