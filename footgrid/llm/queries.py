@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, decontaminate, exact, html, licenses, markov, near, pii, toxicity
+from . import align, bpe, chat, decontaminate, exact, html, licenses, markov, near, pii, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -120,3 +120,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = lambda kinds: F.array_join(F.transform(F.concat(*(pii.tagged(k, k) for k in kinds)), named), ",")
     return found.select(F.col("id").alias("doc_id"), *(F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS),
                         F.sha2(listed(pii.KINDS), 256).alias("base_sha256"), listed([*pii.KINDS, "context"]).alias("spans"))
+
+
+@query
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(vocabulary_path("piece_bpe_32k.model"), "rb") as f:
+        pieces = f.read()
+    return align.align(table(spark, sf_dir, "documents"), bpe.read_vocabulary(vocabulary_path()), pieces).withColumnRenamed("id", "doc_id")
