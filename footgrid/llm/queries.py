@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import align, bpe, chat, decontaminate, exact, html, licenses, markov, near, pii, toxicity
+from . import align, bpe, chat, decontaminate, exact, html, licenses, markov, near, pii, quality, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -127,3 +127,12 @@ def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(vocabulary_path("piece_bpe_32k.model"), "rb") as f:
         pieces = f.read()
     return align.align(table(spark, sf_dir, "documents"), bpe.read_vocabulary(vocabulary_path()), pieces).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % 3 == 1
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), use=~out("id"))
+    return quality.scores(docs, model).select(F.col("id").alias("doc_id"), F.coalesce(out("id"), F.lit(False)).alias("held_out"), "score",
+                                              (F.col("score") >= 0.5).cast("int").alias("predicted"))
