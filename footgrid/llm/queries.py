@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import align, bpe, chat, decontaminate, exact, html, licenses, markov, near, pii, quality, toxicity
+from . import align, bpe, chat, decontaminate, exact, html, licenses, markov, near, phrases, pii, quality, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -136,3 +136,30 @@ def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, table(spark, sf_dir, "labels"), use=~out("id"))
     return quality.scores(docs, model).select(F.col("id").alias("doc_id"), F.coalesce(out("id"), F.lit(False)).alias("held_out"), "score",
                                               (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_phrases"] = r"""
+with t as (select coalesce(lang, 'und') as lang,
+                  string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') as pieces from documents),
+p as (select lang, unnest(pieces) as piece from t),
+w as (select lang, list_filter(string_split_regex(piece, '[ \x09]+'), x -> x <> '') as ws from p),
+o as (select lang, unnest(ws) as phrase, 1 as k from w
+      union all select lang, unnest(list_transform(range(1, len(ws)), i -> ws[i] || ' ' || ws[i + 1])), 2 from w
+      union all select lang, unnest(list_transform(range(1, len(ws) - 1), i -> ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])), 3 from w),
+f as (select lang, phrase, k, count(*) as a from o group by all),
+n as (select lang, sum(a) as n from f where k = 1 group by lang),
+c as (select *, string_split(phrase, ' ') as ws from f where k > 1 and a >= 10),
+cuts as (select lang, phrase, k, a, 1 as cut, ws[1] as head, array_to_string(ws[2:], ' ') as rest, ws from c
+         union all select lang, phrase, k, a, 2, ws[1] || ' ' || ws[2], ws[3], ws from c where k = 3),
+s as (select cuts.*, l.a as l, r.a as r, (1000000::hugeint * cuts.a * cuts.a) // (l.a::hugeint * r.a) as score
+      from cuts join f l on l.lang = cuts.lang and l.phrase = head join f r on r.lang = cuts.lang and r.phrase = rest),
+low as (select * from s qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+longer as (select lang, part, max(a) as longer from (select lang, a, unnest([ws[1] || ' ' || ws[2], ws[2] || ' ' || ws[3]]) as part from c where k = 3) group by all),
+kept as (select low.* from low left join longer on longer.lang = low.lang and part = phrase where longer is null or 100 * longer < 50 * a)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n::bigint as n, score::bigint as score
+from kept join n using (lang) qualify rank <= 2000"""
