@@ -147,10 +147,10 @@ ORACLES["op13_phrases"] = r"""
 with t as (select coalesce(lang, 'und') as lang,
                   string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') as pieces from documents),
 p as (select lang, unnest(pieces) as piece from t),
-w as (select lang, list_filter(string_split_regex(piece, '[ \x09]+'), x -> x <> '') as ws from p),
+w as (select lang, list_filter(string_split_regex(piece, '[ \x09]+'), lambda x: x <> '') as ws from p),
 o as (select lang, unnest(ws) as phrase, 1 as k from w
-      union all select lang, unnest(list_transform(range(1, len(ws)), i -> ws[i] || ' ' || ws[i + 1])), 2 from w
-      union all select lang, unnest(list_transform(range(1, len(ws) - 1), i -> ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])), 3 from w),
+      union all select lang, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])), 2 from w
+      union all select lang, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])), 3 from w),
 f as (select lang, phrase, k, count(*) as a from o group by all),
 n as (select lang, sum(a) as n from f where k = 1 group by lang),
 c as (select *, string_split(phrase, ' ') as ws from f where k > 1 and a >= 10),
