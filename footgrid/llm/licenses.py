@@ -1,25 +1,25 @@
-"""License scans: phrases and an exact set-similarity join of text blocks with license templates, with DataFrame operations only.
-
-Text blocks are lines; with `wrapped`, also runs of words across line breaks, as a notice wrapped at 70 columns reaches the threshold on no
-line. Such a run is contained in a window of a template's own words over the threshold, so that inserted words don't hide it. Windows are
-looked for in overlapping pieces of text that hold a line break, each twice as long as the longest window. Template tokens are put in one global order, the rarest in the corpus first (document counts over all texts), and
-a block keeps its template tokens in that order. A template of k tokens is contained in a block at threshold t if at least
-m = ceil(t k) of them stand in it, so one of its first k - m + 1 tokens must (prefix filter, the join key); the block must have m
-template tokens (length filter); and at the first common token enough tokens must be left on both sides (positional filter). What is left
-is verified on the whole sets. Only lines of texts that hold a prefix token are cut out at all.
-
-Results: null texts are empty; rows are told apart by number, so repeated rows give repeated rows; a text without words has no
-places and no labels; ties between templates all count; an empty table gives an empty table; other columns are not read.
+"""License scans: phrases and an exact set-similarity join of text blocks with license templates, with DataFrame functions only.
+
+Template tokens are put in one global order, the rarest in the corpus first (document counts over all texts). A text holds a template of k
+tokens where a block of it, any run of words as long as the template's own words over the threshold (so that inserted words don't hide a notice),
+has at least m = ceil(t k) of these tokens; lines play no part. One of the first k - m + 1 tokens must then stand in the block (prefix
+filter, the join key), the text must have m template tokens at all (length filter), and at the first common token enough tokens must be left on
+both sides (positional filter). The templates are a constant of some sixty prefix tokens, so this join is a look-up in every row and
+nothing is shuffled. What is left is verified on the whole sets, then block by block around the places of the prefix tokens.
+
+Results: null texts are empty; repeated rows give repeated rows; a text without words has no places and no labels; ties between templates
+all count; an empty table gives an empty table; other columns are not read. Work grows with a text's words and its places of prefix tokens.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import cut_lineage
-
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands between words, before and after lower-casing A-Z.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -47,74 +47,82 @@ def split_words(text: Column) -> Column:
     return F.array_remove(F.split(text, BETWEEN), "")
 
 
-def place_columns(words: Column) -> list[Column]:
-    """n_base, first_word, last_word, base_labels of a text's lower-cased words."""
-    line = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def places(words: Column) -> Column:
+    """Array of (n, first, last, label) of the phrases that stand in a text's lower-cased words."""
     count = lambda s: F.char_length(s) - F.char_length(F.replace(s, F.lit(" "), F.lit("")))
-    found = []
-    for phrase, label in PHRASES.items():
-        pieces = F.split(line, f" {phrase}(?= )")
-        last = F.size(words) - (count(F.element_at(pieces, -1)) - 1) - len(phrase.split())
-        found.append(F.struct((F.size(pieces) - 1).alias("n"), count(F.element_at(pieces, 1)).alias("first"), last.alias("last"), F.lit(label).alias("label")))
-    hit = F.filter(F.array(*found), lambda x: x["n"] > 0)
-    return [F.aggregate(hit, F.lit(0), lambda a, x: a + x["n"]).cast("long").alias("n_base"), F.array_min(F.transform(hit, lambda x: x["first"])).cast("long").alias("first_word"),
-            F.array_max(F.transform(hit, lambda x: x["last"])).cast("long").alias("last_word"),
-            F.array_sort(F.array_distinct(F.transform(hit, lambda x: x["label"]))).alias("base_labels")]
+
+    def place(line: Column, phrase: str, label: str) -> Column:
+        last = lambda cut: F.size(words) - (count(F.element_at(cut, -1)) - 1) - len(phrase.split())
+        return let(F.split(line, f" {phrase}(?= )"), lambda cut: F.struct(
+            (F.size(cut) - 1).alias("n"), count(F.element_at(cut, 1)).alias("first"), last(cut).alias("last"), F.lit(label).alias("label")))
+
+    listed = let(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), lambda line: F.array(*(place(line, *p) for p in PHRASES.items())))
+    return F.filter(listed, lambda x: x["n"] > 0)
+
+
+def contained(words: Column, held: Column, prefixes: Column, templates: Column) -> Column:
+    """Array of (label, share) of the templates that a block of a text holds; `held` are its template tokens in the global order."""
+
+    def met(f: Column) -> Column:
+        at = F.array_position(held, f["token"])
+        return (at > 0) & (F.size(held) >= f["least"]) & (F.least(f["size"] - f["place"], F.size(held) - at + 1) >= f["least"])
+
+    candidates = F.array_distinct(F.transform(F.filter(prefixes, met), lambda f: f["template"]))
+    whole = F.filter(F.transform(candidates, lambda k: F.element_at(templates, k + 1)), lambda c: F.size(F.array_intersect(held, c["tokens"])) >= c["least"])
+
+    def densest(c: Column) -> Column:
+        window = c["window"]
+        begin = lambda p: F.greatest(p - window + 1, F.lit(1))
+        tokens_in = lambda a, n: F.size(F.array_intersect(F.slice(words, a, n), c["tokens"]))
+        anchors = F.filter(F.sequence(F.lit(1), F.size(words)), lambda p: F.array_contains(c["first"], F.element_at(words, p)))
+        near = F.filter(anchors, lambda p: tokens_in(begin(p), 2 * window - 1) >= c["least"])
+        return F.array_max(F.transform(near, lambda p: F.array_max(F.transform(F.sequence(begin(p), p), lambda a: tokens_in(a, window)))))
+
+    found = F.transform(whole, lambda c: F.struct(c["label"].alias("label"), c["least"].alias("least"), c["size"].alias("size"), densest(c).alias("n")))
+    return F.transform(F.filter(found, lambda x: x["n"] >= x["least"]), lambda x: F.struct(x["label"].alias("label"), (x["n"] / x["size"]).alias("share")))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] = TEMPLATES,
-         threshold: float = THRESHOLD, wrapped: bool = False) -> DataFrame:
+         threshold: float = THRESHOLD) -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score) of every row; labels are sorted arrays."""
-    spark = docs.sparkSession
     wanted = [(label, sorted(set(t.split())), math.ceil(len(t.split()) / threshold - 1e-9)) for label, many in templates.items() for t in many]
     vocabulary = sorted({w for _, ts, _ in wanted for w in ts})
-    text = F.coalesce(text_col, F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     # document count of each template token over all texts: one row per template token comes back
     seen = rows.select(F.explode(F.array_intersect(F.array(*map(F.lit, vocabulary)), F.split(F.lower("text"), BETWEEN))).alias("token"))
     common = {r["token"]: r["n"] for r in seen.groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()}
-    order = sorted(vocabulary, key=lambda w: (common.get(w, 0), w))
-    rank = {w: k for k, w in enumerate(order)}
+    rank = {w: (common.get(w, 0), w) for w in vocabulary}
     prefixes, listed = [], []
     for t, (label, ts, window) in enumerate(wanted):
         ts = sorted(ts, key=rank.get)
         least = math.ceil(threshold * len(ts) - 1e-9)
-        listed.append((t, label, ts, len(ts), least, window))
-        prefixes += [(w, t, k) for k, w in enumerate(ts[: len(ts) - least + 1])]
-    keys = sorted({w for w, _, _ in prefixes} | {p.split()[0] for p in PHRASES})
-    # whole words, any case of A-Z: the lookarounds are the words' borders
-    worth = F.col("text").rlike(f"(?i)(?<!{WORD})(?:{'|'.join(keys)})(?!{WORD})")
+        first = ts[: len(ts) - least + 1]
+        fixed = {"label": label, "tokens": ts, "first": first, "size": len(ts), "least": least, "window": window}
+        listed.append(F.struct(*(F.lit(v).alias(k) for k, v in fixed.items())))
+        prefixes += [F.struct(*(F.lit(v).alias(k) for k, v in {"token": w, "template": t, "place": k, "size": len(ts), "least": least}.items())) for k, w in enumerate(first)]
+    parts = [p.split() for p in PHRASES]
+    # words of phrases only come last in the order and make no filter sharper than it may be
+    order = [*sorted(vocabulary, key=rank.get), *sorted({w for p in parts for w in p} - set(vocabulary))]
+
+    def told(words: Column) -> Column:
+        def of(held: Column) -> Column:
+            possible = reduce(or_, (F.size(F.array_intersect(held, F.lit(p))) == len(set(p)) for p in parts))
+            none = F.filter(places(F.array().cast("array<string>")), lambda x: F.lit(False))
+            return F.struct(F.size(words).cast("long").alias("n_words"), F.when(possible, places(words)).otherwise(none).alias("base"),
+                            contained(words, held, F.array(*prefixes), F.array(*listed)).alias("more"))
+
+        return let(F.array_intersect(F.lit(order), words), of)
+
     lower = F.translate("text", UPPER, LOWER)
-    told = rows.select(F.monotonically_increasing_id().alias("row"), "id", F.size(split_words(F.col("text"))).cast("long").alias("n_words"),
-                       F.when(worth, lower).alias("text"))
-    told = told.withColumn("words", F.when(F.col("text").isNotNull(), split_words(F.col("text"))))
-    told = cut_lineage(told.select("row", "id", "n_words", "text", *place_columns(F.coalesce("words", F.array().cast("array<string>")))))
-    ordered = F.array(*map(F.lit, order))
-    cut = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("block"), F.lit(False).alias("across")))
-    if wrapped:
-        longest = max(window for *_, window in wanted)
-        runs = F.regexp_extract_all("text", F.lit(rf"(?=((?:{WORD}++{BETWEEN[:-1]}*+){{1,{2 * longest}}}+))(?:{WORD}++{BETWEEN[:-1]}*+){{1,{longest}}}+"), F.lit(1))
-        # a window within one line is told by the line
-        cut = F.concat(cut, F.transform(F.filter(runs, lambda x: x.contains("\n")), lambda x: F.struct(x.alias("block"), F.lit(True).alias("across"))))
-    blocks = told.where("text is not null").select("row", F.posexplode(cut).alias("line", "one")).select("row", "line", "one.*") \
-        .select("row", "line", F.array_intersect(ordered, F.split("block", BETWEEN)).alias("held"), F.when(F.col("across"), split_words(F.col("block"))).alias("run")) \
-        .where("size(held) > 0")
-    small = spark.createDataFrame(listed, "template int, label string, tokens array<string>, size int, least int, window int")
-    first = spark.createDataFrame(prefixes, "token string, template int, place int")
-    # both sides of the join are cut down to prefix tokens; the template side has as many rows as the templates have prefix tokens
-    probe = blocks.select("row", "line", "held", "run", F.posexplode("held").alias("at", "token"))
-    met = probe.join(first, "token").groupBy("row", "line", "template").agg(F.min(F.struct("place", "at")).alias("met"), F.any_value("held").alias("held"),
-                                                                              F.any_value("run").alias("run"))
-    left = F.least(F.col("size") - F.col("met.place"), F.size("held") - F.col("met.at"))
-    candidates = met.join(small, "template").where((F.size("held") >= F.col("least")) & (left >= F.col("least")))
-    whole = F.size(F.array_intersect("held", "tokens"))
-    starts = F.sequence(F.lit(1), F.greatest(F.size("run") - F.col("window") + 1, F.lit(1)))
-    densest = F.array_max(F.transform(starts, lambda a: F.size(F.array_intersect(F.slice("run", a, F.col("window")), "tokens"))))
-    candidates = candidates.where(whole >= F.col("least")).withColumn("overlap", F.when(F.col("run").isNull(), whole).otherwise(densest))
-    overlap = F.col("overlap")
-    verified = candidates.where(overlap >= F.col("least")).groupBy("row").agg(F.collect_set("label").alias("more"), F.max(overlap / F.col("size")).alias("contained"))
-    joined = told.select("row", "id", "n_words", "n_base", "first_word", "last_word", "base_labels").join(verified, "row", "left")
-    none = F.array().cast("array<string>")
-    return joined.select("id", "n_words", "n_base", "first_word", "last_word", "base_labels",
-                         F.array_sort(F.array_union("base_labels", F.coalesce("more", none))).alias("labels"),
-                         F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("contained", F.lit(0.0))).alias("score"))
+    out = rows.select("id", let(split_words(lower), told).alias("one")).select("id", "one.*")
+    base = F.array_sort(F.array_distinct(F.transform("base", lambda x: x["label"])))
+    return out.select("id", "n_words", F.aggregate("base", F.lit(0), lambda a, x: a + x["n"]).cast("long").alias("n_base"),
+                      F.array_min(F.transform("base", lambda x: x["first"])).cast("long").alias("first_word"),
+                      F.array_max(F.transform("base", lambda x: x["last"])).cast("long").alias("last_word"), base.alias("base_labels"),
+                      F.array_sort(F.array_union(base, F.transform("more", lambda x: x["label"]))).alias("labels"),
+                      F.when(F.size("base") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform("more", lambda x: x["share"])), F.lit(0.0))).alias("score"))

@@ -20,15 +20,13 @@ def brute(text, threshold=L.THRESHOLD):
                 places.append(i)
                 base.add(label)
     best, labels = 0.0, set(base)
-    for line in lower.split("\n"):
-        have = set(re.findall(WORD, line))
-        for label, many in L.TEMPLATES.items():
-            for t in many:
-                tokens = set(t.split())
-                n = len(tokens & have)
-                if n >= math.ceil(threshold * len(tokens) - 1e-9):
-                    labels.add(label)
-                    best = max(best, n / len(tokens))
+    for label, many in L.TEMPLATES.items():             # every run of words as long as a template's words over the threshold, lines or not
+        for t in many:
+            tokens, window = set(t.split()), math.ceil(len(t.split()) / threshold - 1e-9)
+            n = max(len(tokens & set(words[i:i + window])) for i in range(len(words) or 1))
+            if n >= math.ceil(threshold * len(tokens) - 1e-9):
+                labels.add(label)
+                best = max(best, n / len(tokens))
     return (len(words), len(places), min(places, default=None), max(places, default=None), sorted(base), sorted(labels), 1.0 if base else best)
 
 
@@ -55,20 +53,6 @@ def test_empty_table(spark):
     assert L.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def brute_wrapped(text, threshold=L.THRESHOLD):
-    """Lines, and every window of words of the whole text."""
-    *told, base, labels, best = brute(text, threshold)
-    words = re.findall(WORD, "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
-    for label, many in L.TEMPLATES.items():
-        for t in many:
-            tokens, window = set(t.split()), math.ceil(len(t.split()) / threshold - 1e-9)
-            n = max(len(tokens & set(words[i:i + window])) for i in range(len(words) or 1))
-            if n >= math.ceil(threshold * len(tokens) - 1e-9):
-                labels = sorted({*labels, label})
-                best = max(best, n / len(tokens))
-    return (*told, base, labels, 1.0 if base else best)
-
-
 MIT = ["Permission is hereby granted, free of charge, to any person obtaining a copy", "of this software and associated documentation files (the \"Software\"), to deal"]
 BSD = ["Redistribution and use in source and binary forms, with or without", "modification, are permitted provided that the following conditions are met:"]
 MPL = ["This Source Code Form is subject to the terms of the Mozilla Public", "License, v. 2.0. If a copy of the MPL was not distributed with this"]
@@ -91,13 +75,24 @@ def test_wrapped_notices(spark):
             text += "".join(w + (" " if rng.random() < 0.85 else rng.choice(["\n", "\n\n * ", ".\n# "])) + ("filler " if rng.random() < 0.1 else "") for w in t)
         texts.append(text)
     docs = spark.createDataFrame(list(enumerate([*texts, None, "", "\n"])), "doc_id long, text string")
-    got = {r["id"]: tuple(r)[1:] for r in L.scan(docs, wrapped=True).collect()}
+    got = {r["id"]: tuple(r)[1:] for r in L.scan(docs).collect()}
     assert all(label in got[i][5] and got[i][6] == 1.0 for i, label in enumerate(labels))
-    assert got == {i: brute_wrapped(t) for i, t in enumerate([*texts, None, "", "\n"])}
-    assert not any(r["labels"] and r["id"] < len(labels) and "bsd" in r["labels"] for r in L.scan(docs).collect())
+    assert got == {i: brute(t) for i, t in enumerate([*texts, None, "", "\n"])}
+
+
+def test_line_breaks_don_t_matter(spark):
+    """Scattered tokens of one template are no notice, on one line or on many; a notice is one, on one line or on many."""
+    scattered = " ".join(w + " filler" * 300 for w in "licensed under cc 4 by 0".split())
+    whole = "x " * 400 + " ".join(BSD) + " y" * 400
+    texts = [scattered, scattered.replace(" ", "\n"), whole, whole.replace(" ", "\n"), whole.replace(" ", " \n * ")]
+    got = {r["id"]: tuple(r)[1:] for r in L.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: brute(t) for i, t in enumerate(texts)}
+    assert [got[i][5:] for i in range(5)] == [([], 0.0)] * 2 + [(["bsd"], 1.0)] * 3
 
 
-def test_given_documents_wrapped(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(300).localCheckpoint()
-    got = {r["id"]: tuple(r)[1:] for r in L.scan(docs, wrapped=True).collect()}
-    assert got == {r.doc_id: brute_wrapped(r.text) for r in docs.collect()}
+def test_very_long_text_and_other_templates(spark):
+    text = "under the filler words of this text " * 30_000 + " ".join(MPL) + " the" * 20_000
+    got = L.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
+    assert got["labels"] == ["mpl"] and got["n_words"] == 7 * 30_000 + 28 + 20_000
+    own = L.scan(spark.createDataFrame([(1, "own rare words, apache license")], "doc_id long, text string"), templates={"own": ["my own rare words"]}, threshold=0.75).collect()[0]
+    assert (own["labels"], own["base_labels"], own["n_base"], own["first_word"]) == (["apache", "own"], ["apache"], 1, 3)
