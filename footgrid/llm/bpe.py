@@ -31,9 +31,10 @@ RUN_BYTES = 8 << 20
 RUN_ROWS = 5_000
 
 
-def _ascending(x: np.ndarray) -> np.ndarray:
+def ascending(x: np.ndarray) -> np.ndarray:
+    """Distinct values in order."""
     x = np.sort(x)
-    return x[np.concatenate([[True], x[1:] != x[:-1]])]
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
 def byte_letters() -> list[str]:
@@ -141,7 +142,7 @@ class Vocabulary:
         while active:
             r = heapq.heappop(active)
             at = index.pop(r)
-            at = _ascending(np.concatenate(at)) if len(at) > 1 else at[0]
+            at = ascending(np.concatenate(at)) if len(at) > 1 else at[0]
             a, b = self.left[r], self.right[r]
             at = at[(symbol[at] == a) & (symbol[after[at]] == b)]
             if a == b and len(at) > 1:              # in a run of equal symbols every second pair is merged, from the left
@@ -155,7 +156,7 @@ class Vocabulary:
             symbol[gone] = -2
             after[at] = after[gone]
             before[after[at]] = at
-            note(_ascending(np.concatenate([at, before[at]])))
+            note(ascending(np.concatenate([at, before[at]])))
         kept = symbol >= 0
         stops = (4 * np.cumsum(kept)[ends]).tolist()
         flat = symbol[kept].astype(np.int32).tobytes()

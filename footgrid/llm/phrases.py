@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import cut_lineage, spent
 from . import shingles as S
+from .bpe import ascending
 
 LEAST = 10
 LONGEST = 3
@@ -253,7 +254,7 @@ def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least:
 
         def asks(block: pa.Table, given: pa.Table) -> pa.Table:
             ranks = Ranks(block, given)
-            key = np.unique(ranks.pairs()[1])
+            key = ascending(ranks.pairs()[1])
             spot = spots(key)
             key = key[(bitmap.value[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1]
             return pa.table({"block": pa.array(np.full(len(key), ranks.name)), "left": pa.array((key >> 32).astype(np.int32)),

@@ -71,6 +71,15 @@ def test_small_blocks_and_dense_containers(spark, files, monkeypatch):
     assert len(got) == 4000 and all(tuple(r)[1:] == expected[texts[r.id]] for r in got)
 
 
+def test_quick_encoder_agrees_on_every_character_it_is_used_for(files):
+    t = align.tokenizers(*files)
+    for begin in range(0, 0x110000, 64):
+        block = [chr(c) for c in range(begin, begin + 64) if not 0xD800 <= c < 0xE000]
+        text = "".join(f"a{c}1{c} {c}" for c in block if t.plain(c))
+        assert t.quick.encode_ordinary(text) == t.a.encode(text, add_special_tokens=False).ids
+    assert not t.plain("x" * align.LONG) and not t.plain("x" + " \n" * align.LONG) and t.plain("plain words " * 500) and t.plain("a  b " * 500)
+
+
 def test_containers_round_trip():
     rng = np.random.default_rng(1)
     for sizes in ([3, 1, 5], [align.DENSE - 1, align.DENSE, align.BLOCK_ROWS, 1]):
