@@ -7,8 +7,9 @@ under the Markov chain of hidden states times those of its tail tokens within th
 
 Work on the corpus is done by Spark: token counts are summed up within partitions and then by token; each Baum-Welch round adds up the
 expected counts per symbol and per transition over all partitions; tail counts are joined to texts by token, once per distinct
-(text, token). For training, texts are cut into segments of SEGMENT tokens, so that a long text is many short sequences; all
-segments are used. For scoring the recursion runs over whole texts, many texts at a time.
+(text, token). Every text is one sequence in training and in scoring. Texts of a run go through the recursions side by side; in training a text
+of more than LONG tokens goes as pieces of PIECE tokens: the products of the pieces' transition and emission matrices, multiplied up along the text
+in both directions, give what comes in at each piece's two ends, so its counts are those of the uncut text.
 
 Tokens travel as 64-bit hashes, so two tokens in 10^10 may be taken for one at a corpus of 10^10 distinct ones.
 
@@ -33,7 +34,9 @@ HEAD = 20_000
 TAILS = 256
 STATES = 6
 ROUNDS = 4
-SEGMENT = 64
+RUN = 2_000_000                 # tokens that go through the recursions at once
+LONG = 1024
+PIECE = 256
 FLUSH = 1_000_000
 END = 0x5EEDED0FDEADBEE5                       # stands for the end of a text
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -133,37 +136,75 @@ class Chain:
         start, move, emit = start + 0.1, move + 0.1, emit + 0.5 * len(frequency) * frequency / 10
         return cls(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
 
-    def expected(self, grid: np.ndarray, is_first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-        """Baum-Welch counts (start, transitions, emissions) and log likelihood of segments, rows of `grid`; -1 fills up."""
-        n, length = grid.shape
-        live = grid >= 0
-        emitted = self.emit.T.astype(np.float32)[np.maximum(grid, 0)]                    # n x length x states
-        emitted[~live] = 1
-        move = self.move.astype(np.float32)
-        alpha = np.empty_like(emitted)
-        scale = np.empty((n, length), np.float32)
-        middle = np.linalg.matrix_power(self.move, 64)[0]
-        now = np.where(is_first[:, None], self.start, middle).astype(np.float32) * emitted[:, 0]
+    def expected(self, symbols: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Baum-Welch counts (start, transitions, emissions) and log likelihood of sequences laid out one after the other."""
+        begin, sizes, text = _pieces(first)
+        states = len(self.start)
+        emit, move = np.ascontiguousarray(self.emit.T, np.float32), self.move.astype(np.float32)
+        opens = np.append(True, text[1:] != text[:-1]) if len(text) else np.zeros(0, bool)
+        inward, outward = self._borders(symbols, begin, sizes, text, opens, emit, move)
+        order = np.argsort(-sizes, kind="stable")
+        begin, sizes, opens, inward, beta = begin[order], sizes[order], opens[order], inward[order], outward[order]
+        length = int(sizes[0]) if len(sizes) else 0
+        active = np.searchsorted(-sizes, -np.arange(length + 1), side="left")            # pieces of more than t tokens
+        at = np.concatenate([[0], np.cumsum(active)])
+        said = np.empty(int(at[-1]), np.int32)
+        alpha = np.empty((len(said), states), np.float32)
+        scale = np.empty(len(said), np.float32)
+        now = np.where(opens[:, None], self.start.astype(np.float32), inward @ move)
         for t in range(length):
-            if t:
-                now = np.where(live[:, t, None], (now @ move) * emitted[:, t], now)
-            scale[:, t] = now.sum(1)
-            now = now / scale[:, t, None]
-            alpha[:, t] = now
-        emission = np.zeros((self.emit.shape[1], len(self.start)))
-        moves = np.zeros_like(self.move)
-        beta = np.ones((n, len(self.start)), np.float32)
+            m, here = active[t], slice(at[t], at[t + 1])
+            said[here] = symbols[begin[:m] + t]
+            now = (now[:m] @ move if t else now) * emit[said[here]]
+            scale[here] = now.sum(1)
+            now /= scale[here, None]
+            alpha[here] = now
+        moves = np.zeros((states, states))
         for t in range(length - 1, -1, -1):
-            gamma = alpha[:, t] * beta
-            gamma /= gamma.sum(1, keepdims=True)
-            some = live[:, t]
-            for k in range(len(self.start)):
-                emission[:, k] += np.bincount(grid[some, t], gamma[some, k], len(emission))
+            m, here = active[t], slice(at[t], at[t + 1])
+            gamma = alpha[here] * beta[:m]
+            whole = gamma.sum(1, keepdims=True)
+            gamma /= whole
+            back = emit[said[here]] * (beta[:m] / (whole * scale[here, None]))
             if t:
-                back = emitted[:, t] * beta / scale[:, t, None]
-                moves += (alpha[some, t - 1].T @ back[some]) * self.move
-                beta = np.where(some[:, None], back @ move.T, beta)
-        return gamma[is_first].sum(0), moves, emission.T, float(np.log(scale[live]).sum())
+                moves += alpha[at[t - 1]: at[t - 1] + m].T @ back
+                beta[:m] = back @ move.T
+            else:
+                moves += inward[~opens].T @ back[~opens]
+            alpha[here] = gamma
+        emission = np.stack([np.bincount(said, alpha[:, k], self.emit.shape[1]) for k in range(states)])
+        begun = alpha[: active[0]][opens] if length else alpha
+        return begun.sum(0, dtype=float), moves * self.move, emission, float(np.log(scale).sum(dtype=float))
+
+    def _borders(self, symbols, begin, sizes, text, opens, emit, move) -> tuple[np.ndarray, np.ndarray]:
+        """Per piece: the states' shares at the end of the piece before it, and the weight of all that follows it, each up to a factor."""
+        n, states = len(begin), len(self.start)
+        inward, outward = np.zeros((n, states), np.float32), np.ones((n, states), np.float32)
+        many = np.flatnonzero(np.bincount(text)[text] > 1) if n else np.zeros(0, np.int64)
+        if not len(many):
+            return inward, outward
+        many = many[np.argsort(-sizes[many], kind="stable")]
+        product = np.where(opens[many, None, None], np.eye(states, dtype=np.float32), move)
+        for t in range(PIECE):
+            m = int(np.searchsorted(-sizes[many], -t, side="left"))
+            said = emit[symbols[begin[many[:m]] + t]]
+            said /= said.max(1, keepdims=True)
+            product[:m] = (product[:m].reshape(-1, states) @ move).reshape(-1, states, states) * said[:, None] if t else product[:m] * said[:, None]
+            if t % 4 == 3:
+                product[:m] /= product[:m].max((1, 2), keepdims=True)
+        of = np.empty((n, states, states), np.float32)
+        of[many] = product
+        number = np.arange(n) - np.maximum.accumulate(np.where(opens, np.arange(n), 0))
+        for k in range(1, int(number.max()) + 1):                                        # along the texts, all of them at once
+            here = np.flatnonzero(number == k)
+            came = np.where((number[here - 1] == 0)[:, None], self.start.astype(np.float32), inward[here - 1])
+            came = (came[:, None] @ of[here - 1])[:, 0]
+            inward[here] = came / came.sum(1, keepdims=True)
+        for k in range(int(number.max()), 0, -1):
+            here = np.flatnonzero(number == k)
+            after = (of[here] @ outward[here][:, :, None])[:, :, 0]
+            outward[here - 1] = after / after.max(1, keepdims=True)
+        return inward, outward
 
     def log10(self, symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Exact log10 likelihood of each sequence by the scaled forward recursion, side by side from the longest to the shortest."""
@@ -184,15 +225,20 @@ class Chain:
         return out
 
 
-def segments(symbols: np.ndarray) -> np.ndarray:
-    """Rows of SEGMENT symbols of one text, filled up with -1."""
-    grid = np.full((-(-len(symbols) // SEGMENT), SEGMENT), -1, np.int64)
-    grid.ravel()[: len(symbols)] = symbols
-    return grid
+def _pieces(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, size and text of each piece: texts of up to LONG tokens whole, others cut every PIECE tokens; empty ones have none."""
+    sizes = np.diff(first)
+    count = np.where(sizes > LONG, -(-sizes // PIECE), np.minimum(sizes, 1))
+    text = np.repeat(np.arange(len(sizes)), count)
+    number = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+    begin = first[:-1][text] + PIECE * number
+    return begin, np.where(sizes[text] > LONG, np.minimum(sizes[text] - PIECE * number, PIECE), sizes[text]), text
 
 
 def symbol_table(counts: DataFrame, head: int = HEAD) -> Symbols:
     """The `head` most frequent tokens and the totals of TAILS classes come to the driver, whatever the corpus."""
+    if head + TAILS > 1 << 16:
+        raise ValueError(f"{head} head tokens and {TAILS} classes do not fit in 16 bits.")
     top = counts.orderBy(F.desc("n"), "token").limit(head).toArrow()
     token, n = top.column("token").to_numpy(), top.column("n").to_numpy()
     every = {r["class"]: (r["n"], r["v"]) for r in counts.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
@@ -240,25 +286,22 @@ def trained(texts: DataFrame, table: Symbols, states: int = STATES, rounds: int
         shared = texts.sparkSession.sparkContext.broadcast(chain)
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = None
-            model = shared.value
-            waiting, firsts = [], []
+            sums, model, waiting, held = None, shared.value, [], 0
 
             def add():
-                nonlocal sums
-                found = model.expected(np.concatenate(waiting), np.concatenate(firsts))[:3]
+                nonlocal sums, held
+                first = np.concatenate([[0], np.cumsum([len(w) for w in waiting])])
+                found = model.expected(np.concatenate(waiting), first)[:3]
                 sums = found if sums is None else [a + b for a, b in zip(sums, found)]
                 waiting.clear()
-                firsts.clear()
+                held = 0
 
             for batch in batches:
                 for packed in batch.column(0).to_pylist():
-                    grid = segments(np.frombuffer(packed, np.uint16))
-                    for k in range(0, len(grid), 4096):
-                        waiting.append(grid[k: k + 4096])
-                        firsts.append(np.arange(k, k + len(waiting[-1])) == 0)
-                        if sum(map(len, waiting)) >= 4096:
-                            add()
+                    waiting.append(np.frombuffer(packed, np.uint16))
+                    held += len(waiting[-1])
+                    if held >= RUN:
+                        add()
             if waiting:
                 add()
             if sums is not None:

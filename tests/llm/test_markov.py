@@ -58,8 +58,7 @@ def test_forward_is_exact():
 def test_expected_counts_are_exact():
     rng = np.random.default_rng(4)
     chain = markov.Chain(*(x / x.sum(-1, keepdims=True) for x in (rng.random(2), rng.random((2, 2)), rng.random((2, 3)))))
-    grid = np.array([[0, 2, 1, 2], [1, 1, -1, -1]])
-    start, moves, emission, _ = chain.expected(grid, np.array([True, True]))
+    start, moves, emission, likelihood = chain.expected(np.array([0, 2, 1, 2, 1, 1]), np.array([0, 4, 6]))
     want = [np.zeros(2), np.zeros((2, 2)), np.zeros((2, 3))]
     for text in ([0, 2, 1, 2], [1, 1]):
         weight = {p: chain.start[p[0]] * math.prod(chain.move[a, b] for a, b in zip(p, p[1:])) * math.prod(chain.emit[s, x] for s, x in zip(p, text))
@@ -75,6 +74,31 @@ def test_expected_counts_are_exact():
         assert np.allclose(a, b, atol=1e-4)
 
 
+def test_cut_texts_count_like_whole_ones(monkeypatch):
+    """Long texts in pieces, with what comes in at their ends, give the counts of the uncut texts."""
+    rng = np.random.default_rng(6)
+    frequency = rng.random(40) + 0.01
+    chain = markov.Chain.first(frequency / frequency.sum(), 5)
+    sizes = [1, 700, 30, 64, 65, 257, 1000, 2, 0, 128]
+    texts = [rng.integers(0, 40, n) for n in sizes]
+    symbols, first = np.concatenate(texts), np.concatenate([[0], np.cumsum(sizes)])
+    monkeypatch.setattr(markov, "LONG", 10_000)
+    whole = chain.expected(symbols, first)
+    monkeypatch.setattr(markov, "LONG", 60)
+    monkeypatch.setattr(markov, "PIECE", 32)
+    cut = chain.expected(symbols, first)
+    for a, b in zip(whole, cut):
+        assert np.allclose(a, b, rtol=2e-3, atol=1e-3)
+    assert np.isclose(whole[0].sum(), 9) and np.isclose(whole[1].sum(), sum(sizes) - 9) and np.isclose(whole[2].sum(), sum(sizes))
+    tens = chain.log10(symbols, first[[*range(9), 10]])           # the empty one left out
+    assert np.isclose(whole[3] / np.log(10), tens.sum(), rtol=1e-4) and np.isclose(cut[3] / np.log(10), tens.sum(), rtol=1e-4)
+
+
+def test_head_must_fit(spark):
+    with pytest.raises(ValueError):
+        markov.symbol_table(spark.createDataFrame([], "token long, class int, n long"), 70_000)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert markov.score(docs, held_out("doc_id", 1)).count() == 0
