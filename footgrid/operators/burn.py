@@ -23,9 +23,9 @@ def to_pixel_rings(polys: DataFrame, images: DataFrame, truncate: bool = False)
     return p.withColumn("ring", ring).drop("t")
 
 
-def fill(polys: DataFrame) -> DataFrame:
-    """Pixels ``(image, r, c)`` whose centre lies in a ring ``(image, pid, ring, width,
-    height)`` (half-open on the right and bottom); exterior rings only.
+def spans(polys: DataFrame) -> DataFrame:
+    """Pixel runs ``(image, r, a, b)``, columns ``a`` up to but not ``b``, whose centres lie in a ring ``(image, pid, ring, width,
+    height)`` (half-open on the right and bottom); exterior rings only. Runs of different rings may overlap.
 
     Each edge reports where it crosses the centre line of each pixel row; the sorted
     crossings of a row pair up to spans."""
@@ -37,12 +37,16 @@ def fill(polys: DataFrame) -> DataFrame:
     x = F.col("e.x1") + (F.col("r") + 0.5 - F.col("e.y1")) * (F.col("e.x2") - F.col("e.x1")) / (F.col("e.y2") - F.col("e.y1"))
     rows = e.groupBy("image", "pid", "r").agg(F.array_sort(F.collect_list(x)).alias("xs"), F.first("width").alias("width"))
     xs = F.col("xs")
-    spans = F.transform(F.sequence(F.lit(0), F.floor(F.size(xs) / 2).cast("int") - 1),
+    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size(xs) / 2).cast("int") - 1),
                         lambda i: F.struct(F.greatest(F.ceil(xs[2 * i] - 0.5), F.lit(0)).alias("a"),
                                            F.least(F.ceil(xs[2 * i + 1] - 0.5), F.col("width")).alias("b")))
-    return (rows.where(F.size(xs) > 1).select("image", "r", F.explode(spans).alias("s")).where("s.a < s.b")
-            .select("image", F.col("r").cast("int").alias("r"), F.explode(
-                F.sequence(F.col("s.a").cast("int"), (F.col("s.b") - 1).cast("int"))).alias("c")).distinct())
+    return (rows.where(F.size(xs) > 1).select("image", "r", F.explode(pairs).alias("s")).where("s.a < s.b")
+            .select("image", F.col("r").cast("int").alias("r"), F.col("s.a").cast("int").alias("a"), F.col("s.b").cast("int").alias("b")))
+
+
+def fill(polys: DataFrame) -> DataFrame:
+    """Pixels ``(image, r, c)`` of the runs of ``spans``, each once."""
+    return spans(polys).select("image", "r", F.explode(F.sequence(F.col("a"), F.col("b") - 1)).alias("c")).distinct()
 
 
 def outline(polys: DataFrame) -> DataFrame:

@@ -41,7 +41,12 @@ def _block_edges(r, c, node, br, bc, block):
     m = np.zeros((r.max() - r0 + 3, c.max() - c0 + 3), dtype=bool)
     m[r - r0, c - c0] = True
     own = (r // block == br) & (c // block == bc)
-    pr, pc, pn = (r - r0)[own], (c - c0)[own], node[own]
+    return edges_of(m, (r - r0)[own], (c - c0)[own], node[own], int(r0), int(c0))
+
+
+def edges_of(m, pr, pc, pn, r0: int, c0: int):
+    """Edges (y, x, direction, node, successor's code) of the listed pixels of a mask with at least one empty pixel around them;
+    ``r0, c0`` is where the mask begins."""
     out = []
     for d in range(4):
         oy, ox = -_DX[d], _DY[d]                 # the pixel across this side
@@ -60,7 +65,11 @@ def _block_edges(r, c, node, br, bc, block):
 
 
 def _trace_block(pdf: pd.DataFrame, br: int, bc: int, block: int) -> pd.DataFrame:
-    y, x, d, node, nxt = _block_edges(*(pdf[k].to_numpy(np.int64) for k in ("r", "c", "node")), br, bc, block)
+    return string_edges(*_block_edges(*(pdf[k].to_numpy(np.int64) for k in ("r", "c", "node")), br, bc, block))
+
+
+def string_edges(y, x, d, node, nxt) -> pd.DataFrame:
+    """Edges strung into closed rings and into chains that lead from one missing edge to another."""
     n = len(y)
     if n == 0:
         return pd.DataFrame(columns=["image", "node", "head", "next", "least", "closed", "n_edges", "area2", "xs", "ys"])

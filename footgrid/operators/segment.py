@@ -75,9 +75,15 @@ def drop_largest(df: DataFrame, keys: list[str], area: str = "area", id_: str =
 
 def vectorize(mask: DataFrame, params: SegmentationParams, images: DataFrame | None = None,
               smooth: bool = True, block: int = C.BLOCK) -> DataFrame:
-    """Dense mask ``(image, r, c, v)`` to building polygons: median vote (unless the mask
-    already had it), outer rings, regularisation, area bounds. With ``images (image, t, crs)`` rings and areas are in
-    world units; longitude/latitude rings are regularised and measured on an equal-area plane in metres."""
+    """Dense mask ``(image, r, c, v)`` to building polygons: median vote (unless the mask already had it), outer rings, ``vectorize_rings``."""
+    voted = S.array_chain(mask, "v", [("vote",)], nonzero_only=True) if smooth else mask.where("v <> 0")
+    rings = PG.polygonize(voted.select("image", "r", "c"), block)
+    return vectorize_rings(rings.where(~F.col("is_hole")).drop("is_hole", "perimeter", "area"), params, images)
+
+
+def vectorize_rings(rings: DataFrame, params: SegmentationParams, images: DataFrame | None = None) -> DataFrame:
+    """Outer rings ``(image, label, ring_id, ring)`` to building polygons: regularisation, area bounds. With ``images (image, t, crs)``
+    rings and areas are in world units; longitude/latitude rings are regularised and measured on an equal-area plane in metres."""
     from ..functions.crs import transform_xy
     from ..skew import attach
 
@@ -85,9 +91,6 @@ def vectorize(mask: DataFrame, params: SegmentationParams, images: DataFrame | N
         return G.map_points(F.col("ring"), lambda x, y: transform_xy(x, y, a, b)[0], lambda x, y: transform_xy(x, y, a, b)[1])
 
     degrees = F.col("crs") == "EPSG:4326"
-    voted = S.array_chain(mask, "v", [("vote",)], nonzero_only=True) if smooth else mask.where("v <> 0")
-    rings = PG.polygonize(voted.select("image", "r", "c"), block)
-    rings = rings.where(~F.col("is_hole")).drop("is_hole", "perimeter", "area")
     if images is not None:
         rings = attach(rings, images.select("image", "t", "crs"), ["image"], ["ring_id"])
         rings = rings.withColumn("ring", G.map_points(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..config import SegmentationParams, TilingParams, TrainParams, require_column
 from ..functions import geometry as G, names as N, pixel as P
-from ..operators import (burn, metrics as M, pairing, polygonize as PG, resample, sampling, score, segment,
+from ..operators import (blocks as BL, burn, metrics as M, pairing, polygonize as PG, resample, sampling, score, segment,
                          settlements as ST, spatial_join as SJ, stencil as S, tiling as T)
 from ..session import cut_lineage
 from ..sources import tasks as TK
@@ -73,11 +73,31 @@ def predict(tiles: DataFrame, load_model, tile: int, settlements: DataFrame | No
         score.score_in_settlements(todo, load_model, tile, settlements))
 
 
+def _pieces(tiles: DataFrame, load_model, tile: int, params: SegmentationParams, has_edge: bool, steps: list[tuple],
+            stored: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """Thresholded pieces of all tiles for a chain of steps, and the block size that they are cut for. Stored predictions are reused."""
+    radius = max(BL.reach(steps), 1)
+    block = BL.block_for(radius)
+    if stored is not None:
+        tiles = tiles.join(stored.select("image", "tile_r", "tile_c"), ["image", "tile_r", "tile_c"], "left_anti")
+    pieces = BL.scored_pieces(tiles, load_model, tile, params, has_edge, block, radius)
+    return (pieces if stored is None else pieces.unionByName(BL.stored_pieces(stored, tile, params, has_edge, block, radius))), block
+
+
+def building_masks(tiles: DataFrame, load_model, tile: int, params: SegmentationParams, has_edge: bool = True,
+                   stored: DataFrame | None = None) -> DataFrame:
+    """Tiles to clean building masks as packed blocks (`blocks.pixels` unfolds them)."""
+    steps = BL.clean_steps(params, vote=False)
+    pieces, block = _pieces(tiles, load_model, tile, params, has_edge, steps, stored)
+    return BL.chain(pieces, steps, block)
+
+
 def map_from_images(tiles: DataFrame, load_model, tile: int, params: SegmentationParams,
                     images: DataFrame | None = None, has_edge: bool = True, stored: DataFrame | None = None) -> DataFrame:
-    """Tiles to building polygons without settlements."""
-    probs = score.probabilities(predict(tiles, load_model, tile, stored=stored), tile)
-    return segment.vectorize(segment.edge_guided(probs, params, has_edge, vote=True), params, images, smooth=False)
+    """Tiles to building polygons without settlements: one shuffle of packed pieces from the model to the rings."""
+    steps = BL.clean_steps(params)
+    pieces, block = _pieces(tiles, load_model, tile, params, has_edge, steps, stored)
+    return segment.vectorize_rings(BL.rings(pieces, steps, block), params, images)
 
 
 def map_settlements(tiles: DataFrame, load_model, tile: int, params: SegmentationParams, settlements: DataFrame,

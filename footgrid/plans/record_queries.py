@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from ..config import SegmentationParams, TilingParams
 from ..functions import geometry as G, names as N, pixel as P
-from ..operators import burn, losses as L, metrics as M, pairing, sampling, score, segment, spatial_join as SJ, tiling as T
+from ..operators import blocks as BL, burn, losses as L, metrics as M, pairing, sampling, score, segment, spatial_join as SJ, tiling as T
 from ..sources import labels as LB, registry, sinks, tasks as TK
 from ..streaming import streams as ST
 from . import inputs as I, jobs
 from .catalog import query
 from .pixel_queries import TILE, image_sizes
-from .vector_queries import CELL, _TILES, _components_sql, _boxes, _tile_boxes, burnt, plane_frame
+from .vector_queries import CELL, _TILES, _components_sql, _boxes, _tile_boxes, burnt
 from .views_sql import AOIS, ARRIVALS, BUILDINGS, METRIC_SUMS, PIXELS, PROBS, SCENES, TASKS, TRUTH_PRED, metric_ratios
 
 # --- class scores and losses ------------------------------------------------
@@ -314,7 +314,7 @@ def geojson_labels(spark, sf):
 def brightness_model():
     """Stand-in model: class scores from brightness, with an edge score from column steps."""
     def model(tile: np.ndarray) -> np.ndarray:
-        b = tile / 255.0
+        b = np.asarray(tile, float) / 255
         edge = np.abs(np.diff(b, axis=1, prepend=b[:, :1])) * 0.1
         return np.stack([1 - b, b, edge])
     return model
@@ -347,28 +347,73 @@ def stored_predictions_reused(spark, sf):
     return out.select("image", "tile_r", "tile_c", F.col("scores").isNotNull().cast("int").alias("fresh"))
 
 
-@query("edge_guided_mask")
+_NINE = "[b, coalesce(lag(b) over x, b), coalesce(lead(b) over x, b)]"
+
+
+def _morph_sql(name: str, src: str, fold: str) -> str:
+    """One pass with the 3 x 3 plus."""
+    x, y = "(partition by image, r order by c rows between 1 preceding and 1 following)", "(partition by image, c order by r rows between 1 preceding and 1 following)"
+    pick = "least" if fold == "min" else "greatest"
+    return f"{name} as (select image, r, c, {pick}({fold}(v) over {x}, {fold}(v) over {y}) as v from {src})"
+
+
+@query("edge_guided_mask", f"""with recursive {PIXELS},
+pe as (select image, r, c, v / 255 as b, abs(v / 255 - coalesce(lag(v / 255) over (partition by image, r, c // 32 order by c), v / 255)) * 0.1 as e from px),
+ps as (select image, r, c, case when e > 0.09 then 0 else b end as b from pe),
+h as (select image, r, c, {_NINE} as t from ps window x as (partition by image, r order by c)),
+n9 as (select image, r, c, list_sort(list_concat(list_concat(t, coalesce(lag(t) over y, t)), coalesce(lead(t) over y, t))) as t from h window y as (partition by image, c order by r)),
+m0 as (select image, r, c, (t[5] > 0.05)::int as v from n9),
+fg as (select image, r, c from m0 where v = 1), {_components_sql("fg", "f")},
+few as (select image, label from cpf group by all having count(*) < 8),
+m1 as (select m0.image, m0.r, m0.c, case when few.label is not null then 0 else v end as v from m0 left join cpf using (image, r, c) left join few on few.image = cpf.image and few.label = cpf.label),
+bg as (select image, r, c from m1 where v = 0), {_components_sql("bg", "b")},
+hol as (select image, label from cpb group by all having count(*) < 4),
+m2 as (select m1.image, m1.r, m1.c, case when hol.label is not null then 1 else v end as v from m1 left join cpb using (image, r, c) left join hol on hol.image = cpb.image and hol.label = cpb.label),
+{_morph_sql("m3", "m2", "min")}, {_morph_sql("m4", "m3", "max")}, {_morph_sql("m5", "m4", "max")}, {_morph_sql("m6", "m5", "min")}, {_morph_sql("m7", "m6", "max")}
+select image, sum(v)::bigint as n_building, count(*) as n, sum(v * (r * 131 + c))::bigint as place_sum from m7 group by image""")
 def edge_guided_mask(spark, sf):
-    p = score.probabilities(score.score_tiles(_packed(spark, sf), brightness_model, TILE), TILE)
+    """Tiles through the model to clean masks in packed blocks."""
     params = SegmentationParams(building_threshold=0.05, edge_threshold=0.09, min_building_size=8, max_hole_size=4, morph_kernel_size=3)
-    m = segment.edge_guided(p, params)
-    return m.groupBy("image").agg(F.sum("v").alias("n_building"), F.count(F.lit(1)).alias("n"))
+    m = BL.pixels(jobs.building_masks(_packed(spark, sf), brightness_model, TILE, params))
+    return m.groupBy("image").agg(F.sum("v").alias("n_building"), F.count(F.lit(1)).alias("n"), F.sum(F.col("v") * (F.col("r") * 131 + F.col("c"))).alias("place_sum"))
 
 
-def _plane_probs(spark, sf):
-    """Building probability 0.9 inside footprints and 0.05 outside."""
-    dense = burn.on_raster(plane_frame(spark, sf), ("v", burnt(spark, sf)), on=1)
-    return dense.select("image", "r", "c", (F.col("v") * 0.85 + 0.05).alias("building_prob"), F.lit(None).cast("double").alias("edge_prob"))
+def footprint_model():
+    """Stand-in model: building probability 0.9 on bright pixels and 0.05 elsewhere, no edge class."""
+    def model(tile: np.ndarray) -> np.ndarray:
+        b = 0.05 + 0.85 * (tile > 0)
+        return np.stack([1 - b, b])
+    return model
 
 
-@query("building_map")
-def building_map(spark, sf):
-    """Probabilities to regularised footprints, whole planes."""
+def footprint_tiles(spark, sf, tile, copies=1):
+    """Whole footprint planes as packed tiles; ``copies`` repeats the planes under new numbers."""
+    from .vector_queries import burnable
+    runs = burn.spans(burnable(spark, sf))
+    if copies > 1:
+        runs = runs.withColumn("image", F.col("image") * copies + F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    planes = runs.select("image").distinct().select("image", F.lit(I.PLANE).alias("width"), F.lit(I.PLANE).alias("height"))
+    return BL.burn_tiles(runs, planes, tile)
+
+
+def _building_map(spark, sf, copies=1):
     params = SegmentationParams(min_building_size=12, max_hole_size=6, morph_kernel_size=3)
-    polys = segment.vectorize(segment.edge_guided(_plane_probs(spark, sf), params, has_edge=False, vote=True), params, smooth=False)
+    polys = jobs.map_from_images(footprint_tiles(spark, sf, 250, copies), footprint_model, 250, params, has_edge=False)
     return polys.select("image", "label", F.round("area", 3).alias("area"), "angle", (F.size("ring") - 1).alias("n_points"))
 
 
+@query("building_map")
+def building_map(spark, sf):
+    """Tiles to regularised footprints, whole planes."""
+    return _building_map(spark, sf)
+
+
+@query("building_map_large")
+def building_map_large(spark, sf):
+    """The same over ten copies of every plane."""
+    return _building_map(spark, sf, 10)
+
+
 @query("settlement_map")
 def settlement_map(spark, sf):
     """Footprint polygons traced from the burnt masks and assigned to settlements."""
