@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..config import SegmentationParams
 from ..functions import geometry as G
 from ..session import cut_lineage
+from ..skew import attach
 from .polygonize import edges_of, string_edges
 from .stencil import ellipse, radius_of
 
@@ -221,7 +222,7 @@ def burn_tiles(runs: DataFrame, images: DataFrame, tile: int, on: int = 255) ->
     kind = dict(runs.dtypes)["image"]
 
     def burn(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        r, a, b = (group.column(c).to_numpy().astype(np.int64) for c in ("r", "a", "b"))
+        r, a, b = (group.column(c).drop_null().to_numpy().astype(np.int64) for c in ("r", "a", "b"))
         c0 = key[2].as_py() * tile
         marks = np.zeros((tile, tile + 1), np.int32)
         row = r - key[1].as_py() * tile
@@ -231,12 +232,22 @@ def burn_tiles(runs: DataFrame, images: DataFrame, tile: int, on: int = 255) ->
         return pa.table({"image": pa.array([key[0].as_py()], group.schema.field("image").type), "tile_r": pa.array([key[1].as_py()], pa.int32()),
                          "tile_c": pa.array([key[2].as_py()], pa.int32()), "data": pa.array([data.ravel()], pa.list_(pa.int32()))})
 
-    burnt = cut.select("image", "tile_r", "tile_c", "r", "a", "b").groupBy("image", "tile_r", "tile_c").applyInArrow(
-        burn, f"image {kind}, tile_r int, tile_c int, data array<int>")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.floor(F.col(n) / tile).cast("int") - 1))
     grid = images.where((F.col("height") >= tile) & (F.col("width") >= tile)).select("image", "width", every("height").alias("tile_r")) \
         .select("image", "tile_r", every("width").alias("tile_c"))
-    return grid.join(burnt, ["image", "tile_r", "tile_c"], "left").withColumn("data", F.coalesce("data", F.array_repeat(F.lit(0), tile * tile)))
+    # a tile's place is a row without a run, so tiles need no join and empty ones are made where the others are
+    both = cut.select("image", "tile_r", "tile_c", "r", "a", "b").transform(lambda d: attach(d, _tiles_of(images, tile), ["image"], ["r", "a"])).where("tile_r < tiles_y and tile_c < tiles_x") \
+        .drop("tiles_y", "tiles_x").unionByName(grid, allowMissingColumns=True)
+    return _dealt(both, "image", "tile_r", "tile_c").groupBy("image", "tile_r", "tile_c").applyInArrow(burn, f"image {kind}, tile_r int, tile_c int, data array<int>")
+
+
+def _tiles_of(images: DataFrame, tile: int) -> DataFrame:
+    return images.select("image", F.floor(F.col("height") / tile).alias("tiles_y"), F.floor(F.col("width") / tile).alias("tiles_x"))
+
+
+def _dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows by key over all shuffle partitions: packed rows are few bytes and much work, so partitions are not to be merged for their size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 # --- windows ------------------------------------------------------------------
@@ -276,7 +287,7 @@ def chain(pieces: DataFrame, steps: list[tuple], block: int, radius: int | None
                  "there": pa.binary(), "n_on": pa.int64(), "n": pa.int64()}
         return pa.table({k: pa.array([v for _ in keep], types[k]) for k, v in values.items()})
 
-    return pieces.groupBy("image", "br", "bc").applyInArrow(run, PIECE.format(kind=kind) + ", there binary, n_on long, n long")
+    return _dealt(pieces, "image", "br", "bc").groupBy("image", "br", "bc").applyInArrow(run, PIECE.format(kind=kind) + ", there binary, n_on long, n long")
 
 
 def pixels(blocks: DataFrame, value: str = "v") -> DataFrame:
@@ -322,7 +333,7 @@ def chains(pieces: DataFrame, steps: list[tuple], block: int, radius: int | None
                          **{c: pa.array(found[c].to_numpy(np.int64)) for c in ("head", "next", "least")}, "closed": pa.array(found["closed"].to_numpy(bool)),
                          **{c: pa.array(found[c].to_numpy(np.int64)) for c in ("n_edges", "area2")}, "xs": _listed(found["xs"].tolist()), "ys": _listed(found["ys"].tolist())})
 
-    return pieces.groupBy("image", "br", "bc").applyInArrow(run, CHAIN.format(kind=kind))
+    return _dealt(pieces, "image", "br", "bc").groupBy("image", "br", "bc").applyInArrow(run, CHAIN.format(kind=kind))
 
 
 def _joined(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:

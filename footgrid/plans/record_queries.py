@@ -391,7 +391,7 @@ def footprint_tiles(spark, sf, tile, copies=1):
     from .vector_queries import burnable
     runs = burn.spans(burnable(spark, sf))
     if copies > 1:
-        runs = runs.withColumn("image", F.col("image") * copies + F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+        runs = runs.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).withColumn("image", F.col("image") * copies + F.col("copy")).drop("copy")
     planes = runs.select("image").distinct().select("image", F.lit(I.PLANE).alias("width"), F.lit(I.PLANE).alias("height"))
     return BL.burn_tiles(runs, planes, tile)
 
