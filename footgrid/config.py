@@ -25,7 +25,7 @@ class TilingParams:
 
     def __post_init__(self):
         if self.tile_size <= 0:
-            raise ValueError("tile_size must be a positive integer.")
+            raise ValueError(f"TilingParams.tile_size is {self.tile_size}; tiles need at least one pixel a side.")
 
     @property
     def has_edge(self) -> bool:
@@ -58,11 +58,11 @@ class TrainParams:
 
     def __post_init__(self):
         if not isinstance(self.test_size, (int, float)) or not 0 <= self.test_size <= 1:
-            raise ValueError("Test size must be a float between 0 and 1.")
+            raise ValueError(f"TrainParams.test_size is {self.test_size!r}; give the share of tiles to hold out, from 0 to 1.")
         if not isinstance(self.epochs, int) or isinstance(self.epochs, bool):
-            raise ValueError("Epochs should be an integer value.")
+            raise ValueError(f"TrainParams.epochs is {self.epochs!r}; give a whole number.")
         if self.architecture.lower() not in ("u-net", "hrnet"):
-            raise ValueError("Architecture should be one of U-Net, HRNet.")
+            raise ValueError(f"TrainParams.architecture {self.architecture!r} is unknown here; known are u-net and hrnet.")
 
 
 def fill(cls, values: dict | None):
@@ -75,5 +75,5 @@ def fill(cls, values: dict | None):
 def require_column(df, key: str):
     """The key column must exist; the message names the ones that do."""
     if key not in df.columns:
-        raise MissingKey(f"The primary_key '{key}' is not present. Available columns: {', '.join(df.columns)}")
+        raise MissingKey(f"Key column '{key}' is missing; the table has {', '.join(df.columns)}.")
     return df

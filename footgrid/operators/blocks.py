@@ -27,7 +27,7 @@ from .stencil import ellipse, radius_of
 
 BLOCK = 512
 LEVEL = 3                       # squares double this often per level of the merge tree
-PIECE = "image {kind}, br int, bc int, r0 int, c0 int, h int, w int, bits binary"
+PIECE = "image {kind}, br int, bc int, rank {rank}, r0 int, c0 int, h int, w int, bits binary"
 CHAIN = ("image {kind}, br int, bc int, head long, next long, least long, closed boolean, n_edges long, area2 long, "
          "xs array<long>, ys array<long>")
 
@@ -131,41 +131,46 @@ def run_steps(a: np.ndarray, there: np.ndarray, steps: list[tuple]) -> np.ndarra
 
 # --- tiles to pieces ------------------------------------------------------------
 
-def _pieces(out: dict[str, list], image, tile_r: int, tile_c: int, mask: np.ndarray, block: int, radius: int) -> None:
-    """Append what each window sees of a tile."""
-    t = mask.shape[0]
-    r, c = tile_r * t, tile_c * t
-    for br in range(max(r - radius, 0) // block, (r + t - 1 + radius) // block + 1):
-        lo, hi = max(r, br * block - radius), min(r + t, (br + 1) * block + radius)
-        for bc in range(max(c - radius, 0) // block, (c + t - 1 + radius) // block + 1):
-            le, ri = max(c, bc * block - radius), min(c + t, (bc + 1) * block + radius)
+COLUMNS = ["image", "br", "bc", "rank", "r0", "c0", "h", "w", "bits"]
+
+
+def _pieces(out: dict[str, list], image, r: int, c: int, rank, mask: np.ndarray, block: int, radius: int) -> None:
+    """Append what each window sees of a tile whose first pixel is (r, c)."""
+    h, w = mask.shape
+    for br in range(max(r - radius, 0) // block, (r + h - 1 + radius) // block + 1):
+        lo, hi = max(r, br * block - radius), min(r + h, (br + 1) * block + radius)
+        for bc in range(max(c - radius, 0) // block, (c + w - 1 + radius) // block + 1):
+            le, ri = max(c, bc * block - radius), min(c + w, (bc + 1) * block + radius)
             bits = np.packbits(mask[lo - r: hi - r, le - c: ri - c]).tobytes()
-            for name, value in zip(("image", "br", "bc", "r0", "c0", "h", "w", "bits"), (image, br, bc, lo, le, hi - lo, ri - le, bits)):
+            for name, value in zip(COLUMNS, (image, br, bc, rank, lo, le, hi - lo, ri - le, bits)):
                 out[name].append(value)
 
 
-def _piece_batch(out: dict[str, list], kind: pa.DataType) -> pa.RecordBatch:
-    types = {"image": kind, **dict.fromkeys(("br", "bc", "r0", "c0", "h", "w"), pa.int32()), "bits": pa.binary()}
-    return pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in types.items()], list(types))
-
+def _from_tiles(tiles: DataFrame, value: str, tile: int, block: int, radius: int, to_mask) -> DataFrame:
+    """``to_mask()`` makes, once per task, a function from a tile's ``value`` to its mask, or None for a tile to leave out.
 
-def _from_tiles(tiles: DataFrame, tile: int, block: int, radius: int, to_mask) -> DataFrame:
-    """``to_mask()`` makes, once per task, a function from the values of a tile's last column to its mask, or None for a tile to leave out."""
-    kind = dict(tiles.dtypes)["image"]
+    Tiles lie at their place in the tile grid, or where ``place(image, r, c, rank)`` says: then they may overlap, and of tiles over one pixel
+    the one of the lowest rank counts."""
+    if "place" in tiles.columns:
+        rows = tiles.select("place.*", value)
+    else:
+        rows = tiles.select("image", (F.col("tile_r") * tile).alias("r"), (F.col("tile_c") * tile).alias("c"), F.lit(0).alias("rank"), value)
+    kinds = dict(rows.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask_of = to_mask()
         for batch in batches:
-            image, tile_r, tile_c = (batch.column(k).to_pylist() for k in range(3))
+            types = [batch.schema.field("image").type, pa.int32(), pa.int32(), batch.schema.field("rank").type, *[pa.int32()] * 4, pa.binary()]
+            image, r, c, rank = (batch.column(k).to_pylist() for k in range(4))
             for first in range(0, batch.num_rows, 256):
-                out: dict[str, list] = {n: [] for n in ("image", "br", "bc", "r0", "c0", "h", "w", "bits")}
+                out: dict[str, list] = {n: [] for n in COLUMNS}
                 for i in range(first, min(first + 256, batch.num_rows)):
-                    mask = mask_of(batch.column(3)[i])
+                    mask = mask_of(batch.column(4)[i])
                     if mask is not None:
-                        _pieces(out, image[i], tile_r[i], tile_c[i], mask, block, radius)
-                yield _piece_batch(out, batch.schema.field(0).type)
+                        _pieces(out, image[i], r[i], c[i], rank[i], mask, block, radius)
+                yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in zip(COLUMNS, types)], COLUMNS)
 
-    return tiles.mapInArrow(run, PIECE.format(kind=kind))
+    return rows.mapInArrow(run, PIECE.format(kind=kinds["image"], rank=kinds["rank"]))
 
 
 def _above(scores: np.ndarray, params: SegmentationParams, has_edge: bool) -> np.ndarray:
@@ -191,7 +196,7 @@ def scored_pieces(tiles: DataFrame, load_model, tile: int, params: SegmentationP
 
         return one
 
-    return _from_tiles(tiles.select("image", "tile_r", "tile_c", "data"), tile, block, radius, to_mask)
+    return _from_tiles(tiles, "data", tile, block, radius, to_mask)
 
 
 def stored_pieces(stored: DataFrame, tile: int, params: SegmentationParams, has_edge: bool, block: int, radius: int) -> DataFrame:
@@ -205,12 +210,12 @@ def stored_pieces(stored: DataFrame, tile: int, params: SegmentationParams, has_
         return one
 
     ok = stored.where(F.col("error").isNull() & F.col("scores").isNotNull())
-    return _from_tiles(ok.select("image", "tile_r", "tile_c", "scores"), tile, block, radius, to_mask)
+    return _from_tiles(ok, "scores", tile, block, radius, to_mask)
 
 
 def mask_pieces(tiles: DataFrame, tile: int, block: int, radius: int) -> DataFrame:
     """Packed masks ``(image, tile_r, tile_c, data)``, any value but 0 is on."""
-    return _from_tiles(tiles.select("image", "tile_r", "tile_c", "data"), tile, block, radius,
+    return _from_tiles(tiles, "data", tile, block, radius,
                        lambda: lambda data: data.values.to_numpy(zero_copy_only=False).reshape(tile, tile) != 0)
 
 
@@ -258,7 +263,10 @@ def _window(group: pa.Table, block: int, radius: int) -> tuple[np.ndarray, np.nd
     top, left = int(r0.min()), int(c0.min())
     a = np.zeros((int((r0 + h).max()) - top, int((c0 + w).max()) - left), bool)
     there = np.zeros(a.shape, bool)
-    for y, x, n, m, bits in zip((r0 - top).tolist(), (c0 - left).tolist(), h.tolist(), w.tolist(), group.column("bits").to_pylist()):
+    rank = [tuple(x.values()) if isinstance(x, dict) else (x,) for x in group.column("rank").to_pylist()]
+    boxes = list(zip((r0 - top).tolist(), (c0 - left).tolist(), h.tolist(), w.tolist(), group.column("bits").to_pylist()))
+    for k in sorted(range(len(boxes)), key=rank.__getitem__, reverse=True):              # the lowest rank is laid on top
+        y, x, n, m, bits = boxes[k]
         a[y: y + n, x: x + m] = np.unpackbits(np.frombuffer(bits, np.uint8), count=n * m).reshape(n, m)
         there[y: y + n, x: x + m] = True
     return a, there, top, left
@@ -287,7 +295,8 @@ def chain(pieces: DataFrame, steps: list[tuple], block: int, radius: int | None
                  "there": pa.binary(), "n_on": pa.int64(), "n": pa.int64()}
         return pa.table({k: pa.array([v for _ in keep], types[k]) for k, v in values.items()})
 
-    return _dealt(pieces, "image", "br", "bc").groupBy("image", "br", "bc").applyInArrow(run, PIECE.format(kind=kind) + ", there binary, n_on long, n long")
+    schema = f"image {kind}, br int, bc int, r0 int, c0 int, h int, w int, bits binary, there binary, n_on long, n long"
+    return _dealt(pieces, "image", "br", "bc").groupBy("image", "br", "bc").applyInArrow(run, schema)
 
 
 def pixels(blocks: DataFrame, value: str = "v") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..config import SegmentationParams, TilingParams, TrainParams, require_column
 from ..functions import geometry as G, names as N, pixel as P
-from ..operators import (blocks as BL, burn, metrics as M, pairing, polygonize as PG, resample, sampling, score, segment,
+from ..operators import (blocks as BL, burn, metrics as M, mosaic as MO, pairing, polygonize as PG, resample, sampling, score, segment,
                          settlements as ST, spatial_join as SJ, stencil as S, tiling as T)
 from ..session import cut_lineage
 from ..sources import tasks as TK
@@ -105,31 +105,34 @@ def map_settlements(tiles: DataFrame, load_model, tile: int, params: Segmentatio
     """Tiles to building polygons, each assigned to a settlement.
 
     ``settlements`` carries its key column, bounds and, for exact tests, a ``ring``: on the tiles' plane without ``images`` (and then
-    may carry ``image`` to belong to one image), in world units with them. Only touched tiles are scored;
-    buildings keep the lowest settlement key they touch, one row per distinct geometry."""
+    may carry ``image`` to belong to one image), in world units with them. Only touched tiles are scored. With ``images (image, width, height,
+    t, crs)``, settlements that share tiles form groups, and a group's tiles are laid on one mosaic, so that a building over a tile border or over
+    two images comes out once; such polygons carry ``group``. Buildings keep the lowest settlement key they touch, one row per distinct geometry."""
     require_column(settlements, primary_key)
     if settlements.isEmpty():
-        raise ValueError("The boundaries table is empty.")
+        raise ValueError("map_settlements got a settlements table without rows.")
     aois = settlements.withColumnRenamed(primary_key, "aoi")
     if images is None:
         touched = SJ.tiles_in_settlements(tiles, aois, tile, ("image",) if "image" in aois.columns else ())
-    else:
-        touched = _tiles_under(tiles, aois, images, tile)
-    if touched.isEmpty():
-        raise FileNotFoundError("Couldn't find any tiles overlapping the target area. Update the tiles or the boundaries.")
-    polys = map_from_images(touched, load_model, tile, params, images, has_edge)
-    plane = ("image",) if images is None else ()
-    return assign_settlements(polys, aois, float(tile), plane).withColumnRenamed("aoi", primary_key)
-
-
-def _tiles_under(tiles: DataFrame, aois: DataFrame, images: DataFrame, tile: int) -> DataFrame:
-    """Tiles of any image whose world box shares a point with a settlement."""
+        _some(touched, primary_key)
+        polys = map_from_images(touched, load_model, tile, params, None, has_edge)
+        return assign_settlements(polys, aois, float(tile), ("image",)).withColumnRenamed("aoi", primary_key)
     place = T.georeference(tiles.select("image", "tile_r", "tile_c"), images, tile).withColumn(
         "tile_id", F.struct("image", "tile_r", "tile_c")).withColumn("ring", G.box_ring("xmin", "ymin", "xmax", "ymax"))
     cell = _cell_of(place)
     pairs = (SJ.ring_pairs(place, aois, "tile_id", "aoi", cell) if "ring" in aois.columns
-             else SJ.box_pairs(place, aois, "tile_id", "aoi", cell))
-    return tiles.join(pairs.select("tile_id.*").distinct(), ["image", "tile_r", "tile_c"], "left_semi")
+             else SJ.box_pairs(place, aois, "tile_id", "aoi", cell)).withColumnRenamed("tile_id", "tile")
+    _, grouped_tiles = MO.group_members(_some(cut_lineage(pairs), primary_key))
+    on_mosaic, planes = MO.placed(tiles, grouped_tiles, place.select("tile_id", "t", "crs"))
+    polys = map_from_images(on_mosaic, load_model, tile, params, planes, has_edge)
+    polys = polys.withColumn("group", F.col("image.group")).drop("image")
+    return assign_settlements(polys, aois, cell, ()).withColumnRenamed("aoi", primary_key)
+
+
+def _some(hit: DataFrame, key: str) -> DataFrame:
+    if hit.isEmpty():
+        raise FileNotFoundError(f"No tile touches a settlement of '{key}': are tiles and settlements in one coordinate system?")
+    return hit
 
 
 def assign_settlements(polys: DataFrame, aois: DataFrame, cell: float, plane: tuple[str, ...] = ("image",)) -> DataFrame:
@@ -141,7 +144,7 @@ def assign_settlements(polys: DataFrame, aois: DataFrame, cell: float, plane: tu
     columns, only settlements of a building's own plane are met."""
     geometry = [*plane, "geom_key"]
     keyed = polys.withColumn("geom_key", G.ring_key(F.col("ring")))
-    order = [c for c in ("image", "label", "ring_id") if c in polys.columns and c not in plane]
+    order = [c for c in ("image", "group", "label", "ring_id") if c in polys.columns and c not in plane]
     first = keyed.groupBy(*geometry).agg(F.min_by(F.struct(*[c for c in polys.columns if c not in plane]), F.struct(*order) if order else F.lit(0)).alias("_one"))
     b = SJ.with_bounds(cut_lineage(first.select(*geometry, "_one.*").select(*polys.columns, "geom_key")))
     shared = tuple(c for c in plane if c in aois.columns)

@@ -14,7 +14,7 @@ from . import inputs as I, jobs
 from .catalog import query
 from .pixel_queries import TILE, image_sizes
 from .vector_queries import CELL, _TILES, _components_sql, _boxes, _tile_boxes, burnt
-from .views_sql import AOIS, ARRIVALS, BUILDINGS, METRIC_SUMS, PIXELS, PROBS, SCENES, TASKS, TRUTH_PRED, metric_ratios
+from .views_sql import AOIS, ARRIVALS, BUILDINGS, MASK, METRIC_SUMS, PIXELS, PROBS, SCENES, TASKS, TRUTH_PRED, metric_ratios
 
 # --- class scores and losses ------------------------------------------------
 
@@ -414,17 +414,47 @@ def building_map_large(spark, sf):
     return _building_map(spark, sf, 10)
 
 
-@query("settlement_map")
+def _vote_sql(name: str, src: str) -> str:
+    """3 x 3 majority over the pixels that are there, absent ones stood in for."""
+    beside = lambda v, at, w: f"coalesce(case when lag({at}) over {w} = {at} - 1 then lag({v}) over {w} end, {v}) + coalesce(case when lead({at}) over {w} = {at} + 1 then lead({v}) over {w} end, {v})"
+    return f"""{name}h as (select image, r, c, v + {beside("v", "c", "x")} as s from {src} window x as (partition by image, r order by c)),
+{name} as (select image, r, c, (s + {beside("s", "r", "y")} >= 5)::int as v from {name}h window y as (partition by image, c order by r))"""
+
+
+@query("settlement_map", f"""with recursive {MASK}, {AOIS.strip()},
+tl as (select scene, (k // 8)::int as tr, (k % 8)::int as tc from (select distinct scene from bld), (select unnest(range(0, 64)) as k)),
+mb as (select a.scene, aoi, tr * 8 + tc as tile from aoi a join tl on tl.scene = a.scene and x0 <= (tc + 1) * 125 and x1 >= tc * 125 and y0 <= (tr + 1) * 125 and y1 >= tr * 125),
+sy as (select distinct a.scene, a.aoi as u, b.aoi as v from mb a join mb b on a.scene = b.scene and a.tile = b.tile and a.aoi <> b.aoi),
+w(scene, aoi, g) as (select distinct scene, aoi, aoi from mb union select sy.scene, sy.v, w.g from w join sy on sy.scene = w.scene and sy.u = w.aoi where w.g < sy.v),
+gr as (select scene, aoi, min(g) as grp from w group by all),
+gt as (select distinct mb.scene, mb.scene * 1000000 + grp as grp, tile from mb join gr on gr.scene = mb.scene and gr.aoi = mb.aoi),
+ps as (select scene, grp, (tile // 8 * 125 + rr)::int as r, (tile % 8 * 125 + cc)::int as c from gt, (select unnest(range(0, 125)) as rr), (select unnest(range(0, 125)) as cc)),
+p0 as (select grp as image, ps.r, ps.c, (m.image is not null)::int as v from ps left join mask m on m.image = ps.scene and m.r = ps.r and m.c = ps.c),
+{_vote_sql("p1", "p0")},
+p2 as (select image, r, c, greatest(v, case when lag(c) over x = c - 1 then lag(v) over x end, case when lead(c) over x = c + 1 then lead(v) over x end,
+ case when lag(r) over y = r - 1 then lag(v) over y end, case when lead(r) over y = r + 1 then lead(v) over y end) as v from p1
+ window x as (partition by image, r order by c), y as (partition by image, c order by r)),
+{_vote_sql("p3", "p2")}, fg as (select image, r, c from p3 where v = 1), {_components_sql("fg", "f")},
+bx as (select image, label, min(c) as c0, max(c) + 1 as c1, min(r) as r0, max(r) + 1 as r1 from cpf group by all),
+hit as (select image, label, min(aoi) as aoi from cpf join aoi a on a.scene = image // 1000000 and c <= x1 and c + 1 >= x0 and r <= y1 and r + 1 >= y0 group by all)
+select aoi, (image // 1000000 * 2000 + c0)::double as xmin, (-r1)::double as ymin, (image // 1000000 * 2000 + c1)::double as xmax, (-r0)::double as ymax
+from bx join hit using (image, label)""")
 def settlement_map(spark, sf):
-    """Footprint polygons traced from the burnt masks and assigned to settlements."""
-    from ..operators import polygonize as PG
-    params = SegmentationParams(min_building_area=2)
-    rings = PG.polygonize(burnt(spark, sf)).where(~F.col("is_hole"))
-    polys = segment.area_filter(segment.regularize(rings, params).withColumn("area", G.area(F.col("ring"))), 2, 30000)
-    b = SJ.with_bounds(polys).withColumn("bid", F.col("label")).withColumn("scene", F.col("image"))
-    aois = _boxes(I.aois(spark, sf))
-    hit = SJ.ring_pairs(b, aois, "bid", "aoi", CELL, G.intersects, ("scene",)).groupBy("scene", "bid").agg(F.min("aoi").alias("aoi"))
-    return b.join(hit, ["scene", "bid"]).select("scene", "aoi", F.col("bid").alias("label"), F.round("area", 3).alias("area"))
+    """Planes as four images of 4 x 4 tiles each, mapped on the mosaics of settlement groups; world rows run downwards."""
+    side, n = 125, 4
+    at = lambda c: F.floor(F.col(c) / n)
+    tiles = footprint_tiles(spark, sf, side).select((F.col("image") * 4 + at("tile_r") * 2 + at("tile_c")).alias("image"), (F.col("tile_r") % n).alias("tile_r"),
+                                                    (F.col("tile_c") % n).alias("tile_c"), "data")
+    k = F.explode(F.sequence(F.lit(0), F.lit(3)))
+    images = I.buildings(spark, sf).select("scene").distinct().select("scene", k.alias("k")).select(
+        (F.col("scene") * 4 + F.col("k")).alias("image"), F.lit(n * side).alias("width"), F.lit(n * side).alias("height"), F.lit("plane").alias("crs"),
+        P.affine(1, 0, F.col("scene") * 2000 + F.col("k") % 2 * n * side, 0, -1, -F.floor(F.col("k") / 2) * n * side).alias("t"))
+    aois = I.aois(spark, sf).select("aoi", (F.col("x0") + 2000 * F.col("scene")).alias("x0"), (-F.col("y1")).alias("y0"),
+                                    (F.col("x1") + 2000 * F.col("scene")).alias("x1"), (-F.col("y0")).alias("y1"))
+    params = SegmentationParams(min_building_size=1, max_hole_size=1, morph_kernel_size=1, min_building_area=0, max_building_area=1e9,
+                                simplify_tolerance=0, buffer_distance=0, use_mbr=False)
+    polys = jobs.map_settlements(tiles, footprint_model, side, params, _boxes(aois), "aoi", images, has_edge=False)
+    return SJ.with_bounds(polys).select("aoi", "xmin", "ymin", "xmax", "ymax")
 
 
 @query("evaluation_report", f"""with recursive {TRUTH_PRED}, gm as (select image, r, c from tp where g = 1), pm as (select image, r, c from tp where p = 1),

@@ -23,7 +23,7 @@ def rasters(spark: SparkSession, folder: str, recursive: bool = True) -> DataFra
     """TIFF files of a folder (any letter case); a folder without any is an error."""
     found = list_files(spark, folder, recursive).where(F.col("suffix").isin(".tif", ".tiff"))
     if found.isEmpty():
-        raise IOError(f"The directory {folder} does not contain any GeoTIFF images.")
+        raise IOError(f"{folder} lists no .tif or .tiff file (GeoTIFF rasters are looked for by these endings).")
     return found
 
 

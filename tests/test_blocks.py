@@ -128,3 +128,33 @@ def test_empty(spark):
     tiles = spark.createDataFrame([], "image long, tile_r int, tile_c int, data array<double>")
     assert jobs.map_from_images(tiles, model, TILE, SegmentationParams()).count() == 0
     assert BL.pixels(jobs.building_masks(tiles, model, TILE, SegmentationParams())).count() == 0
+
+
+def test_building_over_tiles_and_two_overlapping_images_comes_out_once(spark):
+    """Two images overlap by half a tile; a building lies over the border of both, and over tile borders."""
+    plane = np.zeros((64, 112), bool)
+    plane[10:40, 30:75] = True
+    plane[50:60, 2:12] = True                             # far from any settlement
+    left, right = plane[:, :64], plane[:, 48:112]
+    tiles = packed(spark, left * 100, 1).unionByName(packed(spark, right * 100, 2))
+    images = spark.createDataFrame([(1, 64, 64, "plane", (0.5, 0.0, 100.0, 0.0, -0.5, 50.0)), (2, 64, 64, "plane", (0.5, 0.0, 124.0, 0.0, -0.5, 50.0))],
+                                   SIZES + ", crs string, t struct<a double, b double, c double, d double, e double, f double>")
+    box = lambda x0, y0, x1, y1: [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]
+    aois = spark.createDataFrame([(5, 116.0, 32.0, 126.0, 44.0, box(116.0, 32.0, 126.0, 44.0)), (9, 126.0, 31.0, 136.0, 44.0, box(126.0, 31.0, 136.0, 44.0))],
+                                 "key int, xmin double, ymin double, xmax double, ymax double, ring array<struct<x: double, y: double>>")
+    params = SegmentationParams(morph_kernel_size=1, min_building_size=1, max_hole_size=1, min_building_area=0, simplify_tolerance=0, use_mbr=False, buffer_distance=0)
+    got = jobs.map_settlements(tiles, model, TILE, params, aois, "key", images, has_edge=False).collect()
+    assert [(r.key, r.group) for r in got] == [(5, 5)]
+    xs, ys = {p.x for p in got[0].ring}, {p.y for p in got[0].ring}
+    assert (min(xs), max(xs), min(ys), max(ys)) == (100 + 0.5 * 29, 100 + 0.5 * 76, 50 - 0.5 * 41, 50 - 0.5 * 9)       # one dilation
+
+
+def test_first_tile_wins_where_tiles_overlap(spark):
+    on, off = [1.0] * 16, [0.0] * 16
+    rows = [((0, 0, 0, 2), on), ((0, 0, 2, 1), off), ((0, 2, 2, 3), on)]
+    tiles = spark.createDataFrame(rows, "place struct<image: long, r: int, c: int, rank: int>, data array<double>")
+    grid = to_grid(BL.pixels(BL.chain(BL.mask_pieces(tiles, 4, 8, 1), [], 8)), (6, 6))
+    want = np.zeros((6, 6))
+    want[0:4, 0:2] = 1
+    want[4:6, 2:6] = 1
+    assert (grid == want).all()
