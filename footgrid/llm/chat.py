@@ -39,8 +39,8 @@ def examples(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
     placed = rows.select("conv_id", "role", "line", F.row_number().over(order).alias("example"), F.char_length("body").alias("n_body"),
                          F.sum(F.char_length("line").cast("long")).over(running).alias("stop"))
     whole = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("example", "line"))).alias("lines"),
-                                          F.max("stop").alias("total")) \
-        .select(F.col("conv_id").alias("conv"), F.array_join("lines.line", "").alias("transcript"), "total")
+                                          F.max("stop").alias("total"), F.max(F.when(F.col("role") == REPLY, F.col("stop"))).alias("newest")) \
+        .select(F.col("conv_id").alias("conv"), F.array_join("lines.line", "").alias("transcript"), "total", "newest")
     targets = placed.where(F.col("role") == REPLY).select("conv_id", "example", "stop", "n_body")
     joined = whole.join(targets, F.col("conv").eqNullSafe(F.col("conv_id")), "left")
     closing = F.col("stop") - F.lit(len(CLOSE))
@@ -48,11 +48,9 @@ def examples(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
     tail = F.struct(F.lit(None).cast("int").alias("example"), F.col("total").alias("size"), F.col("total").alias("loss_start"),
                     F.col("total").alias("loss_end"))
     # the row of the last reply (or the only row of a conversation without one) also makes the example of what follows it
-    newest = F.max("stop").over(Window.partitionBy("conv"))
-    made = joined.withColumn("newest", newest) \
-        .withColumn("one", F.explode(F.when(F.col("stop").isNull(), F.array(tail))
-                                     .when((F.col("stop") == F.col("newest")) & (F.col("stop") < F.col("total")), F.array(own, tail))
-                                     .otherwise(F.array(own))))
+    made = joined.withColumn("one", F.explode(F.when(F.col("stop").isNull(), F.array(tail))
+                                               .when((F.col("stop") == F.col("newest")) & (F.col("stop") < F.col("total")), F.array(own, tail))
+                                               .otherwise(F.array(own))))
     return made.select(F.col("conv").alias("conv_id"), "one.example",
                        F.substring("transcript", F.lit(1), F.col("one.size").cast("int")).alias("text"),
                        F.col("one.loss_start").alias("loss_start"), F.col("one.loss_end").alias("loss_end"),

@@ -15,8 +15,8 @@ norm is only computed where a bound on it says the word can score above the floo
 At most `sample` labelled rows are used for fitting, the first by a hash of the id; all texts are scored whole.
 
 Results: null and wordless texts get the floor's score; repeated rows are scored alike; labels that are null, held out or without a
-text are not used; where the labels of one class are missing, every score is 0; where both are there but no word tells them apart, fitting
-raises ValueError, as no score would mean anything. An empty table gives an empty table. Other columns are returned untouched by `clean`
+text are not used, and of several rows with one labelled id one counts; where the labels of one class are missing, every score is 0; on few
+labels the first round gets less choosy step by step (STEPS), and only where no toxic text has a word, fitting raises ValueError. An empty table gives an empty table. Other columns are returned untouched by `clean`
 and not read elsewhere.
 """
 
@@ -44,6 +44,9 @@ WORST = 3
 #: texts LIFT times their share of the clean ones, mostly in toxic texts, and SURPRISE standard deviations more often than if labels were
 #: dealt at random; looked for among the CANDIDATES most frequent words of toxic texts.
 LIFT, SURPRISE, CANDIDATES = 3.0, 3.0, 50_000
+#: (least different words before, LIFT, SURPRISE, fewest letters), looser step by step where a small label table leaves no first-round word; in
+#: the last step every word of the toxic texts may be one.
+STEPS = [(3, LIFT, SURPRISE, 3), (2, 2.0, 1.0, 3), (1, 1.0, 0.0, 2), (1, 0.0, -1e9, 1)]
 GAPS = [(a, b) for a in range(1, SPAN - 1) for b in range(1, SPAN - a)]
 
 # letters to 64 classes: a-z, one for digits, one for the start of a word, 32 for the last byte of other characters; what is put between
@@ -234,11 +237,14 @@ def solve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 2e-4)
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
         sample: int = SAMPLE, use: Column | None = None) -> Machine | None:
     """A machine from at most `sample` labelled rows, or None if a class has no rows. `use` says which labels may be used.
-    ValueError if both classes have rows but no word tells them apart."""
+    ValueError if both classes have rows but no toxic text has a word."""
     told = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     told = (told if use is None else told.where(use)).groupBy("id").agg(F.max("label").alias("label"))
     told = F.broadcast(told.orderBy(F.xxhash64("id"), "id").limit(sample))      # `sample` pairs of numbers
-    rows = cut_lineage(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(told, "id").select("label", "text"))
+    # an id counts once, by the first of its texts in the order of a hash, so these are `sample` rows at most
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(told, "id").groupBy("id", "label") \
+        .agg(F.min(F.struct(F.xxhash64("text").alias("order"), "text")).alias("one"))
+    rows = cut_lineage(rows.select("label", "one.text"))
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(sizes) < 2:
         return None
@@ -255,41 +261,50 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 names = [body[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts[some], ends[some])]
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(before[some].view(np.int64))], ["word", "before"])
 
-    often = rows.where("label = 1").mapInArrow(spotted, "word string, before long").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("n")) \
-        .where(F.char_length("word").between(3, 40) & (F.col("n") >= 3)).orderBy(F.desc("n"), "word").limit(CANDIDATES).collect()
-    if not often:
-        raise ValueError(f"no word stands after three different words in the {toxic} toxic texts")
-    hashes = S.run_hashes(*_laid_out([r["word"] for r in often]))
-    listed = rows.sparkSession.sparkContext.broadcast(np.sort(hashes))
+    spoken = cut_lineage(rows.where("label = 1").mapInArrow(spotted, "word string, before long").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("n")))
 
-    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, count = listed.value, np.zeros((2, len(listed.value)), np.int64)
-        for batch in batches:
-            label = batch.column(0).to_numpy()
-            for first, part in S.chunks(batch.column(1)):
-                body, starts, ends, at = words(part)
-                own = S.run_hashes(body, starts, ends)
-                place = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
-                hit = np.flatnonzero(wanted[place] == own)
-                owner = np.searchsorted(at, hit, side="right") - 1
-                text, place = np.divmod(np.unique(owner * len(wanted) + place[hit]), len(wanted))
-                np.add.at(count, (label[first + text], place), 1)
-        some = np.flatnonzero(count.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(wanted[some].view(np.int64)), pa.array(count[0, some]), pa.array(count[1, some])], ["hash", "clean", "toxic"])
-
-    texts = {r["hash"]: (r["toxic"], r["clean"]) for r in rows.mapInArrow(met, "hash long, clean long, toxic long").groupBy("hash")
-             .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).collect()}
-    seen, worth_of, share = {}, {}, toxic / (toxic + clean)
-    for r, h in zip(often, hashes.view(np.int64).tolist()):
-        held, there = texts.get(h, (0, 0))
-        z = (r["n"] - (r["n"] + there) * share) / np.sqrt((r["n"] + there) * share * (1 - share) + 1)
-        # rates are compared over texts of both classes, as a common word stands after many words of one text
-        if r["n"] > 2 * there and min(held, r["n"]) * clean > LIFT * there * toxic and z > SURPRISE:
-            seen[r["word"], 1], worth_of[r["word"]] = r["n"], z
-    if not seen:
-        raise ValueError(f"no word tells the {toxic} toxic from the {clean} clean texts")
+    def first_round(least: int, lift: float, surprise: float, letters: int) -> tuple[dict, dict]:
+        """Words that tell the toxic texts from the clean ones, with their number of different words before, and how surely."""
+        often = spoken.where(F.char_length("word").between(letters, 40) & (F.col("n") >= least)).orderBy(F.desc("n"), "word").limit(CANDIDATES).collect()
+        if not often:
+            return {}, {}
+        hashes = S.run_hashes(*_laid_out([r["word"] for r in often]))
+        listed = rows.sparkSession.sparkContext.broadcast(np.sort(hashes))
+
+        def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            wanted, count = listed.value, np.zeros((2, len(listed.value)), np.int64)
+            for batch in batches:
+                label = batch.column(0).to_numpy()
+                for first, part in S.chunks(batch.column(1)):
+                    body, starts, ends, at = words(part)
+                    own = S.run_hashes(body, starts, ends)
+                    place = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
+                    hit = np.flatnonzero(wanted[place] == own)
+                    owner = np.searchsorted(at, hit, side="right") - 1
+                    text, place = np.divmod(np.unique(owner * len(wanted) + place[hit]), len(wanted))
+                    np.add.at(count, (label[first + text], place), 1)
+            some = np.flatnonzero(count.any(axis=0))
+            yield pa.RecordBatch.from_arrays([pa.array(wanted[some].view(np.int64)), pa.array(count[0, some]), pa.array(count[1, some])], ["hash", "clean", "toxic"])
+
+        texts = {r["hash"]: (r["toxic"], r["clean"]) for r in rows.mapInArrow(met, "hash long, clean long, toxic long").groupBy("hash")
+                 .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).collect()}
+        seen, worth_of, share = {}, {}, toxic / (toxic + clean)
+        for r, h in zip(often, hashes.view(np.int64).tolist()):
+            held, there = texts.get(h, (0, 0))
+            z = (r["n"] - (r["n"] + there) * share) / np.sqrt((r["n"] + there) * share * (1 - share) + 1)
+            # rates are compared over texts of both classes, as a common word stands after many words of one text
+            if lift == 0 or r["n"] > (2 if least > 1 else 0) * there and min(held, r["n"]) * clean > lift * there * toxic and z > surprise:
+                seen[r["word"], 1], worth_of[r["word"]] = r["n"], z
+        return seen, worth_of
+
+    for step in STEPS:
+        seen, worth_of = first_round(*step)
+        if seen:
+            break
+    else:
+        raise ValueError(f"the {toxic} toxic texts have no word of up to 40 characters")
     names = sorted(worth_of, key=lambda w: (-worth_of[w], w))[:600]
-    worth = np.array([worth_of[w] for w in names])
+    worth = np.maximum([worth_of[w] for w in names], 1e-3)
     seen = {(w, 1): seen[w, 1] for w in names}
     body, starts, ends = _laid_out(names)
     machine = Machine(None, 0.0, dict(zip(S.run_hashes(body, starts, ends).tolist(), worth.tolist())))

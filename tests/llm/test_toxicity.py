@@ -109,7 +109,26 @@ def test_any_share_of_toxic_labels(spark, part):
     assert len(left & {i for i in truth if truth[i]}) < 0.05 * sum(truth.values())
 
 
-def test_no_telling_word_is_an_error(spark):
+def test_no_telling_word_gives_no_verdict(spark):
     docs = spark.createDataFrame([(i, f"same {i} words") for i in range(60)], "doc_id long, text string")
-    with pytest.raises(ValueError, match="tells"):
-        T.fit(docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")))
+    labels = spark.createDataFrame([(i, int(i < 20)) for i in range(60)], "doc_id long, toxic int")
+    got = {r.id: r.score for r in T.scores(docs, T.fit(docs, labels)).collect()}
+    assert len(got) == 60 and max(got[i] for i in range(20, 60)) < 0.5           # what all texts share speaks against none
+
+
+def test_very_small_label_tables_and_one_id_with_many_rows(spark):
+    """Two toxic texts among forty; one labelled id a thousand times."""
+    clean = [(k, f"plain words number {k} about house{k % 7} and river{k % 5}", 0) for k in range(38)]
+    rows = clean + [(100, "you total zorfblat of a person", 1), (101, "what zorfblats they all are zorfblat", 1)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, t) for k, _, t in rows], "doc_id long, toxic int")
+    machine = T.fit(docs, labels)
+    got = {r.id: r.score for r in T.scores(docs, machine).collect()}
+    assert min(got[100], got[101]) > max(got[k] for k in range(38))
+    again = docs.unionByName(docs.where("doc_id = 3").crossJoin(spark.range(1000)).drop("id"))
+    many = T.fit(again, labels, sample=50)
+    assert min(r.score for r in T.scores(docs, many).collect() if r.id >= 100) > 0
+    alone = T.fit(docs.where("doc_id in (1, 2, 100)"), labels)
+    assert T.scores(docs, alone).count() == 40
+    with pytest.raises(ValueError):
+        T.fit(spark.createDataFrame([(1, "words"), (2, "..."), (3, None)], "doc_id long, text string"), spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "doc_id long, toxic int"))
