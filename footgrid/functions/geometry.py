@@ -388,15 +388,11 @@ def min_rotated_rect(hull: Column) -> Column:
     return let(hull, build)
 
 
-def regularized(ring: Column, tolerance: float, use_rectangle: bool = True, min_fill: float = 0.85) -> Column:
-    """Simplified ring, or the smallest rotated rectangle around the ring when it fills more than
-    ``min_fill`` of it. The rectangle is that of the outline as traced: thinned to the full tolerance, a square with
-    clipped corners would come out turned and smaller."""
-    if not use_rectangle:
-        return simplify(ring, tolerance)
-
+def squared_up(ring: Column, min_fill: float = 0.85) -> Column:
+    """The smallest rotated rectangle around a ring that fills more than ``min_fill`` of it, else null. The rectangle is that of the
+    outline as traced: thinned to the full tolerance, a square with clipped corners would come out turned and smaller."""
     def square_up(r):
         def choose(m):
-            return F.when(F.coalesce(F.try_divide(area(r), area(m)) > min_fill, F.lit(False)), m).otherwise(simplify(r, tolerance))
-        return let(convex_hull(r), lambda h: F.when(F.size(h) > 3, let(min_rotated_rect(h), choose)).otherwise(simplify(r, tolerance)))
+            return F.when(F.coalesce(F.try_divide(area(r), area(m)) > min_fill, F.lit(False)), m)
+        return let(convex_hull(r), lambda h: F.when(F.size(h) > 3, let(min_rotated_rect(h), choose)))
     return let(ring, square_up)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import SegmentationParams
-from ..functions import geometry as G
+from ..functions import geometry as G, offset
 from ..functions import pixel as P
 from ..session import cut_lineage
 from . import components as C
@@ -38,11 +42,29 @@ def edge_guided(probs: DataFrame, params: SegmentationParams, has_edge: bool = T
     return clean(threshold(probs, params, has_edge), params, vote=vote)
 
 
-def smooth_outline(mask: DataFrame, distance: float, value: str = "v", block: int = S.BLOCK) -> DataFrame:
-    """Shrink-and-grow smoothing of building outlines, done on the mask before it is
-    polygonised: an opening with a square of the given reach in pixels."""
-    reach = int(distance)
-    return S.opening(mask, value, S.square(2 * reach + 1), block=block) if reach > 0 else mask
+def smooth(df: DataFrame, distance: float, ring: str = "ring", unless: str | None = None) -> DataFrame:
+    """Rings shrunk and grown again by ``distance`` (`offset.opened`), the largest part kept; null where nothing is left. Rows whose column
+    ``unless`` holds stay as they are. Work is a ring at a time, side by side within its batch."""
+    at, skip = df.columns.index(ring), df.columns.index(unless) if unless else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(at)
+            flat = lists.values
+            x, y = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(2))
+            begin = lists.offsets.to_numpy()
+            leave = batch.column(skip).to_pylist() if unless else [False] * len(lists)
+            new = []
+            for i, there in enumerate(lists.is_valid().to_pylist()):
+                points = np.column_stack([x[begin[i]: begin[i + 1]], y[begin[i]: begin[i + 1]]])
+                new.append(None if not there else points if leave[i] else offset.opened(points, distance))
+            sizes = [0 if p is None else len(p) for p in new]
+            body = np.concatenate([p for p in new if p is not None and len(p)] or [np.zeros((0, 2))])
+            struct = pa.StructArray.from_arrays([pa.array(body[:, k].copy()) for k in range(2)], ["x", "y"])
+            made = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), struct, mask=pa.array([p is None for p in new]))
+            yield pa.RecordBatch.from_arrays([made if k == at else c for k, c in enumerate(batch.columns)], batch.schema.names)
+
+    return df.mapInArrow(run, df.schema) if distance > 0 else df
 
 
 def simplify(df: DataFrame, tolerance: float, ring: str = "ring") -> DataFrame:
@@ -51,10 +73,13 @@ def simplify(df: DataFrame, tolerance: float, ring: str = "ring") -> DataFrame:
 
 
 def regularize(df: DataFrame, params: SegmentationParams, ring: str = "ring") -> DataFrame:
-    """Simplify a ring and replace it by its smallest rotated rectangle when it fills more
-    than ``mbr_threshold`` of it. Empty and flat rings stay as they are, and so does one whose simplified form is not valid."""
-    new = G.regularized(F.col(ring), params.simplify_tolerance, params.use_mbr, params.mbr_threshold)
-    return G.materialize(df, ring, G.let(new, lambda r: F.when(G.is_valid(r), r).otherwise(F.col(ring))))
+    """A ring that fills more than ``mbr_threshold`` of its smallest rotated rectangle becomes that; any other one is simplified and
+    smoothed by ``buffer_distance``. Empty and flat rings stay as they are, and so does one whose new form is not valid or empty."""
+    square = G.squared_up(F.col(ring), params.mbr_threshold) if params.use_mbr else F.lit(None).cast(G.RING_TYPE)
+    out = G.materialize(df.withColumn("_was", F.col(ring).cast(G.RING_TYPE)), "_square", square)
+    out = G.materialize(out, ring, F.coalesce("_square", G.simplify(F.col("_was"), params.simplify_tolerance)).cast(G.RING_TYPE))
+    out = smooth(out.withColumn("_square", F.col("_square").isNotNull()), params.buffer_distance, ring, "_square")
+    return G.materialize(out, ring, F.when(F.col("_square") | G.is_valid(F.col(ring)), F.col(ring)).otherwise(F.col("_was"))).drop("_was", "_square")
 
 
 def area_filter(df: DataFrame, lo: float, hi: float, area: str = "area") -> DataFrame:
