@@ -1,7 +1,7 @@
 """Main text of web pages: flat text blocks, classified by a small decision tree.
 
 A page is cut into flat blocks at block-level tags. A block is described by its word count and link density, those of its neighbours,
-and what the nearest telling container around it says (article or content: 1; menu, footer, advert, comments and the like: -1;
+whether running text stands before and after it with no block of links in between, and what the nearest telling container around it says (article or content: 1; menu, footer, advert, comments and the like: -1;
 nothing: 0). Class names that say what a page or part has or lacks (has-sidebar, comments-open) say nothing of the element itself; html, body
 and main are never unwanted by their names, article only by a name like comment without one like post beside it; main, and an article
 not within another one, end what the names of containers around them said. A decision tree fitted on the labelled table below keeps or drops each block.
@@ -31,16 +31,25 @@ BLOCK = set("""address article aside blockquote body br caption center dd detail
 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul""".split())
 OUTSIDE = set("nav footer aside menu dialog".split())
 INSIDE = set("article main".split())
-BAD_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|cookies?|notice|consent|gdpr|alert|popup|modal|sidebar|side|"
-                       r"widget|nav\w*|menu|breadcrumbs?|footer|header|masthead|comments?|disqus|respond|replies|share|sharing|social|related|"
-                       r"recommend\w*|newsletter|subscribe|login|signup|pagination|pager|toolbar|copyright|disclaimer)(?:$|[\s_-])", re.I)
-STATE = re.compile(r"\S*(?<![^\s_-])(?:has|with|without|no|open|closed|enabled|disabled)(?![^\s_-])\S*", re.I)
-GOOD_NAMES = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|main|body|text)(?:$|[\s_-])", re.I)
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
-
-FEATURES = ["zone", "words", "links", "words_before", "links_before", "words_after", "links_after"]
-#: Labelled blocks: the features above, then 1 for main text.
+# Names that speak of unwanted parts, of main text, and of structure only; a class token counts by its parts between hyphens and underscores.
+BAD = set("""ad ads advert adverts advertisement advertising banner promo promotion promotions sponsor sponsored sponsors cookie cookies notice notices
+consent gdpr alert alerts popup modal side sidebar sidebars widget widgets nav navbar navigation menu menus breadcrumb breadcrumbs footer header masthead comment
+comments disqus respond reply replies share sharing social related recommend recommended recommendations newsletter subscribe subscription login signup
+pagination pager toolbar copyright disclaimer""".split())
+GOOD = set("article content post entry story main body text".split())
+NEUTRAL = set("""box bar block blocks wrapper wrap container list lists item items section sections area panel col column columns holder inner outer unit slot
+button buttons link links form top bottom left right site page pages layout group row post posts article articles body text main global primary
+secondary header footer title icon icons area zone module thread form count tools""".split())
+STATE = set("has with without no open closed enabled disabled".split())
+# as in the tokenizer of the HTML standard, quotes delimit only a value right behind its equals sign; an open quote is part of a name or value
+ATTRIBUTES = r"(?:[\s/]++|=?+[^\s/>=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+|(?=>)))?+|=)*+"
+TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*+)({ATTRIBUTES})(?:>|\Z)", re.S)
+HREF = re.compile(r"(?<![^\s/\"'])href\s*=", re.I)
+ANCHOR = re.compile(r"<(/?)a(?=[\s/>])", re.I)
+NAMES = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+
+FEATURES = ["zone", "words", "links", "words_before", "links_before", "words_after", "links_after", "between"]
+#: Labelled blocks: the first seven features, then 1 for main text; `between` is 0 for these, read off the words beside them where these decide.
 LABELLED = [
     (1, 62, 0.0, 8, 0.0, 75, 0.0, 1), (1, 1, 0.0, 40, 0.0, 55, 0.0, 1), (1, 2, 0.0, 1, 0.0, 1, 0.0, 1), (1, 9, 0.0, 8, 0.0, 62, 0.0, 1),
     (1, 12, 0.0, 0, 0.0, 0, 0.0, 1), (1, 48, 0.06, 10, 0.0, 5, 0.0, 1), (1, 30, 0.2, 25, 0.1, 40, 0.0, 1), (1, 4, 0.0, 90, 0.0, 12, 0.0, 1),
@@ -59,9 +68,37 @@ LABELLED = [
     (0, 3, 0.0, 4, 0.9, 6, 0.0, 0), (0, 30, 0.9, 40, 0.0, 8, 1.0, 0), (0, 7, 0.0, 3, 0.0, 2, 0.0, 0), (0, 6, 0.2, 5, 1.0, 0, 0.0, 0),
     (0, 9, 0.6, 100, 0.0, 60, 0.0, 0), (0, 1, 0.0, 0, 0.0, 3, 1.0, 0), (0, 45, 0.8, 3, 1.0, 20, 0.5, 0), (0, 8, 0.0, 2, 0.0, 4, 0.0, 0),
 ]
+#: Labelled blocks within runs of short ones: all eight features, then the label.
+RUNS = [
+    (0, 1, 0.0, 2, 0.0, 1, 0.0, 1, 1), (0, 3, 0.0, 1, 0.0, 2, 0.0, 1, 1), (0, 2, 0.0, 30, 0.0, 2, 0.0, 1, 1), (0, 6, 0.0, 5, 0.0, 4, 0.0, 1, 1),
+    (0, 4, 0.0, 3, 0.2, 60, 0.0, 1, 1), (0, 9, 0.1, 8, 0.0, 9, 0.0, 1, 1), (0, 2, 0.3, 2, 0.0, 3, 0.0, 1, 1), (0, 8, 0.0, 7, 0.0, 5, 0.0, 1, 1),
+    (0, 2, 0.0, 1, 1.0, 2, 0.0, 0, 0), (0, 3, 0.0, 2, 0.0, 3, 0.0, 0, 0), (0, 5, 0.0, 4, 1.0, 6, 0.0, 0, 0), (0, 1, 0.0, 3, 0.0, 0, 0.0, 0, 0),
+    (0, 2, 1.0, 3, 0.0, 2, 0.0, 1, 0), (0, 3, 1.0, 40, 0.0, 3, 1.0, 1, 0), (0, 8, 0.9, 9, 0.0, 30, 0.0, 1, 0), (0, 4, 0.0, 2, 0.0, 2, 1.0, 0, 0),
+    (0, 1, 0.0, 0, 0.0, 25, 0.0, 0, 1), (0, 3, 0.0, 0, 0.0, 40, 0.0, 0, 1), (0, 1, 0.0, 1, 0.0, 25, 0.0, 0, 0), (0, 2, 0.0, 2, 1.0, 40, 0.0, 0, 0),
+    (-1, 3, 0.0, 2, 0.0, 3, 0.0, 1, 0), (-1, 60, 0.0, 30, 0.0, 30, 0.0, 1, 0), (1, 2, 0.0, 2, 0.0, 2, 0.0, 1, 1), (1, 2, 0.0, 1, 1.0, 1, 1.0, 0, 1),
+]
+TEXT_WORDS = 15                 # words of a block that holds running text, if fewer than a third are links
+
+
+def table(labelled: list[tuple] = LABELLED, runs: list[tuple] = RUNS) -> np.ndarray:
+    """The labelled rows with all features: a block is `between` where running text stands right before and right after it."""
+    full = lambda words, links: words >= TEXT_WORDS and links < 1 / 3
+    return np.array([(*r[:7], float(full(r[3], r[4]) and full(r[5], r[6])), r[7]) for r in labelled] + list(runs), float)
 
 
-def fit_tree(rows: np.ndarray, labels: np.ndarray, depth: int = 6) -> tuple | int:
+def names_say(said: str) -> int:
+    """1, -1 or 0 for class, id and role tokens: a token is unwanted if its parts are unwanted or structural, at least one unwanted."""
+    good = bad = False
+    for token in said.lower().split():
+        parts = [p for p in re.split("[-_]+", token) if p]
+        if STATE & set(parts):                       # what a page or part has or lacks says nothing of the element itself
+            continue
+        bad |= any(p in BAD for p in parts) and all(p in BAD or p in NEUTRAL or p.isdigit() for p in parts)
+        good |= any(p in GOOD for p in parts) and not any(p in BAD for p in parts)
+    return -1 if bad else int(good)
+
+
+def fit_tree(rows: np.ndarray, labels: np.ndarray, depth: int = 10) -> tuple | int:
     """A decision tree: (feature, threshold, tree at or below, tree above), or the label of a leaf; split by Gini impurity."""
     share = labels.mean()
     if depth == 0 or share in (0, 1):
@@ -89,7 +126,7 @@ def keep(tree: tuple | int, row: tuple) -> bool:
 def blocks(page: str) -> Iterator[tuple[int, str, int, int]]:
     """(zone, text, words, words within links) of each flat block, in page order."""
     stack: list[tuple[str, int, bool, bool]] = []    # open elements: name, zone, skipped, within an element of OUTSIDE
-    zone, skipped, link = 0, False, 0
+    zone, skipped, link, ahead = 0, False, 0, 0      # link: 0 none, 1 until its end tag, 2 until its block ends; ahead: no anchor tag begins before it
     parts: list[str] = []
     linked: list[str] = []
 
@@ -100,7 +137,7 @@ def blocks(page: str) -> Iterator[tuple[int, str, int, int]]:
         linked.clear()
         return (zone, text, text.count(" ") + 1, count) if text else None
 
-    at = 0
+    at, ends = 0, False
     while at <= len(page):
         tag = TAG.search(page, at)
         data = page[at: tag.start() if tag else len(page)]
@@ -117,6 +154,7 @@ def blocks(page: str) -> Iterator[tuple[int, str, int, int]]:
         if name in BLOCK or name in SKIPPED:
             if (done := end()):
                 yield done
+            link = link if link == 1 else 0
         if closing:
             if name == "a":
                 link = 0
@@ -129,7 +167,12 @@ def blocks(page: str) -> Iterator[tuple[int, str, int, int]]:
             zone, skipped = (stack[-1][1], stack[-1][2]) if stack else (0, False)
             continue
         if name == "a":
-            link = 1
+            link = 0
+            if HREF.search(tag[3]):
+                if ahead < at:
+                    other = ANCHOR.search(page, at)
+                    ahead, ends = (other.start(), other[1] == "/") if other else (len(page) + 1, False)
+                link = 1 if ends else 2                  # the next anchor tag should be its end tag
         if name in VOID or tag[3].endswith("/") and name not in BLOCK:
             continue
         if name in RAW:
@@ -144,10 +187,10 @@ def blocks(page: str) -> Iterator[tuple[int, str, int, int]]:
                 own, outside = -1, True
             elif own >= 0 or name in INSIDE and not outside:
                 said = " ".join(a or b or c for a, b, c in NAMES.findall(tag[3])) if "=" in tag[3] else ""
-                told = STATE.sub("", said)
-                good, bad = said and GOOD_NAMES.search(told), said and BAD_NAMES.search(told)
+                told = names_say(said) if said else 0
+                good, bad = told > 0, told < 0
                 if name == "article":
-                    own = -1 if bad and not any(GOOD_NAMES.fullmatch(x) for x in told.split()) or own < 0 and any(e[0] == name for e in stack) else 1
+                    own = -1 if bad and not GOOD & set(said.lower().split()) or own < 0 and any(e[0] == name for e in stack) else 1
                 elif name in ("html", "body"):
                     own = 1 if good else own
                 else:
@@ -158,14 +201,32 @@ def blocks(page: str) -> Iterator[tuple[int, str, int, int]]:
         yield done
 
 
+def between(found: list[tuple[int, str, int, int]]) -> list[int]:
+    """1 for blocks with running text before and after them in their zone, and no block of links in between."""
+    def reached(order) -> list[bool]:
+        out, held = [False] * len(found), None
+        for i in order:
+            zone, _, words, links = found[i]
+            out[i] = held == zone
+            if links / words >= 1 / 3 or held != zone:
+                held = None
+            if words >= TEXT_WORDS and links / words < 1 / 3:
+                held = zone
+        return out
+
+    before, after = reached(range(len(found))), reached(range(len(found) - 1, -1, -1))
+    return [int(x and y) for x, y in zip(before, after)]
+
+
 def main_text(page: str, tree: tuple | int) -> str:
     found = list(blocks(page))
     share = [links / words for _, _, words, links in found]
+    middle = between(found)
     kept = []
     for i, (zone, text, words, _) in enumerate(found):
         before = (found[i - 1][2], share[i - 1]) if i else (0, 0.0)
         after = (found[i + 1][2], share[i + 1]) if i + 1 < len(found) else (0, 0.0)
-        if keep(tree, (zone, words, share[i], *before, *after)):
+        if keep(tree, (zone, words, share[i], *before, *after, middle[i])):
             kept.append(text)
     return " ".join(kept)
 
@@ -173,8 +234,8 @@ def main_text(page: str, tree: tuple | int) -> str:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
             labelled: list[tuple] = LABELLED) -> DataFrame:
     """(id, url, text) of every page."""
-    table = np.array(labelled, float)
-    tree = fit_tree(table[:, :-1], table[:, -1])
+    rows = table(labelled)
+    tree = fit_tree(rows[:, :-1], rows[:, -1])
     rows = pages.select(id_col, url_col, html_col)
     kinds = [rows.schema[c].dataType.simpleString() for c in (id_col, url_col)]
 
