@@ -250,6 +250,56 @@ def iou_convex(a: Column, b: Column) -> Column:
     return let(intersection_area_convex(a, b), lambda i: i / (area(a) + area(b) - i))
 
 
+def _walls(rings: Column, base: Column) -> Column:
+    """Upright trapezoids between every edge of the rings and the line y = base: extent, heights at both ends, and +1 or -1 by the edge's direction."""
+    def wall(e):
+        on = e.x1 < e.x2
+        return F.struct(F.least(e.x1, e.x2).alias("l"), F.greatest(e.x1, e.x2).alias("r"), (F.when(on, e.y1).otherwise(e.y2) - base).alias("hl"),
+                        (F.when(on, e.y2).otherwise(e.y1) - base).alias("hr"), F.when(on, 1.0).otherwise(-1.0).alias("s"))
+    return F.transform(F.filter(F.flatten(F.transform(rings, edges)), lambda e: e.x1 != e.x2), wall)
+
+
+def _common(e, f) -> Column:
+    """Area that two trapezoids share: under the lower of two lines, which cross once at most, over the common extent."""
+    def under(h):
+        d0, d1 = h.e0 - h.f0, h.e1 - h.f1
+        low0, low1 = F.least(h.e0, h.f0), F.least(h.e1, h.f1)
+        t = d0 / (d0 - d1)
+        return F.when(d0 * d1 < 0, h.w * (t * low0 + h.e0 + (h.e1 - h.e0) * t + (1 - t) * low1) / 2).otherwise(h.w * (low0 + low1) / 2)
+
+    lo, hi = F.greatest(e.l, f.l), F.least(e.r, f.r)
+    at = lambda k, x: k.hl + (k.hr - k.hl) * ((x - k.l) / (k.r - k.l))
+    ends = F.struct(at(e, lo).alias("e0"), at(e, hi).alias("e1"), at(f, lo).alias("f0"), at(f, hi).alias("f1"), (hi - lo).alias("w"))
+    return F.when(lo < hi, e.s * f.s * let(ends, under)).otherwise(0.0)
+
+
+def intersection_area_of(a: Column, b: Column) -> Column:
+    """Overlap area of two shapes given as arrays of rings: outer rings in one direction, holes in the other; concave rings are fine.
+
+    Each shape is the signed sum of the trapezoids under its edges, so the overlap is the signed sum of what pairs of trapezoids share."""
+    low = lambda rings: F.array_min(F.flatten(F.transform(rings, lambda r: F.transform(r, lambda p: p.y))))
+
+    def total(base):
+        return let(_walls(b, base), lambda fs: F.aggregate(_walls(a, base), F.lit(0.0), lambda acc, e: acc + F.aggregate(fs, F.lit(0.0), lambda x, f: x + _common(e, f))))
+
+    return F.abs(let(F.least(low(a), low(b)), total))
+
+
+def net_area(rings: Column) -> Column:
+    """Area of an array of rings, holes running against the outer ones."""
+    return F.abs(_total(F.transform(rings, signed_area)))
+
+
+def intersection_area(a: Column, b: Column) -> Column:
+    """Overlap area of two simple rings, convex or not."""
+    return intersection_area_of(F.array(a), F.array(b))
+
+
+def iou(a: Column, b: Column) -> Column:
+    """IoU of two simple rings, convex or not."""
+    return let(intersection_area(a, b), lambda i: F.try_divide(i, area(a) + area(b) - i))
+
+
 def box_iou(a: Column, b: Column) -> Column:
     """IoU of two axis-parallel boxes given as bounds structs."""
     w = F.greatest(F.lit(0.0), F.least(a.xmax, b.xmax) - F.greatest(a.xmin, b.xmin))

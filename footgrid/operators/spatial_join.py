@@ -20,21 +20,35 @@ def with_bounds(df: DataFrame, ring: str = "ring") -> DataFrame:
     return df.withColumn("_b", G.bounds(F.col(ring))).select(*df.columns, *[F.col(f"_b.{n}").alias(n) for n in BOX])
 
 
-def cells(df: DataFrame, cell: float) -> DataFrame:
-    """One row per grid cell ``(cx, cy)`` touched by the row's box."""
-    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell)))
-    return df.withColumn("cx", span("xmin", "xmax")).withColumn("cy", span("ymin", "ymax"))
+def _level(cell: float) -> Column:
+    """How often the cell is doubled until it is as wide as the row's box."""
+    extent = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
+    return F.when(extent > cell, F.ceil(F.log2(extent / cell))).otherwise(0).cast("int")
+
+
+def cells(df: DataFrame, cell: float, levels: list[int], own: str) -> DataFrame:
+    """One row per grid cell ``(lv, cx, cy)`` that the row's box touches, at its own level and at the coarser ones of ``levels``: at most 3 x 3 each."""
+    out = df.withColumn("lv", F.explode(F.filter(F.array(*map(F.lit, levels)), lambda k: k >= F.col(own))))
+    size = F.pow(F.lit(2.0), F.col("lv")) * cell
+    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size)))
+    return out.withColumn("cx", span("xmin", "xmax")).withColumn("cy", span("ymin", "ymax"))
 
 
 def box_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, cell: float,
               keys: tuple[str, ...] = (), hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``(*keys, left_id, right_id)`` of all box pairs that share a point (touching counts)."""
-    l = cells(left.select(*keys, left_id, *[F.col(n).alias(f"l_{n}") for n in BOX], *BOX), cell).drop(*BOX)
-    r = cells(right.select(*keys, right_id, *[F.col(n).alias(f"r_{n}") for n in BOX], *BOX), cell).drop(*BOX)
-    met = hot_key_join(l, r, [*keys, "cx", "cy"], [left_id], hot_rows)
+    """``(*keys, left_id, right_id)`` of all box pairs that share a point (touching counts).
+
+    Every box belongs to the level of its size and also shows up in the ancestor cells of the levels that occur; two boxes
+    meet at the larger one's level, so a country among houses makes a handful of rows, not one per cell it covers."""
+    l = left.select(*keys, left_id, *[F.col(n).alias(f"l_{n}") for n in BOX], *BOX, _level(cell).alias("l_lv"))
+    r = right.select(*keys, right_id, *[F.col(n).alias(f"r_{n}") for n in BOX], *BOX, _level(cell).alias("r_lv"))
+    found = l.select(F.col("l_lv").alias("lv")).unionByName(r.select(F.col("r_lv").alias("lv"))).where("lv is not null").distinct()
+    levels = sorted(x["lv"] for x in found.collect()) or [0]                     # a row per doubling of size, so a few dozen
+    met = hot_key_join(cells(l, cell, levels, "l_lv").drop(*BOX), cells(r, cell, levels, "r_lv").drop(*BOX), [*keys, "lv", "cx", "cy"], [left_id], hot_rows)
     x, y = F.greatest("l_xmin", "r_xmin"), F.greatest("l_ymin", "r_ymin")
-    return met.where((x <= F.least("l_xmax", "r_xmax")) & (y <= F.least("l_ymax", "r_ymax"))
-                     & (F.floor(x / cell) == F.col("cx")) & (F.floor(y / cell) == F.col("cy"))
+    size = F.pow(F.lit(2.0), F.col("lv")) * cell
+    return met.where((F.col("lv") == F.greatest("l_lv", "r_lv")) & (x <= F.least("l_xmax", "r_xmax")) & (y <= F.least("l_ymax", "r_ymax"))
+                     & (F.floor(x / size) == F.col("cx")) & (F.floor(y / size) == F.col("cy"))
                      ).select(*keys, left_id, right_id)
 
 
@@ -119,6 +133,19 @@ def iou_pairs(pred: DataFrame, truth: DataFrame, threshold: float, cell: float,
             .select(*keys, "pid", "tid", "n_pred", "n_truth", "iou"))
 
 
+def ring_iou_pairs(pred: DataFrame, truth: DataFrame, threshold: float, cell: float, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct predicted and true rings, concave ones too, with exact IoU at or above the threshold: ``(keys, pid, tid, n_pred, n_truth, iou)``.
+
+    Equal rings collapse to one row with a count before the join; boxes pick the pairs that are measured."""
+    def collapse(df, id_, n):
+        return with_bounds(df.groupBy(*keys, G.ring_key(F.col("ring")).alias("_k")).agg(F.min(id_).alias(id_), F.first("ring").alias("ring"), F.count(F.lit(1)).alias(n)).drop("_k"))
+    p, t = collapse(pred, "pid", "n_pred"), collapse(truth, "tid", "n_truth")
+    pairs = box_pairs(p, t, "pid", "tid", cell, keys)
+    pr, tr = p.select(*keys, "pid", "n_pred", F.col("ring").alias("_p")), t.select(*keys, "tid", "n_truth", F.col("ring").alias("_t"))
+    met = G.materialize(pairs.join(pr, [*keys, "pid"]).join(tr, [*keys, "tid"]), "iou", G.iou(F.col("_p"), F.col("_t")))
+    return met.where(F.col("iou") >= threshold).select(*keys, "pid", "tid", "n_pred", "n_truth", "iou")
+
+
 def building_scores(pred: DataFrame, truth: DataFrame, threshold: float, cell: float,
                     keys: tuple[str, ...] = (), digits: int = 3) -> DataFrame:
     """Building precision and recall. Matches count pairs, so precision can pass 1;

@@ -25,7 +25,7 @@ def prepare_tiles(bands: DataFrame, images: DataFrame, labels: DataFrame | None,
     columns = ["band1", "band2", "band3"]
     if labels is not None:
         boxes = M.raster_bounds(images)
-        hit = SJ.box_pairs(labels.withColumnRenamed("pid", "bid"), boxes, "bid", "image", _cell_of(boxes))
+        hit = SJ.labels_in_images(boxes, labels.withColumnRenamed("pid", "bid"), _cell_of(boxes))
         polys = hit.withColumnRenamed("bid", "pid").join(labels.select("pid", "ring"), "pid")
         polys = burn.to_pixel_rings(polys, images)
         labelled = images.join(hit.select("image").distinct(), "image", "left_semi")
@@ -195,7 +195,7 @@ def detect_image(pixels: DataFrame, images: DataFrame, load_model, tile: int, lo
     """Single-pass service form: cut, score, check, reassemble, dilate, polygonise, filter.
     Returns the polygons and the tile completeness report; an image with missing or failed
     tiles gives no polygons."""
-    scored = score.score_tiles(T.pack(T.cut(pixels, images, tile), tile), load_model, tile)
+    scored = cut_lineage(score.score_tiles(T.pack(T.cut(pixels, images, tile), tile), load_model, tile))     # the report and the pixels read it
     report = T.completeness(scored.where("error is null"), images, tile)
     probs = score.probabilities(scored, tile).join(report.where("complete").select("image"), "image", "left_semi")
     mask = probs.select("image", "r", "c", P.is_predicted(F.col("building_prob"), threshold).alias("v"))

@@ -354,11 +354,11 @@ def affine_resample(spark, sf):
     return resample.resample(px, source, I.frame(im, I.SIDE, I.SIDE), target, source_crs="plane", target_crs="plane")
 
 
-@query("brovey", f"""with {BANDS}, ms as (select image, band, r // 4 as r, c // 4 as c, sum(v) as v from bands where band <= 4 group by all),
-av as (select image, r, c, avg(v) as m from ms group by 1, 2, 3)
-select p.image, ms.band, p.r, p.c, round(case when m = 0 then null else ms.v * p.v / m end, 6) as v
-from px p join ms on ms.image = p.image and ms.r = p.r // 4 and ms.c = p.c // 4
-join av on av.image = p.image and av.r = ms.r and av.c = ms.c""")
+@query("brovey", f"""with {BANDS}, ms as materialized (select image, band, r // 4 as pr, c // 4 as pc, sum(v) as v from bands where band <= 4 group by all),
+av as materialized (select image, pr, pc, avg(v) as m, list({{'band': band, 'v': v}}) as vs from ms group by all),
+pk as materialized (select image, r, c, v, r // 4 as pr, c // 4 as pc from px),
+j as materialized (select image, r, c, pk.v as pan, m, unnest(vs) as one from pk join av using (image, pr, pc))
+select image, one.band as band, r, c, round(case when m = 0 then null else one.v * pan / m end, 6) as v from j""")
 def brovey(spark, sf):
     quarter = lambda n: F.floor(F.col(n) / 4).cast("int").alias(n)
     ms = I.bands(spark, sf, 4).groupBy("image", "band", quarter("r"), quarter("c")).agg(F.sum("v").alias("v"))

@@ -471,22 +471,45 @@ def evaluation_report(spark, sf):
                          tp.select("image", "r", "c", F.col("p").cast("double").alias("pred")), 0.5)
 
 
-@query("detected_shapes")
+@query("detected_shapes", f"""with recursive {PIXELS}, on_ as (select image, r, c from px where v / 255 > 0.3),
+grown as (select distinct image, r + dr as r, c + dc as c from on_, (select unnest([-1, 0, 1]) as dr), (select unnest([-1, 0, 1]) as dc)
+ where r + dr between 0 and 127 and c + dc between 0 and 127), {_components_sql("grown", "g")}
+select image, label, min(c)::double as xmin, min(r)::double as ymin, (max(c) + 1)::double as xmax, (max(r) + 1)::double as ymax from cpg group by image, label having count(*) > 2""")
 def detected_shapes(spark, sf):
+    """Boxes of the shapes of the single-pass job."""
     polys, _ = jobs.detect_image(I.pixels(spark, sf), image_sizes(spark, sf), brightness_model, TILE, threshold=0.3)
-    return polys.select("image", "label", "area", (F.size("ring") - 1).alias("n_points"))
+    return SJ.with_bounds(polys).select("image", "label", "xmin", "ymin", "xmax", "ymax")
 
 
-@query("training_tiles")
+_HALF = 500
+
+
+@query("training_tiles", f"""with {MASK}, ho as (select scene, x0, x1, unnest([y0, y1]) as r from bld), ve as (select scene, y0, y1, unnest([x0, x1]) as c from bld),
+ln as (select scene as image, r, unnest(range(x0, x1 + 1)) as c from ho union select scene, unnest(range(y0, y1 + 1)), c from ve),
+sn as (select distinct scene from bld), pf as (select scene, rr.r::int as r, cc.c::int as wc from sn, (select unnest(range(0, 1000)) as r) rr, (select unnest(range(0, 1000)) as c) cc),
+d as (select pf.scene * 2 + pf.wc // 500 as image, pf.r, pf.wc, pf.wc % 500 as c, (m.image is not null)::int as b, (l.image is not null)::int as e from pf
+ left join mask m on m.image = pf.scene and m.r = pf.r and m.c = pf.wc left join ln l on l.image = pf.scene and l.r = pf.r and l.c = pf.wc),
+h as (select *, min(b) over x as hb, max(e) over x as he from d window x as (partition by image, r order by c rows between 1 preceding and 1 following)),
+v as (select image, r, c, wc, min(hb) over y as b, max(he) over y as e from h window y as (partition by image, c order by r rows between 1 preceding and 1 following)),
+t as (select image, (r // 125)::int as tile_r, (c // 125)::int as tile_c, sum(case when e = 1 then 0 else b * 255 end)::bigint as building_sum, sum(e * 255)::bigint as edge_sum,
+ sum((r * 7 + wc * 3 + 31) % 256)::bigint as band1_sum, count(*) as n_weights from v group by all),
+n as (select *, image || '_r' || tile_r || '_c' || tile_c || '.TIF' as name from t)
+select *, row_number() over (order by md5('2022:' || name), name) <= ceil(0.2 * count(*) over ()) as is_test from n""")
 def training_tiles(spark, sf):
-    """Bands and labels to split training tiles."""
-    sizes = image_sizes(spark, sf).select("image", "width", "height", P.affine(1, 0, 0, 0, 1, 128 * F.col("image")).alias("t"))
-    labels = _boxes(I.buildings(spark, sf).where("x1 <= 128")).select(F.col("bid").alias("pid"), "ring", "xmin", "ymin", "xmax", "ymax")
+    """Bands and labels of whole planes, two images each, to split training tiles; footprints over the border are burnt in part into both."""
     from ..config import TrainParams
-    bands = I.bands(spark, sf).where("band <= 3").withColumn("n_bands", F.lit(3))
-    t = jobs.prepare_tiles(bands, sizes, labels, TilingParams(tile_size=TILE, codes=("background", "building", "edge"), distance_weighting=True), TrainParams())
-    return t.select("image", "tile_r", "tile_c", "name", "is_test", F.aggregate("building", F.lit(0), lambda a, v: a + v).alias("building_sum"),
-                    F.aggregate("band1", F.lit(0), lambda a, v: a + v).alias("band1_sum"), F.size("weight").alias("n_weights"))
+    plane = I.frame(I.buildings(spark, sf).select("scene").distinct(), I.PLANE, I.PLANE, "scene")
+    half = F.floor(F.col("c") / _HALF).cast("long")
+    bands = plane.select((F.col("scene") * 2 + half).alias("image"), "r", F.col("c").alias("wc"), (F.col("c") % _HALF).cast("int").alias("c"), F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("band"))
+    bands = bands.select("image", "band", "r", "c", ((F.col("r") * 7 + F.col("wc") * 3 + F.col("band") * 31) % 256).alias("v"), F.lit(3).alias("n_bands"))
+    images = I.buildings(spark, sf).select("scene").distinct().select("scene", F.explode(F.array(F.lit(0), F.lit(1))).alias("half")).select(
+        (F.col("scene") * 2 + F.col("half")).alias("image"), F.lit(_HALF).alias("width"), F.lit(I.PLANE).alias("height"),
+        P.affine(1, 0, F.col("scene") * 2000 + F.col("half") * _HALF, 0, 1, 0).alias("t"))
+    moved = I.buildings(spark, sf).select("bid", *[(F.col(n) + F.col("scene") * 2000).alias(n) for n in ("x0", "x1")], "y0", "y1")
+    labels = _boxes(moved).select(F.col("bid").alias("pid"), "ring", "xmin", "ymin", "xmax", "ymax")
+    t = jobs.prepare_tiles(bands, images, labels, TilingParams(tile_size=125, codes=("background", "building", "edge"), distance_weighting=True), TrainParams())
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, v: a + v).alias(f"{c}_sum")
+    return t.select("image", "tile_r", "tile_c", "name", "is_test", total("building"), total("edge"), total("band1"), F.size("weight").cast("long").alias("n_weights"))
 
 
 # --- arrivals (batch form of the streaming operators) -----------------------

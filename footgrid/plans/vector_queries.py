@@ -179,6 +179,26 @@ def convex_overlap(spark, sf):
                                    F.round(G.iou_convex(F.col("pr"), F.col("tr")), 6).alias("iou"))
 
 
+@query("concave_overlap", f"""with {BUILDINGS}, d as (select bid, 10 * x0 as x0, 10 * x1 as x1, 10 * y0 as y0, 10 * y1 as y1, 10 * (bid % 3) as s from bld),
+m as (select *, (x0 + x1) / 2 as mx, (y0 + y1) / 2 as my, (x1 - x0) * (y1 - y0) as f from d),
+o as (select bid, f, (x1 - x0 - s) * (y1 - y0) as box, greatest(0, least(x1, x1 + s) - greatest(mx, x0 + s)) * (y1 - my) as notch,
+ greatest(0, least(x1 - 5, x1 + s) - greatest(x0 + 5, x0 + s)) * (y1 - y0 - 10) as hole, (x1 - x0 - 10) * (y1 - y0 - 10) as whole_hole from m)
+select bid, round(box - notch, 5)::double as overlap, round((box - notch) / (0.75 * f + f - (box - notch)), 6)::double as iou, round(box - hole, 5)::double as ring_overlap,
+ round(f - whole_hole, 5)::double as ring_area from o""")
+def concave_overlap(spark, sf):
+    """In tenths of a unit: an L, and a box with a hole, each against the whole box moved to the right."""
+    b = I.buildings(spark, sf)
+    x0, y0, x1, y1 = (F.col(n).cast("double") * 10 for n in ("x0", "y0", "x1", "y1"))
+    mx, my, s = (x0 + x1) / 2, (y0 + y1) / 2, F.col("bid") % 3 * 10
+    pt = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    ell = F.array(pt(x0, y0), pt(x1, y0), pt(x1, my), pt(mx, my), pt(mx, y1), pt(x0, y1), pt(x0, y0))
+    hole = F.array(pt(x0 + 5, y0 + 5), pt(x0 + 5, y1 - 5), pt(x1 - 5, y1 - 5), pt(x1 - 5, y0 + 5), pt(x0 + 5, y0 + 5))
+    box = lambda d: F.array(pt(x0 + d, y0), pt(x1 + d, y0), pt(x1 + d, y1), pt(x0 + d, y1), pt(x0 + d, y0))
+    r = b.select("bid", ell.alias("l"), F.array(box(F.lit(0)), hole).alias("h"), box(s).alias("p"))
+    return r.select("bid", F.round(G.intersection_area(F.col("l"), F.col("p")), 5).alias("overlap"), F.round(G.iou(F.col("l"), F.col("p")), 6).alias("iou"),
+                    F.round(G.intersection_area_of(F.col("h"), F.array("p")), 5).alias("ring_overlap"), F.round(G.net_area(F.col("h")), 5).alias("ring_area"))
+
+
 # --- filters ----------------------------------------------------------------
 
 @query("area_filter", f"with {BUILDINGS} select bid, ((x1 - x0) * (y1 - y0))::double as area from bld where (x1 - x0) * (y1 - y0) > 10 and (x1 - x0) * (y1 - y0) < 40")
@@ -333,6 +353,22 @@ def building_pr(spark, sf):
                               _boxes(I.buildings(spark, sf)).withColumnRenamed("bid", "tid"), 0.5, CELL, ("scene",))
 
 
+@query("ring_iou_pairs", f"""with {_IOU}, h as (select p.scene, p.pid, t.tid, p.n_pred, t.n_truth,
+ greatest(0, least(p.x1, t.x1) - greatest(p.x0, (t.x0 + t.x1) / 2)) * greatest(0, least(p.y1, t.y1) - greatest(p.y0, (t.y0 + t.y1) / 2)) as notch,
+ (least(p.x1, t.x1) - greatest(p.x0, t.x0)) * (least(p.y1, t.y1) - greatest(p.y0, t.y0)) as i, (p.x1 - p.x0) * (p.y1 - p.y0) + 0.75 * (t.x1 - t.x0) * (t.y1 - t.y0) as ab
+ from dp p join dt t on p.scene = t.scene and p.x0 < t.x1 and p.x1 > t.x0 and p.y0 < t.y1 and p.y1 > t.y0)
+select scene, pid, tid, n_pred, n_truth, round((i - notch) / (ab - (i - notch)), 6)::double as iou from h where (i - notch) / (ab - (i - notch)) >= 0.3""")
+def ring_iou_pairs(spark, sf):
+    """Boxes against L-shaped footprints, measured on the rings."""
+    x0, y0, x1, y1 = (F.col(n).cast("double") for n in ("x0", "y0", "x1", "y1"))
+    mx, my = (x0 + x1) / 2, (y0 + y1) / 2
+    pt = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    ell = F.array(pt(x0, y0), pt(x1, y0), pt(x1, my), pt(mx, my), pt(mx, y1), pt(x0, y1), pt(x0, y0))
+    truth = I.buildings(spark, sf).select("scene", F.col("bid").alias("tid"), ell.alias("ring"))
+    pred = _boxes(I.predicted_buildings(spark, sf)).select("scene", "pid", "ring")
+    return SJ.ring_iou_pairs(pred, truth, 0.3, CELL, ("scene",)).withColumn("iou", F.round("iou", 6))
+
+
 # --- settlement groups ------------------------------------------------------
 
 _MEMBER = f"""{AOIS}, {_TILES}, mb as (select aoi.scene, aoi, tr * 16 + tc as tile from aoi join tl on tl.scene = aoi.scene
