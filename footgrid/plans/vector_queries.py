@@ -422,15 +422,20 @@ def tiles_by_name_list(spark, sf):
     return tiles_of_names(lists, tiles)
 
 
-@query("dissolved_area", f"""with {_GROUPS}, ax as (select a.scene, grp, x0, x1, unnest(range(y0, y1)) as y from aoi a join gr on gr.scene = a.scene and gr.aoi = a.aoi),
-cv as (select distinct scene, grp, y, unnest(range(x0, x1)) as x from ax) select scene, grp as "group", count(*)::double as area from cv group by all""")
+@query("dissolved_area", f"""with {_GROUPS}, ax as (select a.scene, grp, x0, x1, y0, unnest(range(y0, y1)) as y from aoi a join gr on gr.scene = a.scene and gr.aoi = a.aoi),
+cv as (select distinct scene, grp, y, unnest(range(x0, case when y >= y0 + 20 then x0 + 20 else x1 end)) as x from ax),
+nb as (select cv.scene, cv.grp, cv.x, cv.y, 4 - count(o.x) as open from cv left join cv o on o.scene = cv.scene and o.grp = cv.grp and abs(o.x - cv.x) + abs(o.y - cv.y) = 1
+ and o.x between cv.x - 1 and cv.x + 1 and o.y between cv.y - 1 and cv.y + 1 group by all)
+select scene, grp as "group", count(*)::double as area, sum(open)::double as perimeter from nb group by all""")
 def dissolved_area(spark, sf):
+    """Area and outline length of each group's L-shaped settlements, overlaps counted once."""
     g = ST.groups(_membership(spark, sf), ("scene",))
     a = I.aois(spark, sf).join(g, ["scene", "aoi"])
-    y = F.explode(F.sequence(F.col("y0"), F.col("y1") - 1))
-    x = F.explode(F.sequence(F.col("x0"), F.col("x1") - 1))
-    cover = a.withColumn("y", y).withColumn("x", x).select("scene", "group", "y", "x")
-    return ST.dissolved_area(cover, ("scene", "group"))
+    x0, y0, x1, y1 = (F.col(n).cast("double") for n in ("x0", "y0", "x1", "y1"))
+    pt = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    ell = F.array(pt(x0, y0), pt(x1, y0), pt(x1, y0 + 20), pt(x0 + 20, y0 + 20), pt(x0 + 20, y1), pt(x0, y1), pt(x0, y0))
+    out = ST.dissolve(a.select("scene", "group", ell.alias("ring")), ("scene", "group"), CELL)
+    return out.select("scene", "group", F.round("area", 6).alias("area"), F.round("perimeter", 6).alias("perimeter"))
 
 
 # --- burning, components, polygons ------------------------------------------
