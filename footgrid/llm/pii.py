@@ -1,7 +1,7 @@
 """Personal data: base patterns, and bootstrapped contextual extraction of identifiers no pattern knows, with DataFrame operations only.
 
 Base spans (email, ip, card, phone) seed a bipartite graph. Its instances are identifier-like tokens (with a digit or an at sign) and
-the seeds themselves; its patterns are lexical contexts, the word before and the word after. Rounds of sums over the graph score both sides:
+the seeds themselves; its patterns are lexical contexts, the word before and the word after (whole words of up to BLOCK characters). Rounds of sums over the graph score both sides:
 a pattern by the scores of its distinct instances over all that it extracts, which counts each different text where its word stands
 at all (copies once, as the values they hold), so that words that are everywhere score near zero however many seeds they meet; an
 instance by the chance that one of its patterns is right (noisy or), if MIN_PATTERNS of them are trusted at all or seeds alone make
@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
 from ..skew import attach
+from .licenses import let
 
 # What the base kinds look like. Lookbehind and \G let a match begin only where a run of its characters, or the rest
 # of one after the match before, begins; possessive quantifiers never give back.
@@ -40,7 +41,8 @@ MIN_PATTERN = 0.5
 MIN_INSTANCE = 0.85
 SURE = 0.9                                     # trust by seeds alone from which one pattern is enough
 MIN_PATTERNS = 2                               # patterns that have to speak for an instance, so that one common word can't drift
-NEAR = 40                                      # code points on either side in which the word next to a span is looked for
+BLOCK = 4096                                   # code points; the word next to a span is looked for in its blocks and one more on either side
+CHUNK = 64                                     # matches whose lengths are added up at once
 
 
 def digits_of(match: Column) -> Column:
@@ -81,7 +83,19 @@ def spans(text: Column, pattern: str, good=None) -> Column:
         keep = x["match"].isNotNull() & (good(x["match"]) if good else F.lit(True))
         return F.struct((start + x["size"]).alias("at"), F.when(keep, F.concat(a["found"], one)).otherwise(a["found"]).alias("found"))
 
-    return F.aggregate(gap_match, F.struct(F.lit(0).alias("at"), nothing.alias("found")), step, lambda a: a["found"])
+    def placed(all_: Column) -> Column:
+        """Chunk by chunk, each from where the chunks before it end, so that no long array is copied match by match."""
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / CHUNK).cast("int")), lambda k: F.slice(all_, k * CHUNK + 1, F.lit(CHUNK)))
+
+        def from_ends(cs: Column) -> Column:
+            sums = F.transform(cs, lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x["gap"] + x["size"]))
+            begin = F.aggregate(sums, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+            return F.flatten(F.zip_with(cs, F.slice(begin, F.lit(1), F.size(cs)), lambda c, at: F.aggregate(
+                c, F.struct(at.alias("at"), nothing.alias("found")), step, lambda a: a["found"])))
+
+        return let(chunks, from_ends)
+
+    return let(gap_match, placed)
 
 
 def base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -98,18 +112,44 @@ def tagged(spans_col: str, kind: str) -> Column:
     return F.transform(spans_col, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
 
+def _beside(blocks: Column, s: Column) -> Column:
+    """A span with its text and the words before and after it, bare of all but letters and digits; only the blocks around it are put together."""
+    first, last = F.floor(s["start"] / BLOCK).cast("int"), F.floor((s["end"] - 1) / BLOCK).cast("int")
+    begin = F.greatest(first - 1, F.lit(0))
+    bare = lambda w: F.lower(F.regexp_replace(w, r"[^\p{L}\p{N}]", ""))
+
+    def read(here: Column) -> Column:
+        start, end = s["start"] - begin * BLOCK, s["end"] - begin * BLOCK
+        left, right = F.substring(here, F.lit(1), start), F.substring(here, end + 1, F.char_length(here))
+        close = F.regexp_extract(F.substring(here, F.greatest(start - 63, F.lit(1)), F.least(start, F.lit(64))), r"\s(\S+)\s*$", 1)
+        before = F.when(close != "", close).otherwise(F.regexp_extract(left, r"(?:^|\s)(\S+)\s*$", 1))
+        return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.substring(here, start + 1, s["end"] - s["start"]).alias("value"),
+                        bare(before).alias("before"), bare(F.regexp_extract(right, r"^\s*(\S+)", 1)).alias("after"))
+
+    return let(F.array_join(F.slice(blocks, begin + 1, last - begin + 2), ""), read)
+
+
+def _apart(tokens: Column, seeds: Column, blocks: Column) -> Column:
+    """Tokens that overlap no seed; each one looks at the seeds of its own blocks."""
+    meets = lambda s, a, b: (s["start"] < b) & (a < s["end"])
+    by_block = F.transform(F.sequence(F.lit(0), F.size(blocks) - 1), lambda k: F.filter(seeds, lambda s: meets(s, k * BLOCK, (k + 1) * BLOCK)))
+
+    def free(groups: Column) -> Column:
+        def near(t):
+            first, last = F.floor(t["start"] / BLOCK).cast("int"), F.floor((t["end"] - 1) / BLOCK).cast("int")
+            return F.slice(groups, first + 1, last - first + 1)
+        return F.filter(tokens, lambda t: ~F.exists(near(t), lambda g: F.exists(g, lambda s: meets(s, t["start"], t["end"]))))
+
+    return F.when(F.size(seeds) == 0, tokens).otherwise(let(by_block, free))
+
+
 def occurrences(told: DataFrame) -> DataFrame:
     """(row, kind, start, end, value, before, after) of all base spans and of identifier-like tokens apart from them."""
-    rows = told.where("text is not null").select("row", "text", F.concat(*(tagged(k, k) for k in KINDS)).alias("seeds"), spans(F.col("text"), TOKEN).alias("tokens"))
-    rows = rows.select("row", "text", "seeds", tagged("tokens", "context").alias("tokens"))
-    apart = F.filter("tokens", lambda t: ~F.exists("seeds", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    each = rows.select("row", "text", F.explode(F.concat("seeds", apart)).alias("one")).select("row", "text", "one.*")
-    piece = lambda a, b: F.substring("text", a + 1, b - a)
-    left = piece(F.greatest(F.col("start") - NEAR, F.lit(0)), F.col("start"))
-    right = piece(F.col("end"), F.col("end") + NEAR)
-    bare = lambda w: F.lower(F.regexp_replace(w, r"[^\p{L}\p{N}]", ""))
-    return each.select("row", "kind", "start", "end", piece(F.col("start"), F.col("end")).alias("value"),
-                       bare(F.regexp_extract(left, r"(\S+)\s*$", 1)).alias("before"), bare(F.regexp_extract(right, r"^\s*(\S+)", 1)).alias("after"))
+    rows = told.where("text is not null and text <> ''").select("row", F.concat(*(tagged(k, k) for k in KINDS)).alias("seeds"), spans(F.col("text"), TOKEN).alias("tokens"),
+                                                                F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{BLOCK}}}"), F.lit(0)).alias("blocks"))
+    told_apart = F.concat("seeds", _apart(tagged("tokens", "context"), F.col("seeds"), F.col("blocks")))
+    found = let(F.col("blocks"), lambda bs: F.transform(told_apart, lambda s: _beside(bs, s)))
+    return rows.select("row", F.explode(found).alias("one")).select("row", "one.*")
 
 
 def scored(found: DataFrame, docs: DataFrame, text_col: str, rounds: int = ROUNDS) -> DataFrame:

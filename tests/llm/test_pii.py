@@ -78,3 +78,34 @@ def test_copies_do_not_lower_trust(spark):
 def test_one_sure_pattern_at_the_end(spark):
     texts = [f"the talk went on, mailbox: user{i}@host{i}.org" for i in range(60)] + ["and then mailbox: member#177", "room 12", "mailing 12"]
     assert contexts(spark, texts) == [[]] * 60 + [["member#177"], [], []]
+
+
+def beside(text, start, end):
+    bare = lambda w: "".join(c for c in w.lower() if c.isalnum())
+    left, right = text[:start].split(), text[end:].split()
+    return bare(left[-1]) if left else "", bare(right[0]) if right else ""
+
+
+def test_words_beside_spans_are_whole_and_blocks_don_t_show(spark, monkeypatch):
+    monkeypatch.setattr(pii, "BLOCK", 64)
+    rng = random.Random(2)
+    bits = ["a@b.c", "id77", "word", "w" * 45, "ü1", "1.2.3.4", "x-y", "(note)", "4111 1111 1111 1111", "😀", "9" * 30]
+    texts = ["".join(rng.choice(bits) + rng.choice([" ", " ", "\n", "  "]) for _ in range(rng.randint(1, 60))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    told = pii.base(docs, "doc_id", "text")
+    rows = {r["row"]: r["id"] for r in told.select("row", "id").collect()}
+    seen = 0
+    for r in pii.occurrences(told).collect():
+        text = texts[rows[r["row"]]]
+        assert r["value"] == text[r["start"]: r["end"]] and (r["before"], r["after"]) == beside(text, r["start"], r["end"]), (text, r)
+        seen += 1
+    assert seen > 500
+
+
+def test_very_long_text_in_linear_time(spark):
+    import time
+    text = " ".join(f"label user{i}@host.org and id{i}x" for i in range(50_000)) + " " + " ".join(f"tok{i}" for i in range(100_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    begin = time.time()
+    row = pii.find(docs).collect()[0]
+    assert len(row["email"]) == 50_000 and time.time() - begin < 240
