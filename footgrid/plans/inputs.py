@@ -113,13 +113,16 @@ def aois(spark, sf_dir) -> DataFrame:
         (x0 + 40).alias("x1"), (y0 + 40).alias("y1"))
 
 
+CLASSES = 10
+
+
 def probs(spark, sf_dir) -> DataFrame:
-    """``(vec_id, tile, z ARRAY<DOUBLE>, label, w)``: class scores with labels and weights."""
+    """``(vec_id, tile, z ARRAY<DOUBLE>, label, w)``: scores of ten classes with labels and weights."""
     e = F.col("embedding")
     return table(spark, sf_dir, "embeddings").select(
         "vec_id", idiv(F.col("vec_id"), 100).alias("tile"),
-        F.array(*[e[i].cast("double") * 4 for i in range(3)]).alias("z"),
-        (F.col("label") % 3).cast("int").alias("label"), (1 + (F.col("vec_id") % 5) / 4.0).alias("w"))
+        F.array(*[e[i].cast("double") * 4 for i in range(CLASSES)]).alias("z"),
+        F.col("label").cast("int").alias("label"), (1 + (F.col("vec_id") % 5) / 4.0).alias("w"))
 
 
 def tasks(spark, sf_dir) -> DataFrame:

@@ -19,11 +19,13 @@ from .views_sql import AOIS, ARRIVALS, BUILDINGS, MASK, METRIC_SUMS, PIXELS, PRO
 # --- class scores and losses ------------------------------------------------
 
 
-@query("softmax_argmax", f"""with {PROBS} select vec_id, round(p0, 6) as p0, round(p1, 6) as p1, round(p2, 6) as p2,
- (case when p0 >= p1 and p0 >= p2 then 0 when p1 >= p2 then 1 else 2 end)::int as pred from pr""")
+_PRED = "(list_position(p, list_max(p)) - 1)::int as pred"
+
+
+@query("softmax_argmax", f"""with {PROBS} select vec_id, {", ".join(f"round(p[{k + 1}], 6) as p{k}" for k in range(I.CLASSES))}, {_PRED} from pr""")
 def softmax_argmax(spark, sf):
     p = L.with_probs(I.probs(spark, sf))
-    return p.select("vec_id", *[F.round(F.col("p")[i], 6).alias(f"p{i}") for i in range(3)], P.argmax(F.col("p")).alias("pred"))
+    return p.select("vec_id", *[F.round(F.col("p")[i], 6).alias(f"p{i}") for i in range(I.CLASSES)], P.argmax(F.col("p")).alias("pred"))
 
 
 def _loss(df):
@@ -31,7 +33,7 @@ def _loss(df):
 
 
 _DICE = """dc as (select tile, k, 1 - (2 * sum(case when label = k then pk else 0 end) + 1) / (sum(pk + (label = k)::int) + 1) as loss
- from (select tile, label, unnest([0, 1, 2]) as k, unnest([p0, p1, p2]) as pk from pl) group by tile, k)"""
+ from (select tile, label, unnest(range(0, 10)) as k, unnest(p) as pk from pl) group by tile, k)"""
 
 
 @query("ce_loss", f"with {PROBS} select round(avg(-ln(pt)), 6) as loss from pl")
@@ -39,20 +41,20 @@ def ce_loss(spark, sf):
     return _loss(L.cross_entropy(I.probs(spark, sf)))
 
 
-@query("class_weighted_ce", f"""with {PROBS}, w as (select pt, case label when 0 then 0.5 when 1 then 2.0 else 1.5 end::double as k from pl)
+@query("class_weighted_ce", f"""with {PROBS}, w as (select pt, (0.5 + label * 0.25)::double as k from pl)
 select round(sum(-ln(pt) * k) / sum(k), 6) as loss from w""")
 def class_weighted_ce(spark, sf):
-    return _loss(L.cross_entropy(I.probs(spark, sf), [0.5, 2.0, 1.5]))
+    return _loss(L.cross_entropy(I.probs(spark, sf), [0.5 + k * 0.25 for k in range(I.CLASSES)]))
 
 
 @query("dice_loss", f"with {PROBS}, {_DICE} select round(sum(loss), 6) as loss from dc")
 def dice_loss(spark, sf):
-    return _loss(L.dice(I.probs(spark, sf)))
+    return _loss(L.dice(I.probs(spark, sf), I.CLASSES))
 
 
 @query("dice_loss_by_tile", f"with {PROBS}, {_DICE} select tile, k::int as cls, round(loss, 6) as loss from dc")
 def dice_loss_by_tile(spark, sf):
-    return L.dice_terms(I.probs(spark, sf), 3).withColumn("loss", F.round("loss", 6))
+    return L.dice_terms(I.probs(spark, sf), I.CLASSES).withColumn("loss", F.round("loss", 6))
 
 
 @query("focal_loss", f"with {PROBS} select round(avg(-(1 - pt) * (1 - pt) * ln(pt)), 6) as loss from pl")
@@ -62,12 +64,12 @@ def focal_loss(spark, sf):
 
 @query("focal_dice_loss", f"with {PROBS}, {_DICE} select round((select avg(-(1 - pt) * (1 - pt) * ln(pt)) from pl) + 0.5 * (select sum(loss) from dc), 6) as loss")
 def focal_dice_loss(spark, sf):
-    return _loss(L.focal_dice(I.probs(spark, sf), alpha=0.5))
+    return _loss(L.focal_dice(I.probs(spark, sf), alpha=0.5, n_classes=I.CLASSES))
 
 
 @query("ce_dice_loss", f"with {PROBS}, {_DICE} select round((select avg(-ln(pt)) from pl) + (select avg(loss) from dc), 6) as loss")
 def ce_dice_loss(spark, sf):
-    return _loss(L.cross_entropy_dice(I.probs(spark, sf), reduction="mean"))
+    return _loss(L.cross_entropy_dice(I.probs(spark, sf), reduction="mean", n_classes=I.CLASSES))
 
 
 @query("weighted_ce", f"with {PROBS} select round(avg(-ln(pt) * w), 6) as loss from pl")
@@ -77,18 +79,17 @@ def weighted_ce(spark, sf):
 
 @query("weighted_ce_dice", f"with {PROBS}, {_DICE} select round((select avg(-ln(pt) * w) from pl) + (select sum(loss) from dc), 6) as loss")
 def weighted_ce_dice(spark, sf):
-    return _loss(L.weighted_cross_entropy_dice(I.probs(spark, sf)))
+    return _loss(L.weighted_cross_entropy_dice(I.probs(spark, sf), n_classes=I.CLASSES))
 
 
-@query("dual_focal_loss", f"""with {PROBS}, t as (select *, p0 - (label = 0)::int as g0, p1 - (label = 1)::int as g1, p2 - (label = 2)::int as g2
- from pl where vec_id % 10 <> 0) select round(avg(-ln(1e-5 + 1 - g0 * g0) - ln(1e-5 + 1 - g1 * g1) - ln(1e-5 + 1 - g2 * g2)), 6) as loss from t""")
+@query("dual_focal_loss", f"""with {PROBS}, t as (select list_transform(range(0, 10), lambda k: p[k + 1] - (label = k)::int) as g from pl where vec_id % 10 <> 0)
+select round(avg(list_sum(list_transform(g, lambda x: -ln(1e-5 + 1 - x * x)))), 6) as loss from t""")
 def dual_focal_loss(spark, sf):
     z = I.probs(spark, sf).withColumn("label", F.when(F.col("vec_id") % 10 == 0, L.IGNORE).otherwise(F.col("label")))
     return _loss(L.dual_focal(z))
 
 
-@query("score_confusion", f"""with {PROBS} select label, (case when p0 >= p1 and p0 >= p2 then 0 when p1 >= p2 then 1 else 2 end)::int as pred,
- count(*) as n from pr group by all""")
+@query("score_confusion", f"""with {PROBS}, c as (select label, {_PRED} from pr) select label, pred, count(*) as n from c group by all""")
 def score_confusion(spark, sf):
     p = L.with_probs(I.probs(spark, sf)).select("label", P.argmax(F.col("p")).alias("pred"))
     return M.confusion(p)

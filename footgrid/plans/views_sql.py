@@ -42,11 +42,11 @@ mrow as (select scene as image, x0, x1, unnest(range(y0, least(y1, 1000))) as r
 mask as (select distinct image, r::int as r, c::int as c
          from (select image, r, unnest(range(x0, least(x1, 1000))) as c from mrow))"""
 
-PROBS = """z as (select vec_id, vec_id // 100 as tile, embedding[1]::double * 4 as z0, embedding[2]::double * 4 as z1,
-       embedding[3]::double * 4 as z2, (label % 3)::int as label, 1 + (vec_id % 5) / 4.0 as w from embeddings),
-ex as (select *, exp(z0) as e0, exp(z1) as e1, exp(z2) as e2 from z),
-pr as (select vec_id, tile, label, w, e0 / (e0 + e1 + e2) as p0, e1 / (e0 + e1 + e2) as p1, e2 / (e0 + e1 + e2) as p2 from ex),
-pl as (select *, case label when 0 then p0 when 1 then p1 else p2 end as pt from pr)"""
+PROBS = """z as (select vec_id, vec_id // 100 as tile, list_transform(embedding[1:10], lambda x: x::double * 4) as z, label::int as label,
+       1 + (vec_id % 5) / 4.0 as w from embeddings),
+ex as (select *, list_transform(z, lambda x: exp(x)) as e from z),
+pr as (select vec_id, tile, label, w, list_transform(e, lambda x: x / list_sum(e)) as p from ex),
+pl as (select *, p[label + 1] as pt from pr)"""
 
 SCENES = """sc as (select 'scenes/' || c_mktsegment || '/' || name as path, name, done from (
   select c_mktsegment, 'S' || (c_custkey // 2) || case when c_custkey % 2 = 0 then '-M3DS' else '-P3DS' end || '_R1C1.TIF' as name,
