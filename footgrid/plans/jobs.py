@@ -56,6 +56,12 @@ def labeling_sample(tiles: DataFrame, settlements: DataFrame, k: int, tile: floa
     return sampling.sample(SJ.tiles_in_settlements(tiles, settlements, tile, keys), key, k, seed)
 
 
+def write_sample(tiles: DataFrame, picked: DataFrame, keys: list[str], path: str) -> None:
+    """The picked tiles with their data and a preview scaled to 0..1, as a set of its own."""
+    peak = F.greatest(F.array_max("data"), F.lit(1))
+    tiles.join(picked, keys).withColumn("preview", F.transform("data", lambda v: v / peak)).write.mode("overwrite").parquet(path)
+
+
 def labels_from_tasks(tasks: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFrame]:
     """World polygons of labelling tasks, and the tasks whose image is missing."""
     polys = TK.task_polygons(tasks)
@@ -214,3 +220,15 @@ def import_open_dataset(features: DataFrame, files: DataFrame, existing: DataFra
     polys = features.join(images.select("code", "image"), "code").select("image", "pid", "ring")
     return todo, burn.fill(burn.to_pixel_rings(polys, images))
 
+
+def write_pairs(features: DataFrame, files: DataFrame, existing: DataFrame, images: DataFrame, pattern: str, template: str, tile: int, path: str) -> None:
+    """Masks of open images, whole, in packed tiles beside the name that the image gets: ``(new_name, image, tile_r, tile_c, mask)``.
+
+    ``files(image, name)`` says which file an image is; names that ``existing(new_name)`` has are left alone. ``features(code, pid, ring)`` pair with
+    ``images(code, image, t, width, height)`` by folder code."""
+    from ..sources.manifest import renamed
+    todo = pairing.missing(renamed(files, pattern, template), existing, ["new_name"]).select("image", "new_name")
+    wanted = images.join(todo.select("image"), "image", "left_semi")
+    polys = features.join(wanted.select("code", "image"), "code").select("image", "pid", "ring")
+    masks = BL.burn_tiles(burn.spans(burn.to_pixel_rings(polys, wanted)), wanted.select("image", "width", "height"), tile)
+    masks.withColumnRenamed("data", "mask").join(todo, "image").write.mode("append").parquet(path)
