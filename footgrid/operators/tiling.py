@@ -65,7 +65,7 @@ def pack(tiled: DataFrame, tile: int, value: str = "v", keys: tuple[str, ...] =
     """One row per tile with its values in row-major order (tile * tile at most)."""
     pos = (F.col("r") % tile) * tile + F.col("c") % tile
     return (tiled.groupBy(*keys, "tile_r", "tile_c")
-            .agg(F.array_sort(F.collect_list(F.struct(pos.cast("int").alias("pos"), F.col(value).alias("v")))).alias("s"))
+            .agg(F.sort_array(F.collect_list(F.struct(pos.cast("int").alias("pos"), F.col(value).alias("v")))).alias("s"))
             .select(*keys, "tile_r", "tile_c", F.transform("s", lambda s: s.v).alias("data")))
 
 

@@ -38,7 +38,7 @@ def prepare_tiles(bands: DataFrame, images: DataFrame, labels: DataFrame | None,
     cut = T.cut(rgb, images, tile)
     pos = ((F.col("r") % tile) * tile + F.col("c") % tile).cast("int").alias("pos")
     packed = cut.groupBy("image", "tile_r", "tile_c").agg(
-        F.array_sort(F.collect_list(F.struct(pos, *columns))).alias("px"))
+        F.sort_array(F.collect_list(F.struct(pos, *columns))).alias("px"))
     tiles = packed.select("image", "tile_r", "tile_c", N.tile_name(F.col("image"), F.col("tile_r"), F.col("tile_c")).alias("name"),
                           *[F.col(f"px.{c}").alias(c) for c in columns])
     return tiles if train is None else sampling.split(tiles, "name", train.test_size, train.seed)
@@ -58,8 +58,8 @@ def labeling_sample(tiles: DataFrame, settlements: DataFrame, k: int, tile: floa
 
 def write_sample(tiles: DataFrame, picked: DataFrame, keys: list[str], path: str) -> None:
     """The picked tiles with their data and a preview scaled to 0..1, as a set of its own."""
-    peak = F.greatest(F.array_max("data"), F.lit(1))
-    tiles.join(picked, keys).withColumn("preview", F.transform("data", lambda v: v / peak)).write.mode("overwrite").parquet(path)
+    preview = G.let(F.greatest(F.array_max("data"), F.lit(1)), lambda peak: F.transform("data", lambda v: v / peak))
+    tiles.join(picked, keys).withColumn("preview", preview).write.mode("overwrite").parquet(path)
 
 
 def labels_from_tasks(tasks: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -25,7 +25,7 @@ def write_tile_parts(tiled: DataFrame, path: str, tile: int, batch: int, value:
     of the batch's own. A batch that runs again replaces its own folder and nothing else."""
     pos = ((F.col("r") % tile) * tile + F.col("c") % tile).cast("int")
     parts = tiled.groupBy("image", "tile_r", "tile_c").agg(
-        F.array_sort(F.collect_list(F.struct(pos.alias("pos"), F.col(value).alias("v")))).alias("s"))
+        F.sort_array(F.collect_list(F.struct(pos.alias("pos"), F.col(value).alias("v")))).alias("s"))
     (parts.select("image", "tile_r", "tile_c", F.col("s.v").alias("data"), F.col("s.pos").alias("pos"), F.lit(batch).cast("long").alias("batch"))
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path))
 
