@@ -26,6 +26,14 @@ def class_code(building: Column, edge: Column | None = None) -> Column:
     return inside if edge is None else F.when(edge > 0, 2).otherwise(inside)
 
 
+def mapped(value: Column, codes: dict) -> Column:
+    """Class of a mask value by a table of any codes; a value that is not in it is an error that names it."""
+    out = F.when(value.isNull(), F.lit(None).cast("int"))
+    for code, cls in codes.items():
+        out = out.when(value == code, F.lit(cls).cast("int"))
+    return out.otherwise(F.raise_error(F.concat(F.lit("mask value without a class: "), value.cast("string"))).cast("int"))
+
+
 def carve_edges(building: Column, edge: Column) -> Column:
     """A pixel burnt as edge is no building pixel."""
     return F.when(edge == 255, 0).otherwise(building)

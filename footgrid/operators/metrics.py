@@ -86,6 +86,11 @@ def class_scores(conf: DataFrame, digits: int = 6) -> DataFrame:
     return g.select("cls", ratio(2 * i, t + p, digits).alias("dice"), ratio(i, t + p - i, digits).alias("jaccard"))
 
 
+def empty_masks(masks: DataFrame, value: str = "v", by: tuple[str, ...] = ("image",)) -> DataFrame:
+    """``(*by, top)`` of the images whose mask has no pixel on; one number per image combines before the shuffle."""
+    return masks.groupBy(*by).agg(F.max(value).alias("top")).where("top = 0")
+
+
 def value_range(df: DataFrame, value: str, by: list) -> DataFrame:
     """Minimum and maximum per image, and whether clipping to bytes would change it."""
     return df.groupBy(*by).agg(F.min(value).alias("vmin"), F.max(value).alias("vmax")) \

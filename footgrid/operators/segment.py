@@ -82,6 +82,13 @@ def regularize(df: DataFrame, params: SegmentationParams, ring: str = "ring") ->
     return G.materialize(out, ring, F.when(F.col("_square") | G.is_valid(F.col(ring)), F.col(ring)).otherwise(F.col("_was"))).drop("_was", "_square")
 
 
+def largest_part(parts: DataFrame, keys: list[str], ring: str = "ring") -> DataFrame:
+    """Of each shape's parts ``(*keys, ring)`` the one with the largest area, the first by its coordinates among equals: ``(*keys, ring, area)``."""
+    sized = parts.withColumn("_a", G.area(F.col(ring)))
+    best = sized.groupBy(*keys).agg(F.max(F.struct(F.col("_a").alias("area"), G.ring_key(F.col(ring)).alias("k"), F.col(ring).alias("ring"))).alias("_m"))
+    return best.select(*keys, F.col("_m.ring").alias(ring), F.col("_m.area").alias("area"))
+
+
 def area_filter(df: DataFrame, lo: float, hi: float, area: str = "area") -> DataFrame:
     """Strictly between the bounds."""
     return df.where((F.col(area) > lo) & (F.col(area) < hi))

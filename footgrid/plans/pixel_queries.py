@@ -100,7 +100,7 @@ def dice_jaccard_by_class(spark, sf):
  group by image having max(case when image % 3 = 1 then 0 else g end) = 0""")
 def empty_mask_images(spark, sf):
     tp = I.truth_pred(spark, sf).withColumn("g", F.when(F.col("image") % 3 == 1, 0).otherwise(F.col("g")))
-    return tp.groupBy("image").agg(F.max("g").alias("top")).where("top = 0")
+    return M.empty_masks(tp, "g")
 
 
 # --- values and bands -------------------------------------------------------
@@ -163,6 +163,13 @@ def class_remap(spark, sf):
     return I.truth_pred(spark, sf).select("image", "r", "c", P.class_code(F.col("g"), F.col("p")).alias("cls"))
 
 
+@query("value_map", f"""with {PIXELS} select image, r, c, ((v + r) % 4)::int as cls from px""")
+def value_map(spark, sf):
+    """Mask codes 0, 85, 170 and 255 to classes by a table."""
+    code = ((F.col("v") + F.col("r")) % 4) * 85
+    return I.pixels(spark, sf).select("image", "r", "c", P.mapped(code, {0: 0, 85: 1, 170: 2, 255: 3}).alias("cls"))
+
+
 @query("edge_carve", f"""with {TRUTH_PRED} select image, r, c, (case when p = 1 then 0 else g * 255 end)::int as building from tp""")
 def edge_carve(spark, sf):
     return I.truth_pred(spark, sf).select("image", "r", "c", P.carve_edges(F.col("g") * 255, F.col("p") * 255).alias("building"))

@@ -119,8 +119,7 @@ def multipolygon_parts(spark, sf):
 
 @query("largest_part", f"with {BUILDINGS} select bid, ((x1 - x0) * (y1 - y0) * 3)::double as area, (y0 + 20)::double as ymin from bld")
 def largest_part(spark, sf):
-    p = polygons_of_wkt(_multi(spark, sf), "wkt").withColumn("area", G.area(F.col("ring")))
-    best = p.groupBy("bid").agg(F.max_by("ring", "area").alias("ring"), F.max("area").alias("area"))
+    best = segment.largest_part(polygons_of_wkt(_multi(spark, sf), "wkt").select("bid", "ring"), ["bid"])
     return best.select("bid", "area", G.bounds(F.col("ring")).ymin.alias("ymin"))
 
 

@@ -45,29 +45,29 @@ def relative(files: DataFrame, root: str) -> DataFrame:
 
 def copy_files(spark: SparkSession, source: str, target: str, existing: DataFrame | None = None) -> DataFrame:
     """Rows ``(rel_path, copied)`` after copying the files of ``source`` that are not in
-    ``target``. The plan decides what to copy and each task writes its own files, so
-    nothing passes through the driver. ``target`` must be a folder all executors see;
-    a file appears under its name only when it is whole, so a rerun task is safe."""
+    ``target``. The listing decides what to copy; names are dealt out, and each task reads and writes its own files, so no contents pass
+    through a shuffle or the driver. Both must be folders all executors see; a file appears under its name only when it is
+    whole, so a rerun task is safe."""
     src = relative(list_files(spark, source), source)
     todo = src if existing is None else copy_once(src, existing)
-    contents = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(source)
-                .select("path", "content").join(todo.select("path", "rel_path"), "path"))
 
-    def write(batches):
+    def copy(batches):
         import os
+        import shutil
         import uuid
         from pathlib import Path
+        from urllib.parse import unquote, urlparse
         import pandas as pd
         for pdf in batches:
-            for rel, content in zip(pdf["rel_path"], pdf["content"]):
+            for path, rel in zip(pdf["path"], pdf["rel_path"]):
                 dest = Path(target) / rel
                 dest.parent.mkdir(parents=True, exist_ok=True)
                 part = dest.with_name(f".{dest.name}.{uuid.uuid4().hex}")
-                part.write_bytes(content)
+                shutil.copyfile(unquote(urlparse(path).path) if path.startswith("file:") else path, part)
                 os.replace(part, dest)
             yield pd.DataFrame({"rel_path": pdf["rel_path"], "copied": True})
 
-    return contents.select("rel_path", "content").mapInPandas(write, "rel_path string, copied boolean")
+    return todo.select("path", "rel_path").repartition("path").mapInPandas(copy, "rel_path string, copied boolean")
 
 
 def renamed(files: DataFrame, pattern: str, template: str) -> DataFrame:

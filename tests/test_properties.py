@@ -398,3 +398,11 @@ def test_class_codes_outside_bytes_are_refused(spark):
     from footgrid.operators import metrics as M
     with pytest.raises(Exception, match="0 to 255"):
         M.class_index(spark.createDataFrame([(1,), (300,)], "v int"), "v").collect()
+
+
+def test_mask_values_by_a_table(spark):
+    from footgrid.functions import pixel as P
+    df = spark.createDataFrame([(0,), (7,), (None,)], "v int")
+    assert [r[0] for r in df.select(P.mapped(F.col("v"), {0: 3, 7: 1})).collect()] == [3, 1, None]
+    with pytest.raises(Exception, match="without a class: 7"):
+        df.select(P.mapped(F.col("v"), {0: 3})).collect()
