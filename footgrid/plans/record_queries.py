@@ -409,12 +409,6 @@ def building_map(spark, sf):
     return _building_map(spark, sf)
 
 
-@query("building_map_large")
-def building_map_large(spark, sf):
-    """The same over ten copies of every plane."""
-    return _building_map(spark, sf, 10)
-
-
 def _vote_sql(name: str, src: str) -> str:
     """3 x 3 majority over the pixels that are there, absent ones stood in for."""
     beside = lambda v, at, w: f"coalesce(case when lag({at}) over {w} = {at} - 1 then lag({v}) over {w} end, {v}) + coalesce(case when lead({at}) over {w} = {at} + 1 then lead({v}) over {w} end, {v})"
@@ -422,6 +416,28 @@ def _vote_sql(name: str, src: str) -> str:
 {name} as (select image, r, c, (s + {beside("s", "r", "y")} >= 5)::int as v from {name}h window y as (partition by image, c order by r))"""
 
 
+@query("building_boxes", f"""with recursive {MASK}, pf as (select scene as image, rr.r::int as r, cc.c::int as c from (select distinct scene from bld),
+ (select unnest(range(0, 1000)) as r) rr, (select unnest(range(0, 1000)) as c) cc),
+p0 as (select pf.image, pf.r, pf.c, (m.image is not null)::int as v from pf left join mask m using (image, r, c)), {_vote_sql("p1", "p0")},
+fg as (select image, r, c from p1 where v = 1), {_components_sql("fg", "f")}, few as (select image, label from cpf group by all having count(*) < 12),
+q0 as (select p1.image, p1.r, p1.c, case when few.label is not null then 0 else v end as v from p1 left join cpf using (image, r, c) left join few on few.image = cpf.image and few.label = cpf.label),
+{_morph_sql("q1", "q0", "min")}, {_morph_sql("q2", "q1", "max")}, {_morph_sql("q3", "q2", "max")}, {_morph_sql("q4", "q3", "min")}, {_morph_sql("q5", "q4", "max")},
+{_vote_sql("q6", "q5")}, on_ as (select image, r, c from q6 where v = 1), {_components_sql("on_", "o")}
+select image, label, min(c)::double as xmin, min(r)::double as ymin, (max(c) + 1)::double as xmax, (max(r) + 1)::double as ymax from cpo group by image, label""")
+def building_boxes(spark, sf):
+    """Tiles to buildings on whole planes with the outlines as traced: every building's first pixel and box."""
+    params = SegmentationParams(min_building_size=12, max_hole_size=1, morph_kernel_size=3, simplify_tolerance=0, buffer_distance=0, use_mbr=False,
+                                min_building_area=0, max_building_area=1e9)
+    polys = jobs.map_from_images(footprint_tiles(spark, sf, 250), footprint_model, 250, params, has_edge=False)
+    return SJ.with_bounds(polys).select("image", "label", "xmin", "ymin", "xmax", "ymax")
+
+
+@query("building_map_large")
+def building_map_large(spark, sf):
+    """The same over ten copies of every plane."""
+    return _building_map(spark, sf, 10)
+
+
 @query("settlement_map", f"""with recursive {MASK}, {AOIS.strip()},
 tl as (select scene, (k // 8)::int as tr, (k % 8)::int as tc from (select distinct scene from bld), (select unnest(range(0, 64)) as k)),
 mb as (select a.scene, aoi, tr * 8 + tc as tile from aoi a join tl on tl.scene = a.scene and x0 <= (tc + 1) * 125 and x1 >= tc * 125 and y0 <= (tr + 1) * 125 and y1 >= tr * 125),
