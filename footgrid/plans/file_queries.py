@@ -11,7 +11,7 @@ from ..session import cut_lineage, new_folder
 from ..sources import labels as LB, sinks, tasks as TK
 from . import inputs as I, jobs
 from .catalog import ORACLES, query
-from .pixel_queries import TILE, _tile_cols, image_sizes
+from .pixel_queries import TILE, _tile_cols
 from .record_queries import _packed, brightness_model, footprint_tiles
 from .vector_queries import _boxes
 from .views_sql import AOIS, BUILDINGS, MASK, METRIC_SUMS, PIXELS, TASKS, TRUTH_PRED

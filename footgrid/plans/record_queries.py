@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from ..config import SegmentationParams, TilingParams
 from ..functions import geometry as G, names as N, pixel as P
-from ..operators import blocks as BL, burn, losses as L, metrics as M, pairing, sampling, score, segment, spatial_join as SJ, tiling as T
+from ..operators import blocks as BL, burn, losses as L, metrics as M, pairing, sampling, score, spatial_join as SJ, tiling as T
 from ..sources import labels as LB, registry, sinks, tasks as TK
 from ..streaming import streams as ST
 from . import inputs as I, jobs
 from .catalog import query
 from .pixel_queries import TILE, image_sizes
-from .vector_queries import CELL, _TILES, _components_sql, _boxes, _tile_boxes, burnt
+from .vector_queries import CELL, _TILES, _components_sql, _boxes, _tile_boxes
 from .views_sql import AOIS, ARRIVALS, BUILDINGS, MASK, METRIC_SUMS, PIXELS, PROBS, SCENES, TASKS, TRUTH_PRED, metric_ratios
 
 # --- class scores and losses ------------------------------------------------
