@@ -27,7 +27,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
-from ..skew import attach
 from . import shingles as S
 
 HEAD = 20_000
