@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from .spatial_join import tiles_in_settlements
 
 Model = Callable[[np.ndarray], np.ndarray]
+CELLS = 1 << 18                 # pixels of the tiles that are scored before their scores are handed on
 
 
 def score_tiles(tiles: DataFrame, load_model: Callable[[], Model], tile: int,
@@ -25,12 +26,13 @@ def score_tiles(tiles: DataFrame, load_model: Callable[[], Model], tile: int,
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load_model()
-        for pdf in batches:
+        some = max(CELLS // tile ** 2, 1)
+        for pdf in (batch.iloc[first:first + some] for batch in batches for first in range(0, len(batch), some)):
             scores, errors = [], []
             for data in pdf["data"]:
                 try:
                     out = np.asarray(model(np.asarray(data, dtype=float).reshape(tile, tile)), dtype=float)
-                    scores.append(out.reshape(out.shape[0], -1).tolist())
+                    scores.append(list(out.reshape(out.shape[0], -1)))
                     errors.append(None)
                 except Exception as e:  # noqa: BLE001 - a bad tile must not fail the job
                     scores.append(None)
