@@ -62,6 +62,8 @@ def test_moves_work_out_their_centre_once(spark):
         text = ring.select(moved.alias("m"))._jdf.queryExecution().optimizedPlan().toString()
         assert text.count("aggregate(") <= 3
     assert ring.select(G.dominant_angle(F.col("ring")).alias("m"))._jdf.queryExecution().optimizedPlan().toString().lower().count("atan2") == 1
+    empty = ring.select(F.slice("ring", 1, 0).alias("ring"), F.lit(None).cast(G.RING_TYPE).alias("none"))
+    assert empty.select(G.rotate(F.col("ring"), 30.0).alias("a"), G.scale(F.col("ring"), 0.5).alias("b"), G.rotate(F.col("none"), 30.0).alias("c"), G.scale(F.col("none"), 0.5).alias("d")).first() == ([], [], None, None)
     x = ring.select(G.scale(F.col("ring"), 0.5, F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))).alias("g")).first().g
     assert [(p.x, p.y) for p in x][1] == (45.0, 1.0)
 
