@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding through a pair occurrence index.
 
-All words that a run of texts shows for the first time are laid out in one symbol array. An index maps every mergeable pair, by
-its rank, to all positions where it stands in that array; the active ranks are taken in ascending order, each one is applied
+The words that a run of texts shows for the first time are laid out in symbol arrays of about 256 K characters each. An index maps every mergeable pair, by
+its rank, to all positions where it stands in such an array; the active ranks are taken in ascending order, each one is applied
 to all its positions at once, and the lists of the pairs that appear beside the merged symbols are extended. In such a
 vocabulary a merged symbol only takes part in merges of higher ranks (checked when it is read), so one ascending sweep is the whole
 encoding, also of a single very long word, in time near to its length.
@@ -15,6 +15,7 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +28,10 @@ from .shingles import chunks
 #: The split of text into words that this family of vocabularies was made with.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHE_WORDS = 250_000
-RUN_BYTES = 8 << 20
+RUN_BYTES = 2 << 20
 RUN_ROWS = 5_000
+#: Characters of new words in one sweep: its index takes up to a hundred bytes for each of them.
+SWEEP_CHARS = 1 << 18
 
 
 def ascending(x: np.ndarray) -> np.ndarray:
@@ -163,15 +166,32 @@ class Vocabulary:
         return [flat[a:b] for a, b in zip([0, *stops], stops)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [self.words(t) for t in texts]
-        used: set = set().union(*split)
-        if len(self.cache) > CACHE_WORDS:
-            self.cache = {w: self.cache[w] for w in used & self.cache.keys()}
+        number: defaultdict[str | int, int] = defaultdict()         # of each word in the order in which they come
+        number.default_factory = number.__len__
+        split = []                                  # 4 bytes a word: the words themselves are dropped text by text
+        for t in texts:
+            split.append(np.fromiter(map(number.__getitem__, self.words(t)), np.int32))
         known = self.cache
+        if len(known) > CACHE_WORDS:
+            known = self.cache = {w: known[w] for w in number if w in known}
         known.update((i, np.array([i], np.int32).tobytes()) for i in self.special.values())
-        new = list(used - known.keys())
-        known.update(zip(new, self.merge(new)))
-        return [np.frombuffer(b"".join([known[w] for w in ws]), np.int32) for ws in split]
+        new = [w for w in number if w not in known]
+        for part in self._sweeps(new):
+            known.update(zip(part, self.merge(part)))
+        ids = [known[w] for w in number]
+        return [np.frombuffer(b"".join(map(ids.__getitem__, ws.tolist())), np.int32) for ws in split]
+
+    @staticmethod
+    def _sweeps(words: list[str]) -> Iterator[list[str]]:
+        """The words in runs of about `SWEEP_CHARS`; a longer word is a run of its own."""
+        first, size = 0, 0
+        for k, w in enumerate(words):
+            if k > first and size + len(w) > SWEEP_CHARS:
+                yield words[first:k]
+                first, size = k, 0
+            size += len(w)
+        if words:
+            yield words[first:]
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids; bytes that are no UTF-8 become U+FFFD."""

@@ -62,3 +62,14 @@ def test_rows(spark, reference):
     assert sorted(((r.doc_id, r.ids, r.decoded) for r in got.collect()), key=str) == \
         sorted(((i, reference.encode(t or "", add_special_tokens=False).ids, t or "") for i, t, _, _ in rows), key=str)
     assert bpe.encode_decode(spark.createDataFrame([], "doc_id long, text string"), SOURCE).count() == 0
+
+
+def test_sweeps_are_bounded(reference, monkeypatch):
+    monkeypatch.setattr(bpe, "SWEEP_CHARS", 100)
+    monkeypatch.setattr(VOCABULARY, "cache", {})
+    sizes, merge = [], VOCABULARY.merge
+    monkeypatch.setattr(VOCABULARY, "merge", lambda new: sizes.append(sum(map(len, new))) or merge(new), raising=False)
+    rng = random.Random(3)
+    text = " ".join("".join(rng.choice("abcdefg") for _ in range(6)) for _ in range(400))
+    check(reference, [text, "", "x" * 300 + " " + text])
+    assert len(sizes) > 20 and sorted(sizes)[-2] <= 100 and max(sizes) == 300
