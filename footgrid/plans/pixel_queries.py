@@ -300,18 +300,18 @@ def _ellipse_sql(steps: list[tuple[str, str]]) -> str:
 
 @query("open5", _ellipse_sql([("min", _K5), ("max", _K5)]))
 def open5(spark, sf):
-    return S.opening(I.pixels(spark, sf), element=S.ellipse(5))
+    return S.opening(I.pixels(spark, sf), element=S.ellipse(5), tasks=I.pixel_tasks(spark, sf))
 
 
 @query("close3", _ellipse_sql([("max", _K3), ("min", _K3)]))
 def close3(spark, sf):
-    return S.closing(I.pixels(spark, sf), element=S.ellipse(3))
+    return S.closing(I.pixels(spark, sf), element=S.ellipse(3), tasks=I.pixel_tasks(spark, sf))
 
 
 @query("open_close_dilate", _ellipse_sql([("min", _K3), ("max", _K3), ("max", _K3), ("min", _K3), ("max", _K3)]))
 def open_close_dilate(spark, sf):
     k = S.ellipse(3)
-    return S.morphology(I.pixels(spark, sf), "v", [("min", k), ("max", k), ("max", k), ("min", k), ("max", k)])
+    return S.morphology(I.pixels(spark, sf), "v", [("min", k), ("max", k), ("max", k), ("min", k), ("max", k)], tasks=I.pixel_tasks(spark, sf))
 
 
 _NINE = """o as (select * from (values (-1,-1),(-1,0),(-1,1),(0,-1),(0,0),(0,1),(1,-1),(1,0),(1,1)) o(dr, dc)),
@@ -321,7 +321,7 @@ n as (select t.image, t.r, t.c, b.v from t join px b on b.image = t.image and b.
 
 @query("median3", f"with {PIXELS}, {_NINE} select image, r, c, median(v)::int as v from n group by 1, 2, 3")
 def median3(spark, sf):
-    return S.median3(I.pixels(spark, sf))
+    return S.median3(I.pixels(spark, sf), tasks=I.pixel_tasks(spark, sf))
 
 
 @query("label_vote3", f"""with {PIXELS.replace("px as", "p0 as")}, px as (select image, r, c, (v + r // 3 + c // 3) % 3 as v from p0), {_NINE},
@@ -329,7 +329,7 @@ m as (select image, r, c, v, count(*) as k from n group by 1, 2, 3, 4)
 select image, r, c, max(case when k >= 5 then v else 0 end)::int as v from m group by 1, 2, 3""")
 def label_vote3(spark, sf):
     px = I.pixels(spark, sf).withColumn("v", ((F.col("v") + F.floor(F.col("r") / 3) + F.floor(F.col("c") / 3)) % 3).cast("int"))
-    return S.majority3(px)
+    return S.majority3(px, tasks=I.pixel_tasks(spark, sf))
 
 
 def _gauss_sql() -> str:
@@ -347,7 +347,7 @@ select image, r, c, round(v / max(v) over (partition by image), 6) as v from w""
 @query("gauss_weights", _gauss_sql())
 def gauss_weights(spark, sf):
     g = I.truth_pred(spark, sf).select("image", "r", "c", F.col("g").cast("double").alias("v"))
-    return burn.distance_weights(g).select("image", "r", "c", F.round("v", 6).alias("v"))
+    return burn.distance_weights(g, tasks=I.pixel_tasks(spark, sf)).select("image", "r", "c", F.round("v", 6).alias("v"))
 
 
 # --- resampling and augmentation --------------------------------------------

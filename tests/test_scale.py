@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from footgrid.functions import geometry as G
-from footgrid.operators import blocks as BL, burn, score, spatial_join as SJ
+from footgrid.operators import blocks as BL, burn, score, spatial_join as SJ, stencil as S
 from footgrid.plans import inputs as I
 
 
@@ -88,3 +88,18 @@ def test_scores_leave_the_worker_some_at_a_time():
     assert whole["image"].tolist() == list(range(1500))
     assert whole["scores"].iloc[3] is None and whole["error"].iloc[3].startswith("ZeroDivisionError")
     assert [list(map(float, set(p))) for p in whole["scores"].iloc[9]] == [[-8.0], [9.0]]
+
+
+def test_dense_pixels_are_spread_by_number(spark, sf, monkeypatch):
+    monkeypatch.setattr(I, "PIXELS_PER_TASK", 1024)
+    parts = I.pixels(spark, sf).groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
+    assert len(parts) > 10 and max(p.n for p in parts) < 4096
+    tp = I.truth_pred(spark, sf)
+    assert tp.count() == tp.select("image", "r", "c").distinct().count()
+
+
+def test_blocks_are_spread_by_number(spark):
+    px = spark.range(40).select(F.col("id").alias("image"), F.lit(1).alias("r"), F.lit(2).alias("c"), F.lit(3).alias("v"))
+    step = ("max", S.square(3))
+    for out in (S.morphology(px, "v", [step, step], tasks=40), S.median3(px, tasks=40)):
+        assert out.select(F.spark_partition_id().alias("p")).distinct().count() > 15
