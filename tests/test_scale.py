@@ -103,3 +103,31 @@ def test_blocks_are_spread_by_number(spark):
     step = ("max", S.square(3))
     for out in (S.morphology(px, "v", [step, step], tasks=40), S.median3(px, tasks=40)):
         assert out.select(F.spark_partition_id().alias("p")).distinct().count() > 15
+
+
+def test_words_meet_across_their_borders(spark):
+    rng = np.random.default_rng(5)
+    height, width = 12, 150
+    on = rng.random((height, width)) < 0.8
+    on[:, 60:70] = True
+    mask = spark.createDataFrame([(7, int(r), int(c)) for r, c in np.argwhere(on)], "image long, r int, c int")
+    sizes = spark.createDataFrame([(7, width, height)], "image long, width int, height int")
+    words = S.to_words(mask.unionByName(mask))
+    assert words.count() <= 3 * height
+    for element in (S.square(3), S.ellipse(5), {0: 65}):
+        offsets = [(dy, dx) for dy, w in element.items() for dx in range(-w, w + 1)]
+        near = [[[on[r + dy, c + dx] for dy, dx in offsets if 0 <= r + dy < height and 0 <= c + dx < width] for c in range(width)] for r in range(height)]
+        for f, op in ((S.shrink_words, all), (S.spread_words, any)):
+            got = {(x.r, x.c) for x in S.from_words(f(words, element, sizes)).collect()}
+            assert got == {(r, c) for r in range(height) for c in range(width) if op(near[r][c])}
+
+
+def test_masks_meet_rasters_as_words(spark):
+    polys = squares(spark)
+    frame = spark.range(100).select(F.lit(0).cast("long").alias("image"), F.col("id").cast("int").alias("r")).select(
+        "image", "r", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("c"))
+    frame = frame.unionByName(frame.limit(5)).unionByName(frame.limit(1).withColumn("c", F.lit(None).cast("int")))
+    m = burn.training_mask(frame, polys, edge=True, erosion=False, tasks=20).collect()
+    inside, lines = ({(x.r, x.c) for x in f(polys).collect()} for f in (burn.fill, burn.outline))
+    assert len(m) == 100 * 200 + 1
+    assert all(((x.r, x.c) in lines) == (x.edge == 255) and ((x.r, x.c) in inside - lines) == (x.building == 255) for x in m)
