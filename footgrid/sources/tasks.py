@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import geometry as G
 from ..functions import names as N
 from ..functions import pixel as P
+from ..session import cut_lineage
 from ..skew import attach
+from . import documents as D
 
 TASK_SCHEMA = """id bigint, file_upload string, annotations array<struct<result: array<struct<
     original_width: double, value: struct<points: array<array<double>>, polygonlabels: array<string>>>>>>"""
@@ -63,16 +65,56 @@ def to_world(polys: DataFrame, images: DataFrame) -> DataFrame:
 
 
 def prediction_json(polys: DataFrame, tile_size: int = 512, version: str = "model") -> DataFrame:
-    """``(image, prediction)``: polygons of each image (pixel rings) in the export layout.
-    One document holds one image's polygons, as the layout demands."""
+    """``(image, place, prediction)``: polygons of each image (pixel rings) in the export layout. One document holds one image's
+    polygons, as the layout demands; it comes in pieces (what stands before the polygons, one polygon each, what follows them) that by
+    ``place`` put together are the document. No task holds one whole."""
     to_pct = lambda v: F.lit(100.0) * v.cast("int") / tile_size
     item = F.struct(
         F.lit("polygon").alias("type"), F.lit("polygon").alias("from_name"), F.lit("image").alias("to_name"),
         F.lit(tile_size).alias("original_width"), F.lit(tile_size).alias("original_height"), F.col("part").alias("id"),
-        F.struct(F.transform("ring", lambda p: F.array(to_pct(p.x), to_pct(p.y))).alias("points")).alias("value"))
+        F.struct(F.col("points")).alias("value"))
+    items = (polys.select("image", "pid", "part", F.transform("ring", lambda p: F.array(to_pct(p.x), to_pct(p.y))).alias("points"))
+             .repartitionByRange("image", "pid", "part").sortWithinPartitions("image", "pid", "part", "points")
+             .select("image", F.monotonically_increasing_id().alias("place"), F.to_json(item).alias("item")))
+    items = cut_lineage(items.withColumn("_key", _key(F.col("image"))))
+    start = items.groupBy("_key").agg(F.first("image").alias("image"), F.min("place").alias("_start"))
     doc = F.struct(
         F.struct(F.concat(F.lit("/data/upload/2/"), F.col("image").cast("string")).alias("image")).alias("data"),
-        F.array(F.struct(F.lit(version).alias("model_version"), F.col("result"))).alias("predictions"))
-    return (polys.select("image", "pid", "part", item.alias("item")).groupBy("image")
-            .agg(F.transform(F.array_sort(F.collect_list(F.struct("pid", "part", "item"))), lambda s: s.item).alias("result"))
-            .select("image", F.to_json(doc).alias("prediction")))
+        F.array(F.struct(F.lit(version).alias("model_version"), F.array().cast("array<string>").alias("result"))).alias("predictions"))
+    around = start.withColumn("_d", F.to_json(doc))   # no polygons yet: they go before its last brackets
+    head = around.select("image", F.lit(-1).cast("long").alias("place"), F.expr(f"left(_d, length(_d) - {len(_END)})").alias("prediction"))
+    tail = around.select("image", F.lit((1 << 63) - 1).alias("place"), F.expr(f"right(_d, {len(_END)})").alias("prediction"))
+    body = attach(items, start.select("_key", "_start"), ["_key"], ["place"]).select("image", "place", F.concat(
+        F.when(F.col("place") > F.col("_start"), ",").otherwise(""), "item").alias("prediction"))
+    return body.unionByName(head).unionByName(tail)
+
+
+_END = "]}]}"
+_ITEMS = "array<struct<type string, from_name string, to_name string, original_width int, original_height int, id string, value struct<points array<array<double>>>>>"
+
+
+def _key(image: Column) -> Column:
+    """Folder name of an image's document."""
+    return F.coalesce(F.concat(F.lit("of-"), image.cast("string")), F.lit("none"))
+
+
+def write_predictions(pieces: DataFrame, path: str) -> None:
+    """Documents of ``prediction_json``, a folder per image: its files, by name, put together are the document (a line break
+    follows each piece), so that many tasks write a long one."""
+    (pieces.withColumn("doc", _key(F.col("image"))).repartitionByRange("doc", "place").sortWithinPartitions("doc", "place")
+     .select("doc", F.col("prediction").alias("value")).write.partitionBy("doc").text(path))
+
+
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """``(image, result)``: polygons of the documents that ``write_predictions`` wrote, a row each, ``image`` as text. Anything
+    else than one prediction per document is an error."""
+    return D.segments(D.pieces(spark, path, F.col("doc")), 4, _results)   # {"predictions": [{"result": [
+
+
+def _results(parts: DataFrame) -> DataFrame:
+    text = F.concat(F.when(F.col("first"), "").otherwise('{"predictions":[{"result":[{}'), "text", F.when(F.col("last"), "").otherwise(_END))
+    read = G.materialize(parts, "_p", F.from_json(text, f"predictions array<struct<result {_ITEMS}>>", {"mode": "FAILFAST"}).predictions)
+    bad = F.raise_error(F.concat(F.lit("Not one prediction: "), "doc")).cast(_ITEMS)
+    items = F.when((F.size("_p") == 1) & F.col("_p")[0].result.isNotNull(), F.col("_p")[0].result).otherwise(bad)
+    mine = F.slice(items, F.when(F.col("first"), 1).otherwise(2), F.size(items))
+    return read.select(F.when(F.col("doc") != "none", F.substring("doc", 4, (1 << 31) - 1)).alias("image"), F.explode(mine).alias("result"))
