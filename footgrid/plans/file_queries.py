@@ -21,8 +21,12 @@ from .views_sql import AOIS, BUILDINGS, MASK, METRIC_SUMS, PIXELS, TASKS, TRUTH_
 def tasks_from_files(spark, sf):
     """Task exports, one JSON array per file, among damaged elements that must not spoil their file."""
     path = new_folder(spark, "exports")
-    t = I.tasks(spark, sf).withColumn("doc", F.col("id") % 16).groupBy("doc").agg(F.concat_ws(",", F.collect_list("json")).alias("body"))
-    t.select("doc", F.concat(F.lit('[{"id":1},'), "body", F.lit(',"nothing"]')).alias("value")).repartition("doc").write.partitionBy("doc").text(path)
+    t = I.tasks(spark, sf).select((F.col("id") % 16).alias("doc"), F.lit(1).alias("place"), F.concat(F.lit(","), "json").alias("value"))
+    docs = t.select("doc").distinct()
+    ends = [docs.select("doc", F.lit(k).alias("place"), F.lit(v).alias("value")) for k, v in ((0, '[{"id":1}'), (2, ',"nothing"]'))]
+    # rows of a file are sorted and streamed into it, never joined into one value
+    (t.unionByName(ends[0]).unionByName(ends[1]).repartition("doc").sortWithinPartitions("doc", "place").select("doc", "value")
+     .write.partitionBy("doc").text(path))
     tasks = TK.read_tasks(spark, path).where("corrupt is null")
     return TK.task_polygons(tasks).select("id", "image_name", "label", F.round(G.area(F.col("ring")), 4).alias("area"), (F.col("id") % 16).cast("int").alias("file"))
 

@@ -19,18 +19,50 @@ TASK_SCHEMA = """id bigint, file_upload string, annotations array<struct<result:
 def read_tasks(spark: SparkSession, path: str) -> DataFrame:
     """Exported task files (JSON arrays) with ``json_name``. Each task is read on its own: one that cannot be read or has
     no id or upload is kept with its text in ``corrupt`` and no task fields, and the others of its file are unaffected.
-    A document that is no array is one such row."""
-    docs = spark.read.option("wholetext", True).text(path).select(N.base_name(F.input_file_name()).alias("json_name"), "value")
-    return tasks_of(docs, "value")
+    Files of any size are read in pieces (see ``documents``). One that is no valid array of at least one element is read line by
+    line, each line a document of its own (see ``tasks_of``); their names come to the driver."""
+    read = D.segments(D.pieces(spark, path, F.col("_metadata.file_path")), 1, _elements, below=True)
+    bad = [r.doc for r in read.where("texts is null").select("doc").distinct().collect()]
+    good = read.where(~F.col("doc").isin(bad)) if bad else read
+    out = _read_each(good.select(N.base_name(F.col("doc")).alias("json_name"), F.explode("texts").alias("_text"), F.lit(None).cast("string").alias("_doc")), ["json_name"])
+    if not bad:
+        return out
+    lines = spark.read.text(path).where(F.col("_metadata.file_path").isin(bad))   # other files are not opened
+    return out.unionByName(tasks_of(lines.select(N.base_name(F.input_file_name()).alias("json_name"), "value"), "value"))
+
+
+def _elements(parts: DataFrame) -> DataFrame:
+    """``(doc, texts)`` of segments of an array; NULL where one does not fit. It is completed to an array between two marks; only
+    one whole array leaves what follows readable."""
+    first, last = F.col("first"), F.col("last")
+    text = F.concat(F.lit('{"a":'), F.when(first, "").otherwise('["> cut"'), "text", F.when(last, "").otherwise(',"cut <"]'), F.lit(',"e":"end"}'))
+    read = G.materialize(parts, "_p", F.from_json(text, "a array<string>, e string", {"mode": "PERMISSIVE"}))
+    n = F.size("_p.a")
+    fits = (F.col("_p.e") == "end") & (n > 0) & (first | (F.element_at("_p.a", 1) == "> cut")) & (last | (F.element_at("_p.a", -1) == "cut <"))
+    mine = F.slice("_p.a", F.when(first, 1).otherwise(2), n - (~first).cast("int") - (~last).cast("int"))
+    return read.select("doc", F.when(fits, _texts(mine)).alias("texts"))
 
 
 def tasks_of(docs: DataFrame, column: str) -> DataFrame:
-    """Tasks of export documents (a JSON array of tasks per row), see ``read_tasks``."""
-    others = [F.col(c) for c in docs.columns if c != column]
+    """Tasks of export documents (a JSON array of tasks per row), see ``read_tasks``. A document that is no array, or an empty one, is one
+    row with its text in ``corrupt``."""
+    others = [c for c in docs.columns if c != column]
     # elements as their own text first: a damaged one then spoils nothing but itself
     split = F.from_json(column, "array<string>", {"mode": "PERMISSIVE"})
     whole = F.when(F.trim(column).startswith("[") & F.trim(column).endswith("]"), split)
-    each = docs.select(*others, F.col(column).alias("_doc"), F.explode_outer(F.coalesce(whole, F.array(F.lit(None).cast("string")))).alias("_text"))
+    # only a document that cannot be split goes on as a whole
+    none = F.lit(None).cast("string")
+    each = docs.select(*others, F.explode(F.when(F.size(whole) > 0, F.transform(_texts(whole), lambda t: F.struct(t.alias("t"), none.alias("d"))))
+                                          .otherwise(F.array(F.struct(none.alias("t"), F.col(column).alias("d"))))).alias("_e"))
+    return _read_each(each.select(*others, F.col("_e.t").alias("_text"), F.col("_e.d").alias("_doc")), others)
+
+
+def _texts(elements) -> Column:
+    """Texts of array elements; that of a JSON null is ``null``."""
+    return F.transform(elements, lambda t: F.coalesce(t, F.lit("null")))
+
+
+def _read_each(each: DataFrame, others: list[str]) -> DataFrame:
     each = G.materialize(each, "_t", F.from_json("_text", TASK_SCHEMA, {"mode": "PERMISSIVE"}))
     good = F.coalesce(F.col("_t.file_upload").isNotNull() & F.col("_t.id").isNotNull(), F.lit(False))
     fields = [F.when(good, F.col(f"_t.{f}")).alias(f) for f in StructType.fromDDL(TASK_SCHEMA).names]
