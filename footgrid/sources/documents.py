@@ -7,6 +7,7 @@ together again; nothing holds a document whole."""
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +17,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..session import cut_lineage, spent
 from ..skew import attach
 
+PIECES_PER_RANGE = 1 << 15
+
 
 def pieces(spark: SparkSession, path: str, doc: Column) -> DataFrame:
     """``(doc, file, block, size, place, piece)``: text of the files between one ``}`` and the next, without it. Files of one ``doc``
-    follow each other by name, ``block`` is where a range of its file begins."""
+    follow each other by name, ``block`` is where the part of its file begins that a task reads in one go."""
     return spark.read.option("lineSep", "}").text(path).select(
         doc.alias("doc"), F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.col("_metadata.file_size").alias("size"), F.monotonically_increasing_id().alias("place"), F.col("value").alias("piece"))
@@ -52,7 +55,7 @@ def _brackets(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return n, out - (1 - n % 2), inside - n % 2, np.diff(at)
 
 
-def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _mark(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[pa.RecordBatch]:
     """See ``_marked``; rows of a range come one after the other, in one task."""
     last, carry = None, (0, 0, 0, 0, 0)
     for batch in batches:
@@ -60,9 +63,10 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         file, block, place = batch.column("file"), batch.column("block").to_numpy(), batch.column("place").to_numpy()
         n, out, inside, size = _brackets(batch.column("piece"))
+        group = place // run
         new = np.ones(len(block), bool)
-        new[1:] = (block[1:] != block[:-1]) | pa.compute.not_equal(file[1:], file[:-1]).to_numpy(zero_copy_only=False)
-        new[0] = (file[0].as_py(), block[0]) != last
+        new[1:] = (block[1:] != block[:-1]) | (group[1:] != group[:-1]) | pa.compute.not_equal(file[1:], file[:-1]).to_numpy(zero_copy_only=False)
+        new[0] = (file[0].as_py(), block[0], group[0]) != last
         begin = np.maximum.accumulate(np.where(new, np.arange(len(block)), 0))
         old = ~np.logical_or.accumulate(new)   # rows that go on with the range of the batch before
         total = lambda x, c: (lambda s: s - (s - x)[begin] + np.where(old, c, 0))(np.cumsum(x))
@@ -71,15 +75,15 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = total(np.where(was, inside, out), carry[1]), total(np.where(was, out, inside), carry[2])
         size = total(size + 1, carry[3])
         of = np.where(old, carry[4], place[begin])
-        last, carry = (file[-1].as_py(), block[-1]), (quoted[-1], a[-1], b[-1], size[-1], of[-1])
+        last, carry = (file[-1].as_py(), block[-1], group[-1]), (quoted[-1], a[-1], b[-1], size[-1], of[-1])
         yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, (of, quoted, a, b, size))],
                                          names=[*batch.schema.names, "range", "quoted", "out", "in", "bytes"])
 
 
-def _marked(parts: DataFrame) -> DataFrame:
-    """Per piece the number of its ``range`` and, supposed that this begins outside a string: is the piece's end inside one (``quoted``),
+def _marked(parts: DataFrame, run: int) -> DataFrame:
+    """Per piece the number of its ``range`` (of ``run`` pieces at most) and, supposed that this begins outside a string: is the piece's end inside one (``quoted``),
     and the depth up to there (``out``; ``in`` if the range begins inside a string)."""
-    return parts.mapInArrow(_mark, f"{', '.join(f'{n} {t}' for n, t in parts.dtypes)}, range long, quoted long, out long, in long, bytes long")
+    return parts.mapInArrow(partial(_mark, run=run), f"{', '.join(f'{n} {t}' for n, t in parts.dtypes)}, range long, quoted long, out long, in long, bytes long")
 
 
 def _ranges(marked: DataFrame) -> DataFrame:
@@ -90,9 +94,9 @@ def _ranges(marked: DataFrame) -> DataFrame:
                                     F.max_by(F.struct("quoted", "out", "in", "bytes"), "place").alias("t")).select("*", "t.*")
     file, doc = Window.partitionBy("file"), Window.partitionBy("doc")
     whole = F.sum("bytes").over(file)
-    b = b.withColumn("open", (F.col("block") == F.max("block").over(file)) & ~((whole == F.col("size")) | (whole == F.col("size") - 3)))
+    b = b.withColumn("open", (F.struct("block", "range") == F.max(F.struct("block", "range")).over(file)) & ~((whole == F.col("size")) | (whole == F.col("size") - 3)))
     add = lambda side: (F.col("open") & (F.col("quoted") == side)).cast("int")
-    order = doc.orderBy("file", "block")
+    order = doc.orderBy("file", "block", "range")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     b = b.withColumn("inside", F.coalesce(F.sum("quoted").over(before), F.lit(0)) % 2)
     depth = F.sum(F.when(F.col("inside") == 0, F.col("out") + add(0)).otherwise(F.col("in") + add(1))).over(before)
@@ -100,11 +104,12 @@ def _ranges(marked: DataFrame) -> DataFrame:
                     F.coalesce(depth, F.lit(0)).alias("depth"))
 
 
-def segments(parts: DataFrame, level: int, read: Callable[[DataFrame], DataFrame], below: bool = False) -> DataFrame:
+def segments(parts: DataFrame, level: int, read: Callable[[DataFrame], DataFrame], below: bool = False,
+             run: int = PIECES_PER_RANGE) -> DataFrame:
     """``read`` of ``(doc, seg, text, first, last)``, as a table: documents cut behind each object that ends at depth ``level`` (1: an
     element of the outermost array), with ``below`` behind those of less depth too. The texts of a document, by ``seg``, put together are
     the document; the last one is there even if it is empty. Where a document is no valid JSON cuts may be anywhere."""
-    marked = cut_lineage(_marked(parts))
+    marked = cut_lineage(_marked(parts, run))
     begun = cut_lineage(_ranges(marked))
     closed = (F.col("place") < F.col("final")) | ~F.col("open")
     depth = F.col("depth") + F.when(F.col("inside") == 0, F.col("out")).otherwise(F.col("in"))

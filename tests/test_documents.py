@@ -42,6 +42,7 @@ def test_long_arrays_are_cut_exactly(spark, tmp_path, small_ranges):
     parts = D.pieces(spark, str(tmp_path), F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
     assert parts.select("file", "block").distinct().count() > 20
     cut = D.segments(parts, 1, lambda s: s).collect()
+    assert sorted(cut) == sorted(D.segments(parts, 1, lambda s: s, run=2).collect())
     for name, text in whole.items():
         mine = sorted((r for r in cut if r.doc == name), key=lambda r: r.seg)
         assert "".join(r.text for r in mine) == text and [r.last for r in mine] == [False] * (len(mine) - 1) + [True]
