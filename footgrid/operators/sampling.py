@@ -37,9 +37,10 @@ def sample(df: DataFrame, key: str, k: int, seed: int = 2022) -> DataFrame:
     return df.where(_first_k(df, key, seed, lambda n: F.lit(k)))
 
 
-def split(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 2022) -> DataFrame:
-    """Adds ``is_test``: exactly ceil(test_size * n) rows are test."""
-    return df.withColumn("is_test", _first_k(df, key, seed, lambda n: F.ceil(n * F.lit(float(test_size))).cast("long")))
+def split(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 2022, keys: DataFrame | None = None) -> DataFrame:
+    """Adds ``is_test``: exactly ceil(test_size * n) rows are test. ``keys``, a table of the same keys, is looked at in place of
+    the rows where these are costly to make."""
+    return df.withColumn("is_test", _first_k(df if keys is None else keys, key, seed, lambda n: F.ceil(n * F.lit(float(test_size))).cast("long")))
 
 
 def split_by_threshold(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 2022) -> DataFrame:
